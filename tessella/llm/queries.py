@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, packing, pii, simhash, urls
+from tessella.llm import edits, langid, lmscore, packing, pii, sampling, simhash, tokencount, topk, urls
 from tessella.llm.common import columns, id_remainder, table
 
 RULES = (urls.Rule("org", "/", "allow"), urls.Rule("example.org", "/es/", "block"), urls.Rule("example.org", "/en/1", "block"), urls.Rule("com", "/fr/", "allow"), urls.Rule("com", "/de/", "block"))
@@ -61,12 +61,50 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).drop("text")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = columns(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, F.pmod("vec_id", F.lit(50)) == 0)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.neighbours(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sampled_pieces(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = columns(table(spark, sf_dir, "documents"), "doc_id", "text")
+    held_out = id_remainder(F.col("doc_id"), 5) == 1
+    return lmscore.score_texts(docs, docs.where(~held_out)).withColumn("held_out", held_out)
+
+
 QUERIES = {
     "op1_url_filter": op1,
+    "op2_token_counts": op2_token_counts,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_exact_topk": op4_exact_topk,
+    "op5_edit_fingerprints": op5_edit_fingerprints,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_personal_data": op7_personal_data,
     "op8_language_id": op8_language_id,
+    "op9_sampled_pieces": op9_sampled_pieces,
+    "op10_lm_scores": op10_lm_scores,
 }
 
-SQL = {"op1_url_filter": OP1_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op4_exact_topk": OP4_SQL}
