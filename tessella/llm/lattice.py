@@ -100,6 +100,159 @@ def arcs(unit: str, vocabulary: Vocabulary) -> tuple[int, list[tuple[int, int, i
     return nodes, out
 
 
+SHORT = 32  # characters; longer units take the log-space functions below, one by one
+_EMPTY = np.int64(-1)
+
+
+class Trie(NamedTuple):
+    """The pieces as a trie in an open-addressing table: (node << 21 | character) -> node."""
+
+    keys: np.ndarray
+    nodes: np.ndarray
+    piece: np.ndarray  # id of the piece that ends at a node, or -1
+    shift: np.uint64
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The node behind each (node, character), -1 where there is none."""
+        key = node.astype(np.int64) << 21 | char
+        with np.errstate(over="ignore"):
+            at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        held = self.keys[at]
+        out = np.where(held == key, self.nodes[at], -1)
+        more = np.flatnonzero((held != key) & (held != _EMPTY))
+        while len(more):
+            at[more] = (at[more] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[more]]
+            hit = held == key[more]
+            out[more[hit]] = self.nodes[at[more[hit]]]
+            more = more[~hit & (held != _EMPTY)]
+        return out
+
+
+@lru_cache(2)
+def trie(path: str) -> Trie:
+    number = {"": 0}
+    edges: list[tuple[int, int]] = []
+    vocabulary = load(path)
+    for prefix in sorted(vocabulary.prefixes, key=len):
+        number[prefix] = len(number)
+        edges.append((number[prefix[:-1]] << 21 | ord(prefix[-1]), number[prefix]))
+    piece = np.full(len(number), -1, np.int64)
+    for p, i in vocabulary.pieces.items():
+        piece[number[p]] = i
+    bits = (2 * len(edges)).bit_length() + 1
+    keys, nodes = np.full(1 << bits, _EMPTY), np.full(1 << bits, -1, np.int64)
+    for key, node in edges:
+        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - bits)
+        while keys[at] != _EMPTY:
+            at = at + 1 & (1 << bits) - 1
+        keys[at], nodes[at] = key, node
+    return Trie(keys, nodes, piece, np.uint64(64 - bits))
+
+
+class Lattices:
+    """The lattices of many short units at once, forward probabilities included.
+
+    Units are ranked by falling length, and nodes numbered by position, then rank: the nodes at a position are
+    consecutive, arcs sorted by the node they enter are grouped by position, and each position is one vector step.
+    An id below zero is the byte pieces of the character -1 - id."""
+
+    def __init__(self, units: list[str], path: str, prob: np.ndarray):
+        model, table, n = load(path), trie(path), len(units)
+        length = np.array([len(u) for u in units], np.int64)
+        order = np.argsort(-length, kind="stable")
+        self.rank = np.empty(n, np.int64)
+        self.rank[order] = np.arange(n)
+        ranked = length[order]
+        codes = np.frombuffer("".join([units[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        longest = int(ranked[0]) if n else 0
+        at_least = np.searchsorted(-ranked, -np.arange(longest + 1), side="right")
+        self.start = np.concatenate([[0], np.cumsum(at_least)])
+        unit = np.repeat(np.arange(n), ranked)
+        offset = np.arange(len(codes)) - np.repeat(np.cumsum(ranked) - ranked, ranked)
+        left = ranked[unit] - offset  # characters from here to the unit's end
+        place, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        src, dst, ids = [], [], []
+        for k in range(longest):
+            node = table.step(node, codes[place + k])
+            on = node >= 0
+            if k == 0:
+                bare = ~on
+                bare[on] = table.piece[node[on]] < 0
+                u, o = unit[bare], offset[bare]
+                src.append(self.start[o] + u)
+                dst.append(self.start[o + 1] + u)
+                ids.append(-1 - codes[bare])
+            place, node = place[on], node[on]
+            ends = table.piece[node] >= 0
+            u, o = unit[place[ends]], offset[place[ends]]
+            src.append(self.start[o] + u)
+            dst.append(self.start[o + k + 1] + u)
+            ids.append(table.piece[node[ends]])
+            go = left[place] > k + 1
+            place, node = place[go], node[go]
+            if not len(place):
+                break
+        none = np.zeros(0, np.int64)
+        src, dst, ids = (np.concatenate(x or [none]).astype(np.int32) for x in (src, dst, ids))
+        by_end = np.argsort(dst, kind="stable")
+        self.src, self.dst, self.ids = src[by_end], dst[by_end], ids[by_end]
+        self.p = prob[np.maximum(self.ids, 0)]
+        in_bytes = np.flatnonzero(self.ids < 0)
+        if len(in_bytes):
+            which, back = np.unique(self.ids[in_bytes], return_inverse=True)
+            self.p[in_bytes] = np.array([np.prod([prob[i] for i in byte_pieces(int(w), model)]) for w in which])[back]
+        self.n, self.longest = n, longest
+        self.first = np.searchsorted(self.dst, np.arange(self.start[-1] + 1))
+        self.alpha = np.zeros(self.start[-1])
+        self.alpha[:n] = 1.0
+        self.weight = np.zeros(len(self.src))  # probability of the paths that enter by an arc
+        for t in range(1, longest + 1):
+            a, b = self.start[t], self.start[t + 1]
+            lo, hi = self.first[a], self.first[b]
+            self.weight[lo:hi] = self.alpha[self.src[lo:hi]] * self.p[lo:hi]
+            self.alpha[a:b] = np.add.reduceat(self.weight[lo:hi], self.first[a:b] - lo)
+        self.end = self.start[length] + self.rank  # by unit, in the order given
+
+    def marginals(self) -> np.ndarray:
+        """Natural log of each unit's probability."""
+        with np.errstate(divide="ignore"):
+            return np.log(self.alpha[self.end])
+
+    def expectations(self, times: np.ndarray, size: int, model: Vocabulary) -> np.ndarray:
+        """By id, the expected use over all segmentations of all units, each unit counted `times`."""
+        beta = np.zeros(len(self.alpha))
+        beta[self.end] = times / self.alpha[self.end]
+        used = np.zeros(len(self.src))
+        for t in range(self.longest, 0, -1):
+            lo, hi = self.first[self.start[t]], self.first[self.start[t + 1]]
+            onward = self.p[lo:hi] * beta[self.dst[lo:hi]]
+            used[lo:hi] = self.alpha[self.src[lo:hi]] * onward
+            np.add.at(beta, self.src[lo:hi], onward)
+        whole = self.ids >= 0
+        total = np.bincount(self.ids[whole], used[whole], size)
+        if not whole.all():
+            which, back = np.unique(self.ids[~whole], return_inverse=True)
+            for w, x in zip(which, np.bincount(back, used[~whole])):
+                np.add.at(total, byte_pieces(int(w), model), x)
+        return total
+
+    def edges(self) -> np.ndarray:
+        """For drawing an arc into a node with a uniform number u: the arc of the first edge above node + u."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.cumsum(np.nan_to_num(self.weight / self.alpha[self.dst]))
+        before = np.concatenate([[0.0], share])[self.first[:-1]]
+        edge = self.dst + np.minimum(share - before[self.dst], 1.0)
+        last = self.first[1:][self.n :] - 1
+        edge[last] = self.dst[last] + 1.0
+        return edge
+
+
+def byte_pieces(code: int, vocabulary: Vocabulary) -> list[int]:
+    """The ids of the bytes that an id below zero stands for."""
+    return [vocabulary.byte_ids[b] for b in _bytes_of(chr(-1 - code))]
+
+
 def log_marginal(unit: str, vocabulary: Vocabulary, prob: list[float]) -> float:
     """Natural log of the summed probability of all segmentations of a unit. prob: by id.
 

@@ -6,7 +6,7 @@ A document's score is the log of the summed probability of all segmentations of
 
 The model has as many numbers as the vocabulary has pieces and is sent to all workers. The word counts grow with the
 corpus and are not: only words of at most `word_bytes` bytes whose count is so high that at most `frequent` words
-reach it are sent along. A text's other words are joined with the counts, by word.
+reach it are sent along, with their scores. A text's other words are joined with the table of words.
 
 Defined cases: null text is empty: one token, the end. Without training texts every token has base probability 1 (the
 formula's value) and the pieces keep the file's scores. Repeated rows are scored, and counted, one by one.
@@ -25,15 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import vocabulary
-from tessella.llm.common import cut
-from tessella.llm.lattice import MARK, expected_counts, load, log_marginal, rank_weights, shown
+from tessella.llm.common import cut, drop_cut
+from tessella.llm.lattice import MARK, SHORT, Lattices, expected_counts, load, log_marginal, rank_weights, shown
 
 VOCABULARY = "piece_bpe_32k.model"
 FREQUENT = 400_000
 WORD_BYTES = 48
 SMOOTHING = 0.1
 FLUSH = 200_000
-CACHE_ENTRIES = 200_000
 BUCKETS = 8  # a doubling of the count
 
 
@@ -42,21 +41,21 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(word binary, n long) over all rows of docs; partitions count before the shuffle."""
+def word_counts(docs: DataFrame, *, text_col: str = "text", learn_col: str = "learn") -> DataFrame:
+    """(word binary, n long): every word of docs and how often it stands in the rows to learn from; partitions count before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                held.update(words_of(text))
+            for text, learn in zip(batch["text"], batch["learn"]):
+                held.update(words_of(text) if learn else dict.fromkeys(words_of(text), 0))
                 if len(held) > FLUSH:
                     yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                     held.clear()
         if held:
             yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
-    counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInPandas(count, "word binary, n long")
+    counted = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{learn_col}`").alias("learn")).mapInPandas(count, "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -64,92 +63,107 @@ def unit_of(word: bytes) -> str:
     return MARK + shown(word.decode())
 
 
-def train_pieces(counts: DataFrame, ends: int, path: str) -> tuple[list[float], float]:
+def _units(words: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words' units, and which of them are short and which long."""
+    found = [unit_of(w) for w in words]
+    short = np.array([len(u) <= SHORT for u in found], bool)
+    return found, np.flatnonzero(short), np.flatnonzero(~short)
+
+
+def train_pieces(counts: DataFrame, ends: int, path: str) -> tuple[np.ndarray, float]:
     """(probability by id, probability of the end)."""
-    start = np.exp(rank_weights(load(path))).tolist()
+    start = np.exp(rank_weights(load(path)))
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(path)
-        into = [0.0] * model.size
+        total = np.zeros(model.size)
         for batch in batches:
-            for word, n in zip(batch["word"], batch["n"]):
-                expected_counts(unit_of(word), n, model, start, into)
-        total = np.array(into)
+            n = batch["n"].to_numpy(float)
+            found, short, long = _units(batch["word"].tolist())
+            if len(short):
+                total += Lattices([found[i] for i in short], path, start).expectations(n[short], model.size, model)
+            for i in long:
+                expected_counts(found[i], n[i], model, start, total)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "x": total[used]})
 
     model = load(path)
-    got = counts.mapInPandas(expect, "id int, x double").groupBy("id").agg(F.sum("x").alias("x")).toPandas()  # a row a piece
-    total = np.where(np.array(start) > 0, SMOOTHING, 0.0)
+    got = counts.where("n > 0").mapInPandas(expect, "id int, x double").groupBy("id").agg(F.sum("x").alias("x")).toPandas()  # a row a piece
+    total = np.where(start > 0, SMOOTHING, 0.0)
     total[got["id"].to_numpy()] += got["x"].to_numpy()
     z = total.sum() + ends + SMOOTHING
     if not len(got) and not ends:
         end = SMOOTHING / (SMOOTHING + 1)
-        return (np.array(start) * (1 - end)).tolist(), end
-    return (total / z).tolist(), (ends + SMOOTHING) / z
+        return start * (1 - end), end
+    return total / z, (ends + SMOOTHING) / z
+
+
+def word_scores(counts: DataFrame, prob: np.ndarray, path: str) -> DataFrame:
+    """counts with m, each word's log10 probability summed over its segmentations."""
 
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load(path)
+        for batch in batches:
+            found, short, long = _units(batch["word"].tolist())
+            m = np.zeros(len(found))
+            if len(short):
+                m[short] = Lattices([found[i] for i in short], path, prob).marginals()
+            for i in long:
+                m[i] = log_marginal(found[i], model, prob)
+            yield batch.assign(m=m / math.log(10))
 
-def _frequent(counts: DataFrame, most: int, word_bytes: int) -> pd.DataFrame:
+    return counts.mapInPandas(score, "word binary, n long, m double")
+
+
+def _frequent(words: DataFrame, most: int, word_bytes: int) -> pd.DataFrame:
     """The words, of bounded length, whose count reaches a bucket that at most `most` words reach."""
-    bucket = F.floor(F.log2("n") * BUCKETS).cast("int")
-    short = counts.where(F.octet_length("word") <= word_bytes).withColumn("bucket", bucket)
-    sizes = sorted(((r["bucket"], r["m"]) for r in short.groupBy("bucket").agg(F.count("*").alias("m")).collect()), reverse=True)  # 8 rows a doubling
+    bucket = F.floor(F.log2(F.col("n") + 1) * BUCKETS).cast("int")
+    short = words.where(F.octet_length("word") <= word_bytes).withColumn("bucket", bucket)
+    sizes = sorted(((r["bucket"], r["k"]) for r in short.groupBy("bucket").agg(F.count("*").alias("k")).collect()), reverse=True)  # 8 rows a doubling
     reached, lowest = 0, None
-    for b, m in sizes:
-        if reached + m > most:
+    for b, k in sizes:
+        if reached + k > most:
             break
-        reached, lowest = reached + m, b
+        reached, lowest = reached + k, b
     if lowest is None:
-        return pd.DataFrame({"word": [], "n": []})
-    return short.where(F.col("bucket") >= lowest).select("word", "n").toPandas()
-
+        return pd.DataFrame({"word": [], "n": [], "m": []})
+    return short.where(F.col("bucket") >= lowest).select("word", "n", "m").toPandas()
 
-_CACHES: dict[int, dict] = {}
 
-
-def score_texts(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, frequent: int = FREQUENT, word_bytes: int = WORD_BYTES) -> DataFrame:
-    """One row a document of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score; learned from train."""
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", learn_col: str = "learn", path: str | None = None, frequent: int = FREQUENT, word_bytes: int = WORD_BYTES) -> DataFrame:
+    """One row a document: doc_id, n_tokens, n_known, train_tokens, base_score, score; learned from the rows with learn_col."""
     path = path or vocabulary(VOCABULARY)
-    counts = cut(word_counts(train, text_col=text_col), "lm-counts")
-    ends = train.count()
-    whole = counts.agg(F.sum("n"), F.count("*")).first()
-    n_train, distinct = (whole[0] or 0) + ends, whole[1] + (ends > 0)
+    counts = cut(word_counts(docs, text_col=text_col, learn_col=learn_col), "lm-counts")
+    ends = docs.where(F.col(f"`{learn_col}`")).count()
+    whole = counts.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long")), F.count("*")).first()
+    n_train, distinct, n_words = (whole[0] or 0) + ends, (whole[1] or 0) + (ends > 0), whole[2]
     scale = math.log10(n_train + 0.5 * (distinct + 1))
     prob, end = train_pieces(counts, ends, path)
-    top = _frequent(counts, frequent, word_bytes)
-    all_sent = len(top) == whole[1]
-    known = dict(zip(map(bytes, top["word"]), (int(n) for n in top["n"])))
-    sent = docs.sparkSession.sparkContext.broadcast((known, prob))
+    words = cut(word_scores(counts, prob, path), "lm-words")
+    drop_cut(counts)
+    top = _frequent(words, frequent, word_bytes)
+    known = {bytes(w): (math.log10(n + 0.5) - scale, m, n > 0) for w, n, m in zip(top["word"], top["n"], top["m"])}
+    sent = docs.sparkSession.sparkContext.broadcast(known)
     end_base, end_score = math.log10(ends + 0.5) - scale, math.log10(end)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, prob = sent.value
-        model = load(path)
-        marginal = _CACHES.setdefault(id(prob), {})
+        get = sent.value.get
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                base, lattice, seen, rare = end_base, end_score, int(ends > 0), []
+                base, lattice, seen, rare, times = end_base, end_score, int(ends > 0), [], []
                 tokens = words_of(text)
-                if len(marginal) > CACHE_ENTRIES:
-                    marginal.clear()
                 for word, n in Counter(tokens).items():
-                    c = known.get(word)
-                    if c is not None:
-                        base += n * (math.log10(c + 0.5) - scale)
-                        seen += n
-                    elif all_sent:
-                        base += n * (math.log10(0.5) - scale)
+                    hit = get(word)
+                    if hit is None:
+                        rare.append(word)
+                        times.append(n)
                     else:
-                        rare.append((word, n))
-                    m = marginal.get(word)
-                    if m is None:
-                        m = log_marginal(unit_of(word), model, prob) / math.log(10)
-                        if len(word) <= WORD_BYTES:
-                            marginal[word] = m
-                    lattice += n * m
-                rows.append((uid, doc_id, len(tokens) + 1, seen, base, lattice, [w for w, _ in rare], [n for _, n in rare]))
+                        base += n * hit[0]
+                        lattice += n * hit[1]
+                        seen += n * hit[2]
+                rows.append((uid, doc_id, len(tokens) + 1, seen, base, lattice, rare, times))
                 uid += 1
             frame = pd.DataFrame(rows, columns=["uid", "doc_id", "n_tokens", "n_known", "base_score", "score", "words", "times"])
             yield frame.astype({"doc_id": "Int64"})
@@ -158,11 +172,14 @@ def score_texts(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id", te
         score, "uid long, doc_id long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<int>"
     )
     train_tokens = F.lit(n_train).cast("long").alias("train_tokens")
-    if all_sent:  # every training word went along: no word is left to be joined
+    if len(top) == n_words:  # every word went along: none is left to be joined
         return scored.select("doc_id", "n_tokens", "n_known", train_tokens, "base_score", "score")
     scored = cut(scored, "lm-scored")
     rare = scored.select("uid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("uid", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    met = rare.join(counts.withColumnRenamed("n", "c"), "word", "left").select("uid", "times", F.coalesce("c", F.lit(0)).alias("c"))
-    more = met.groupBy("uid").agg(F.sum(F.col("times") * (F.log10(F.col("c") + 0.5) - F.lit(scale))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("found"))
+    met = rare.join(words, "word")
+    more = met.groupBy("uid").agg(
+        F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.lit(scale))).alias("base"), F.sum(F.col("times") * F.col("m")).alias("lattice"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found")
+    )
     full = scored.select("uid", "doc_id", "n_tokens", "n_known", "base_score", "score").join(more, "uid", "left")
-    return full.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), train_tokens, (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    add = lambda c, extra, none: (F.col(c) + F.coalesce(extra, F.lit(none))).alias(c)
+    return full.select("doc_id", "n_tokens", add("n_known", "found", 0), train_tokens, add("base_score", "base", 0.0), add("score", "lattice", 0.0))

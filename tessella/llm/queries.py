@@ -91,7 +91,7 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), "doc_id", "text")
     held_out = id_remainder(F.col("doc_id"), 5) == 1
-    return lmscore.score_texts(docs, docs.where(~held_out)).withColumn("held_out", held_out)
+    return lmscore.score_texts(docs.withColumn("learn", ~held_out)).withColumn("held_out", held_out)
 
 
 QUERIES = {
