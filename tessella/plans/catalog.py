@@ -1,4 +1,644 @@
-"""The registered queries over the driver's tables, and the SQL that gives the same rows."""
+"""The registered queries over the driver's tables, and the SQL that gives the same rows.
+
+How the tables are read: documents are documents (tenant = source, collection = lang) and their lines are chunks;
+embeddings are chunk vectors (document = label, position = place among the label's rows); benchmark rows are questions;
+labels are ground truth; conversations are questions with answers; orders are versions with validity bounds.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.functions import text as T
+from tessella.functions.identity import chunk_id
+from tessella.functions.vectors import hashing_embedding
+from tessella.operators import chunk as chunking
+from tessella.operators import evaluate, fuse, parse, search, select, versions
+from tessella.operators.embed import HashingProvider, embedded_once
+from tessella.operators.prompt import build_prompts
+from tessella.sources import files
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- vectors -------------------------------------------------------------------------------------------------------
+
+SQL_VECTORS = """v AS (SELECT vec_id AS chunk_id, label AS document_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+q AS (SELECT chunk_id AS question_id, e AS qe FROM v WHERE chunk_id < 5)"""
+SQL_DISTANCE = {
+    "cosine": "1 - least(1.0, greatest(-1.0, list_sum(list_transform(list_zip(e, qe), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(qe, lambda x: x * x))))))",
+    "l2": "sqrt(list_sum(list_transform(list_zip(e, qe), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))",
+    "l1": "list_sum(list_transform(list_zip(e, qe), lambda p: abs(p[1] - p[2])))",
+    "inner_product": "greatest(0.0, 1 - list_sum(list_transform(list_zip(e, qe), lambda p: p[1] * p[2])))",
+}
+
+
+def vector_sql(metric: str, limit: int = 5, where: str = "true", scope: str = "true") -> str:
+    return f"""WITH {SQL_VECTORS},
+d AS (SELECT question_id, chunk_id, document_id, {SQL_DISTANCE[metric]} AS d FROM v, q WHERE {scope}),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY d, chunk_id) AS INTEGER) AS rank FROM d WHERE {where})
+SELECT question_id, chunk_id, document_id, round(d, 6) AS distance, rank FROM r WHERE rank <= {limit}"""
+
+
+def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("document_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def vector_questions(chunks: DataFrame) -> DataFrame:
+    return chunks.where("chunk_id < 5").select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("query_embedding"))
+
+
+def _nearest(spark, sf_dir, metric, **how) -> DataFrame:
+    chunks = vector_chunks(spark, sf_dir)
+    found = search.vector_search(chunks, vector_questions(chunks), metric=metric, keys=["question_id"], **how)
+    return found.withColumn("distance", F.round("distance", 6)).select("question_id", "chunk_id", "document_id", "distance", "rank")
+
+
+@query(vector_sql("cosine"))
+def vector_cosine_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir, "cosine")
+
+
+@query(vector_sql("l2"))
+def vector_l2_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir, "l2")
+
+
+@query(vector_sql("l1"))
+def vector_l1_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir, "l1")
+
+
+@query(vector_sql("inner_product"))
+def vector_ip_topk(spark, sf_dir):
+    return _nearest(spark, sf_dir, "inner_product")
+
+
+@query(vector_sql("cosine", 100, "d <= 0.7"))
+def vector_threshold(spark, sf_dir):
+    return _nearest(spark, sf_dir, "cosine", limit=100, maximum_distance=0.7)
+
+
+@query(vector_sql("cosine", 5, scope="v.chunk_id % 4 = q.question_id % 4 AND v.chunk_id % 7 <> 0"))
+def vector_scoped(spark, sf_dir):
+    chunks = vector_chunks(spark, sf_dir).withColumns({"tenant_id": F.col("chunk_id") % 4, "status": F.when(F.col("chunk_id") % 7 == 0, "archived").otherwise("active")})
+    asked = vector_questions(chunks).withColumns({"tenant_id": F.col("question_id") % 4, "status": F.lit("active")})
+    found = search.vector_search(chunks, asked, keys=["question_id"])
+    return found.withColumn("distance", F.round("distance", 6)).select("question_id", "chunk_id", "document_id", "distance", "rank")
+
+
+# ---- text ----------------------------------------------------------------------------------------------------------
+
+SQL_TRIM = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11)"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    none = F.create_map(F.lit("source"), F.col("source"), F.lit("type"), F.lit("text"))
+    return rows.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("tenant_id"), F.col("text").alias("content"), none.alias("metadata"), F.col("lang").alias("collection"), F.lit("active").alias("status"))
+
+
+SQL_LINES = """l AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents),
+c AS (SELECT doc_id, source, lang, line AS content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS position FROM l WHERE trim(line) <> ''),
+chunks AS (SELECT *, sha256(source || chr(0) || doc_id || chr(0) || position || chr(0) || content) AS chunk_id FROM c)"""
+
+
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as chunks. Positions come from the array of a document's lines: no window, no shuffle."""
+    lines = F.filter(F.split("content", "\n"), lambda line: F.trim(line) != "")
+    rows = documents(spark, sf_dir).select("document_id", "tenant_id", "collection", "status", F.posexplode(lines).alias("position", "content"))
+    return rows.withColumn("chunk_id", chunk_id(F.col("tenant_id"), F.col("document_id"), F.col("position"), F.col("content")))
+
+
+@query(f"WITH {SQL_LINES} SELECT chunk_id, CAST(doc_id AS VARCHAR) AS document_id, source AS tenant_id, lang AS collection, position, content FROM chunks")
+def chunk_lines(spark, sf_dir):
+    return line_chunks(spark, sf_dir).select("chunk_id", "document_id", "tenant_id", "collection", "position", "content")
+
+
+@query(
+    f"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\t ]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {SQL_TRIM}) AS normalized FROM documents"""
+)
+def text_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalized(F.col("text")).alias("normalized"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(trim(text, {SQL_TRIM}), '\\n\\s*\\n'), lambda x: trim(x, {SQL_TRIM})), lambda x: x <> '') AS ps FROM documents)
+SELECT doc_id, CAST(unnest(range(0, len(ps))) AS INTEGER) AS position, unnest(ps) AS content FROM p"""
+)
+def plain_paragraphs(spark, sf_dir):
+    blocks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parse.plain_blocks(F.col("text"))).alias("position", "b"))
+    return blocks.select("doc_id", "position", F.col("b.content").alias("content"))
+
+
+SQL_COMPARABLE = "trim(regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def sql_terms(x: str, stop: list[str], keep: str) -> str:
+    words = ", ".join(f"'{w}'" for w in stop)
+    return f"list_filter(string_split({SQL_COMPARABLE.format(x=x)}, ' '), lambda w: w <> '' AND w NOT IN ({words}) AND {keep})"
+
+
+def sql_distinct(x: str) -> str:
+    return f"list_transform(list_filter(list_zip({x}, range(1, len({x}) + 1)), lambda p: list_position({x}, p[1]) = p[2]), lambda p: p[1])"
+
+
+SQL_SIGNIFICANT = "(length(w) >= 3 OR regexp_matches(w, '\\p{Nd}'))"
+
+
+@query(f"WITH t AS (SELECT item_id, {sql_terms('text', T.SIGNIFICANT_STOP_WORDS, SQL_SIGNIFICANT)} AS t FROM benchmark) SELECT item_id, {sql_distinct('t')} AS terms FROM t")
+def significant_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.significant_terms(F.col("text")).alias("terms"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4)) AS INTEGER) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+SQL_NOISE = f"""n AS (SELECT chunk_id, trim(content, {SQL_TRIM}) AS x FROM chunks),
+m AS (SELECT chunk_id, x, regexp_replace(x, '\\s+', '', 'g') AS compact, list_filter(regexp_split_to_array(x, '\\s+'), lambda t: t <> '') AS tokens FROM n),
+f AS (SELECT chunk_id, x, tokens, len(regexp_extract_all(compact, '\\p{{L}}')) AS letters, len(regexp_extract_all(compact, '\\p{{N}}')) AS digits, greatest(1, length(compact)) AS visible,
+  len(list_filter(tokens, lambda t: length(trim(t, '.,:;|()[]{{}}')) = 1)) AS iso, len(list_filter(tokens, lambda t: regexp_matches(t, '\\p{{L}}{{3,}}'))) AS nat,
+  len(regexp_extract_all(x, '[\\t \\x{{A0}}]{{2,}}')) AS gaps FROM m)"""
+
+
+@query(
+    f"""WITH {SQL_LINES}, {SQL_NOISE}
+SELECT chunk_id, CASE WHEN x = '' OR length(x) < 3 THEN 'block_too_short'
+ WHEN digits >= 3 AND letters = 0 AND regexp_full_match(x, '[\\p{{N}}\\s.,;:+\\-]+') THEN 'numeric_only_layout'
+ WHEN len(tokens) >= 3 AND iso / len(tokens) >= 0.6 AND nat = 0 THEN 'isolated_token_sequence'
+ WHEN gaps > 2 AND nat < 2 AND iso / greatest(1, len(tokens)) >= 0.4 THEN 'sparse_layout_columns'
+ WHEN letters < 2 AND (digits > 0 OR letters / visible < 0.25) THEN 'insufficient_alphabetic_content'
+ WHEN letters / visible < 0.25 AND nat < 2 THEN 'low_natural_language_density' END AS reason FROM f"""
+)
+def noise_classify(spark, sf_dir):
+    return line_chunks(spark, sf_dir).select("chunk_id", T.noise(F.col("content"))["reason"].alias("reason"))
+
+
+# ---- lexical search, fusion, reranking -----------------------------------------------------------------------------
+
+SQL_LEX_STOP = ", ".join(f"'{w}'" for w in T.LEXICAL_STOP_WORDS)
+
+
+def sql_lexical(limit: int) -> str:
+    toks = "list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_-]+'), lambda t: t NOT IN (" + SQL_LEX_STOP + "))"
+    return f"""lq AS (SELECT item_id AS question_id, text AS terms, {toks.format(x='text')} AS qt FROM benchmark),
+lc AS (SELECT chunk_id, doc_id, content, {toks.format(x='content')} AS ct FROM chunks),
+lt AS (SELECT question_id, unnest(qt) AS token FROM lq),
+lw AS (SELECT question_id, token, count(*) * CASE WHEN regexp_matches(token, '[_-]') THEN 1.4 ELSE 1.0 END AS w FROM lt GROUP BY question_id, token),
+lu AS (SELECT DISTINCT chunk_id, token FROM (SELECT chunk_id, unnest(ct) AS token FROM lc)),
+lh AS (SELECT question_id, chunk_id, CAST(sum(w) AS DOUBLE) AS hits FROM lu JOIN lw USING (token) GROUP BY ALL),
+lb AS (SELECT question_id, chunk_id, 1.0::DOUBLE AS hits FROM lc JOIN lq ON contains(lower(content), lower(terms)) WHERE len(qt) > 0),
+ls AS (SELECT question_id, chunk_id, sum(hits) / any_value(len(qt)) AS score FROM (SELECT * FROM lh UNION ALL SELECT * FROM lb) JOIN lq USING (question_id) GROUP BY question_id, chunk_id),
+lr AS (SELECT question_id, chunk_id, score, 1 / (1 + score) AS distance, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM ls),
+lexical AS (SELECT * FROM lr WHERE rank <= {limit})"""
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("content"))
+
+
+def lexical_ranking(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
+    return search.lexical_search(line_chunks(spark, sf_dir), questions(spark, sf_dir), limit=limit)
+
+
+@query(f"WITH {SQL_LINES}, {sql_lexical(20)} SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM lexical")
+def lexical_overlap_topk(spark, sf_dir):
+    return lexical_ranking(spark, sf_dir).select("question_id", "chunk_id", F.round("lexical_score", 6).alias("score"), "rank")
+
+
+def sql_two_rankings(limit: int = 20) -> str:
+    return f"""{SQL_VECTORS},
+d1 AS (SELECT question_id, chunk_id, {SQL_DISTANCE['cosine']} AS d FROM v, q), d2 AS (SELECT question_id, chunk_id, {SQL_DISTANCE['l1']} AS d FROM v, q),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, chunk_id) AS rank FROM d1), r2 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, chunk_id) AS rank FROM d2),
+u AS (SELECT *, 0.5 AS w FROM r1 WHERE rank <= {limit} UNION ALL SELECT *, 1.0 AS w FROM r2 WHERE rank <= {limit})"""
+
+
+@query(
+    f"""WITH {sql_two_rankings()}, s AS (SELECT question_id, chunk_id, sum(w / (60 + rank)) AS score, min(d) AS distance FROM u GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, distance, chunk_id) AS INTEGER) AS rank FROM s)
+SELECT question_id, chunk_id, round(score, 9) AS fusion_score, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10"""
+)
+def rrf_weighted(spark, sf_dir):
+    chunks = vector_chunks(spark, sf_dir)
+    asked = vector_questions(chunks)
+    rankings = [search.vector_search(chunks, asked, metric=m, limit=20, keys=["question_id"]).select("question_id", F.lit(m).alias("ranking"), F.lit(n).alias("query_no"), F.lit(m).alias("query"), "rank", "chunk_id", "distance", F.lit(None).cast("double").alias("lexical_score")) for n, m in enumerate(("cosine", "l1"))]
+    fused = fuse.fuse(rankings[0].unionByName(rankings[1]), limit=10, weights={"cosine": 0.5, "l1": 1.0})
+    return fused.select("question_id", "chunk_id", F.round("fusion_score", 9).alias("fusion_score"), F.round("distance", 6).alias("distance"), "rank")
+
+
+# questions and vectors of documents: question i asks with the vector whose id is i
+SQL_HYBRID = f"""chunks AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS chunk_id, doc_id, text AS content FROM documents),
+{sql_lexical(20)},
+hv AS (SELECT lpad(CAST(vec_id AS VARCHAR), 12, '0') AS chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings JOIN documents ON vec_id = doc_id),
+hq AS (SELECT item_id AS question_id, text AS question, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS qe FROM benchmark JOIN embeddings ON vec_id = item_id),
+hd AS (SELECT question_id, chunk_id, {SQL_DISTANCE['cosine']} AS d FROM hv, hq),
+hr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, chunk_id) AS rank FROM hd),
+hu AS (SELECT question_id, chunk_id, 0.5 / (60 + rank) AS s, d, NULL::DOUBLE AS lex FROM hr WHERE rank <= 20 UNION ALL SELECT question_id, chunk_id, 1.0 / (60 + rank), distance, score FROM lexical),
+hs AS (SELECT question_id, chunk_id, sum(s) AS score, min(d) AS distance, max(lex) AS lexical_score FROM hu GROUP BY ALL),
+hf AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, distance, chunk_id) AS INTEGER) AS rank FROM hs),
+fused AS (SELECT f.*, content, b.text AS question FROM hf f JOIN chunks USING (chunk_id) JOIN benchmark b ON item_id = question_id WHERE rank <= 20)"""
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    docs = table(spark, sf_dir, "documents").select(key("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    vectors = table(spark, sf_dir, "embeddings").select(key("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return docs.join(vectors, "chunk_id", "left")
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, asked = document_chunks(spark, sf_dir), questions(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").cast("array<double>").alias("query_embedding"))
+    near = search.vector_search(chunks.where("embedding is not null"), asked.join(vectors, "question_id"), limit=20, keys=["question_id"])
+    one = near.select("question_id", F.lit("vector").alias("ranking"), F.lit(0).alias("query_no"), F.lit("vector").alias("query"), "rank", "chunk_id", "distance", F.lit(None).cast("double").alias("lexical_score"))
+    lexical = search.lexical_search(chunks.drop("embedding"), asked, limit=20)
+    two = lexical.select("question_id", F.lit(fuse.LEXICAL).alias("ranking"), F.lit(1).alias("query_no"), F.lit(fuse.LEXICAL).alias("query"), "rank", "chunk_id", "distance", "lexical_score")
+    fused = fuse.fuse(one.unionByName(two), limit=20, weights={"vector": 0.5, fuse.LEXICAL: 1.0})
+    wide = fused.join(chunks.select("chunk_id", "document_id", "content"), "chunk_id")
+    return wide.join(asked.withColumnRenamed("content", "question"), "question_id")
+
+
+@query(f"WITH {SQL_HYBRID} SELECT question_id, chunk_id, round(score, 9) AS fusion_score, round(lexical_score, 6) AS lexical_score, rank FROM fused")
+def hybrid_rrf(spark, sf_dir):
+    return hybrid(spark, sf_dir).select("question_id", "chunk_id", F.round("fusion_score", 9).alias("fusion_score"), F.round("lexical_score", 6).alias("lexical_score"), "rank")
+
+
+SQL_RERANK = f"""t0 AS (SELECT item_id AS question_id, {sql_terms('text', T.RERANK_STOP_WORDS, 'length(w) >= 2')} AS t FROM benchmark), t AS (SELECT question_id, {sql_distinct('t')} AS terms FROM t0),
+sc AS (SELECT f.question_id, chunk_id, rank AS rank_before, CASE WHEN len(terms) = 0 THEN 0 ELSE len(list_filter(terms, lambda w: contains(cmp, w))) / len(terms) END AS score
+  FROM (SELECT *, {SQL_COMPARABLE.format(x='content')} AS cmp FROM fused) f JOIN t USING (question_id)),
+rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank_before) AS INTEGER) AS rank FROM sc)"""
+
+
+@query(f"WITH {SQL_HYBRID}, {SQL_RERANK} SELECT question_id, chunk_id, round(score, 6) AS reranker_score, rank FROM rr")
+def textual_rerank(spark, sf_dir):
+    return fuse.rerank(hybrid(spark, sf_dir)).select("question_id", "chunk_id", F.round("reranker_score", 6).alias("reranker_score"), "rank")
+
+
+@query(f"WITH {SQL_HYBRID}, {SQL_RERANK} SELECT question_id, chunk_id, rank_before, rank AS rank_after, rank_before - rank AS moved FROM rr")
+def rerank_delta(spark, sf_dir):
+    return fuse.rerank(hybrid(spark, sf_dir)).select("question_id", "chunk_id", "rank_before", F.col("rank").alias("rank_after"), (F.col("rank_before") - F.col("rank")).alias("moved"))
+
+
+@query(
+    f"""WITH {SQL_HYBRID}, x AS (SELECT * FROM fused WHERE rank <= 1 AND question_id % 2 = 0 OR rank <= 3 AND question_id % 2 = 1),
+n AS (SELECT *, count(*) OVER (PARTITION BY question_id) AS n, count(lexical_score) OVER (PARTITION BY question_id) AS lex,
+  list_filter(list_distinct(regexp_extract_all(question, '\\b\\p{{Lu}}[\\p{{L}}\\p{{N}}]*(?:[-_][\\p{{L}}\\p{{N}}]+)*\\b')), lambda t: lower(t) NOT IN ({', '.join(f"'{w}'" for w in T.NAMED_TERM_IGNORED)})) AS named FROM x)
+SELECT question_id, chunk_id, CASE WHEN n = 1 AND lex = 0 AND len(named) > 0 AND len(list_filter(named, lambda t: contains(lower(content), lower(t)))) = 0 THEN 'isolated_vector_hit_without_named_term' END AS abstain_reason FROM n"""
+)
+def hybrid_abstention(spark, sf_dir):
+    few = hybrid(spark, sf_dir).where(((F.col("rank") <= 1) & (F.col("question_id") % 2 == 0)) | ((F.col("rank") <= 3) & (F.col("question_id") % 2 == 1)))
+    return select.abstain(few).select("question_id", "chunk_id", "abstain_reason")
+
+
+@query(f"WITH {SQL_HYBRID} SELECT question_id, chunk_id, rank, CASE WHEN rank > 5 THEN 'source_limit' END AS budget_reason FROM fused")
+def context_chunk_limit(spark, sf_dir):
+    return select.budget(hybrid(spark, sf_dir), limit=5).select("question_id", "chunk_id", "rank", "budget_reason")
+
+
+@query(
+    f"""WITH RECURSIVE {SQL_HYBRID},
+f AS (SELECT question_id, chunk_id, rank, length(content) AS n FROM fused),
+b AS (SELECT question_id, chunk_id, rank, CASE WHEN n <= 4000 THEN 1 ELSE 0 END AS kept, CASE WHEN n <= 4000 THEN n ELSE 0 END AS used, CASE WHEN n > 4000 THEN 'context_budget' END AS reason FROM f WHERE rank = 1
+ UNION ALL SELECT f.question_id, f.chunk_id, f.rank, b.kept + CASE WHEN b.kept < 5 AND b.used + n <= 4000 THEN 1 ELSE 0 END, b.used + CASE WHEN b.kept < 5 AND b.used + n <= 4000 THEN n ELSE 0 END,
+  CASE WHEN b.kept >= 5 THEN 'source_limit' WHEN b.used + n > 4000 THEN 'context_budget' END FROM b JOIN f ON f.question_id = b.question_id AND f.rank = b.rank + 1)
+SELECT question_id, chunk_id, rank, reason AS budget_reason FROM b"""
+)
+def context_char_budget(spark, sf_dir):
+    return select.budget(hybrid(spark, sf_dir), limit=5, maximum_characters=4000).select("question_id", "chunk_id", "rank", "budget_reason")
+
+
+@query()
+def adaptive_select(spark, sf_dir):
+    return select.adaptive_select(hybrid(spark, sf_dir)).select("question_id", "chunk_id", "rank", "selected", "reason")
+
+
+@query()
+def heuristic_rewrite(spark, sf_dir):
+    return fuse.rewrite_queries(questions(spark, sf_dir)).select("question_id", "query_no", "query")
+
+
+def placed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_id")) - 1
+    return vector_chunks(spark, sf_dir).withColumns({"position": place, "content": F.col("chunk_id").cast("string")})
+
+
+@query(
+    f"""WITH {SQL_VECTORS}, pv AS (SELECT chunk_id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) - 1 AS position FROM v),
+d AS (SELECT question_id, chunk_id, {SQL_DISTANCE['cosine']} AS d FROM v, q), h0 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, chunk_id) AS hit_rank FROM d),
+h AS (SELECT question_id, hit_rank, h0.chunk_id, document_id, position FROM h0 JOIN pv USING (chunk_id) WHERE hit_rank <= 3),
+n AS (SELECT h.question_id, h.hit_rank, pv.chunk_id, pv.position, TRUE AS neighbor FROM h JOIN pv ON pv.document_id = h.document_id AND pv.position BETWEEN h.position - 1 AND h.position + 2 AND pv.position <> h.position
+  WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.question_id = h.question_id AND x.chunk_id = pv.chunk_id)),
+u AS (SELECT question_id, hit_rank, chunk_id, position, FALSE AS neighbor FROM h UNION ALL SELECT * FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY neighbor, hit_rank) AS nth FROM u)
+SELECT question_id, chunk_id, CAST(position AS INTEGER) AS position, neighbor, CAST(row_number() OVER (PARTITION BY question_id ORDER BY hit_rank, position, chunk_id) AS INTEGER) AS rank FROM o WHERE nth = 1"""
+)
+def neighbor_expand(spark, sf_dir):
+    chunks = placed_vectors(spark, sf_dir)
+    hits = search.vector_search(chunks, vector_questions(chunks), limit=3, keys=["question_id"], carry=["position", "content"])
+    return select.expand_neighbors(hits, chunks, before=1, after=2).select("question_id", "chunk_id", "position", "neighbor", "rank")
+
+
+# ---- evaluation ----------------------------------------------------------------------------------------------------
+
+SQL_GOLDEN = """g AS (SELECT item_id AS case_id, list_transform(list_slice(string_split(text, ' '), 1, 2), lambda w: lower(w)) AS terms FROM benchmark WHERE item_id < 10)"""
+
+
+def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).where("question_id < 10").select(F.col("question_id").alias("case_id"), F.slice(F.split("content", " "), 1, 2).alias("terms"))
+
+
+def _golden(spark, sf_dir, mode):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return evaluate.golden_match(docs, golden_cases(spark, sf_dir), mode)
+
+
+@query(f"WITH {SQL_GOLDEN} SELECT case_id, doc_id AS chunk_id FROM documents, g WHERE len(list_filter(terms, lambda t: contains(lower(text), t))) > 0")
+def golden_match_any(spark, sf_dir):
+    return _golden(spark, sf_dir, "any")
+
+
+@query(f"WITH {SQL_GOLDEN} SELECT case_id, doc_id AS chunk_id FROM documents, g WHERE len(list_filter(terms, lambda t: contains(lower(text), t))) = len(terms)")
+def golden_match_all(spark, sf_dir):
+    return _golden(spark, sf_dir, "all")
+
+
+def _rank_case(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Retrieved: the ten nearest vectors of ten questions. Expected: of the question's label, every tenth vector."""
+    chunks = vector_chunks(spark, sf_dir)
+    asked = chunks.where("chunk_id < 10").select(F.col("chunk_id").alias("case_id"), F.col("embedding").alias("query_embedding"), F.col("document_id").alias("label"))
+    got = search.vector_search(chunks, asked, limit=10, keys=["case_id"])
+    want = chunks.where("chunk_id % 10 = 0").select("chunk_id", F.col("document_id").alias("label")).join(F.broadcast(asked.select("case_id", "label")), "label").select("case_id", "chunk_id", F.col("label").alias("document_id"))
+    return got, want
+
+
+def sql_rank_metrics(item: str, prefix: str) -> str:
+    return f"""{SQL_VECTORS.replace('chunk_id < 5', 'chunk_id < 10')}, ql AS (SELECT chunk_id AS question_id, document_id AS label FROM v WHERE chunk_id < 10),
+d AS (SELECT question_id, chunk_id, document_id, {SQL_DISTANCE['cosine']} AS d FROM v, q), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, chunk_id) AS rank FROM d),
+s0 AS (SELECT question_id, {item}, min(rank) AS seen_at FROM r WHERE rank <= 10 GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY seen_at) AS rank FROM s0),
+w AS (SELECT DISTINCT question_id, {item} FROM (SELECT question_id, chunk_id, document_id FROM v JOIN ql ON document_id = label WHERE chunk_id % 10 = 0)),
+a AS (SELECT question_id, count(*) AS want, count(rank) AS hit, min(rank) AS first, (SELECT count(*) FROM s z WHERE z.question_id = w.question_id) AS seen FROM w LEFT JOIN s USING (question_id, {item}) GROUP BY question_id),
+scores AS (SELECT question_id AS case_id, unnest(['{prefix}_recall', '{prefix}_precision', '{prefix}_mrr', '{prefix}_hit_rate', '{prefix}_hit_at_1']) AS metric,
+  unnest([hit / want, hit / seen, coalesce(1 / first, 0), CASE WHEN hit > 0 THEN 1 ELSE 0 END, CASE WHEN first = 1 THEN 1 ELSE 0 END]) AS value, unnest([hit = want, hit > 0, hit > 0, hit > 0, coalesce(first, 0) = 1]) AS passed FROM a)"""
+
+
+@query(f"WITH {sql_rank_metrics('chunk_id', 'chunk')} SELECT case_id, metric, round(value, 6) AS value, passed FROM scores")
+def rank_metrics_chunk(spark, sf_dir):
+    return evaluate.rank_metrics(*_rank_case(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {sql_rank_metrics('document_id', 'document')} SELECT case_id, metric, round(value, 6) AS value, passed FROM scores")
+def rank_metrics_document(spark, sf_dir):
+    return evaluate.rank_metrics(*_rank_case(spark, sf_dir), item="document_id", prefix="document").withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {sql_rank_metrics('chunk_id', 'chunk')} SELECT metric, count(*) AS cases, round(avg(value), 6) AS average, CAST(sum(CAST(passed AS INTEGER)) AS BIGINT) AS passed FROM scores GROUP BY metric")
+def eval_report_avg(spark, sf_dir):
+    return evaluate.report(evaluate.rank_metrics(*_rank_case(spark, sf_dir))).withColumn("average", F.round("average", 6))
+
+
+SQL_PAIRS = "pairs AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    told = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return asked.join(told, ["conv_id", "turn"])
+
+
+@query(f"WITH {SQL_PAIRS} SELECT conv_id, turn, answer = question AS strict, {SQL_COMPARABLE.format(x='answer')} = {SQL_COMPARABLE.format(x='question')} AS normalized FROM pairs")
+def exact_match(spark, sf_dir):
+    strict, normalized = evaluate.exact_match(F.col("answer"), F.col("question"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", strict.alias("strict"), normalized.alias("normalized"))
+
+
+@query(
+    f"""WITH {SQL_PAIRS}, t0 AS (SELECT *, {sql_terms('question', T.SIGNIFICANT_STOP_WORDS, SQL_SIGNIFICANT)} AS t, {SQL_COMPARABLE.format(x='answer')} AS cmp FROM pairs), t AS (SELECT *, {sql_distinct('t')} AS terms FROM t0)
+SELECT conv_id, turn, CASE WHEN len(terms) > 0 THEN round(len(list_filter(terms, lambda w: contains(cmp, w))) / len(terms), 6) END AS score FROM t"""
+)
+def answer_relevance(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", F.round(evaluate.relevance(F.col("question"), F.col("answer")), 6).alias("score"))
+
+
+SQL_GROUPS = "list_transform(list_slice(string_split(question, ' '), 1, 6), lambda w: [w, w || 's'])"
+
+
+@query(
+    f"""WITH {SQL_PAIRS}, g AS (SELECT *, {SQL_GROUPS} AS groups, {SQL_COMPARABLE.format(x='answer')} AS cmp FROM pairs)
+SELECT conv_id, turn, round(len(list_filter(groups, lambda g: len(list_filter(g, lambda t: contains(cmp, {SQL_COMPARABLE.format(x='t')}))) > 0)) / len(groups), 6) AS score FROM g"""
+)
+def expected_terms(spark, sf_dir):
+    groups = F.transform(F.slice(F.split("question", " "), 1, 6), lambda w: F.array(w, F.concat(w, F.lit("s"))))
+    return pairs(spark, sf_dir).select("conv_id", "turn", F.round(evaluate.terms_score(F.col("answer"), groups), 6).alias("score"))
+
+
+@query(
+    f"""WITH {SQL_PAIRS}, g AS (SELECT *, CASE WHEN turn % 4 = 0 THEN {SQL_GROUPS} END AS claims, CASE WHEN turn % 4 <> 0 THEN string_split(question, ' ')[1] END AS expected, {SQL_COMPARABLE.format(x='answer')} AS cmp FROM pairs)
+SELECT conv_id, turn, CASE WHEN len(claims) > 0 THEN round(len(list_filter(claims, lambda g: len(list_filter(g, lambda t: contains(cmp, {SQL_COMPARABLE.format(x='t')}))) > 0)) / len(claims), 6)
+ WHEN expected IS NOT NULL THEN CASE WHEN contains(cmp, {SQL_COMPARABLE.format(x='expected')}) THEN 1 ELSE 0 END END AS score FROM g"""
+)
+def correctness(spark, sf_dir):
+    even = F.col("turn") % 4 == 0
+    wanted = F.when(even, F.transform(F.slice(F.split("question", " "), 1, 6), lambda w: F.array(w, F.concat(w, F.lit("s")))))
+    expected = F.when(~even, F.element_at(F.split("question", " "), 1))
+    return pairs(spark, sf_dir).select("conv_id", "turn", F.round(evaluate.correctness(F.col("answer"), wanted, expected), 6).alias("score"))
+
+
+@query()
+def groundedness(spark, sf_dir):
+    rows = pairs(spark, sf_dir).withColumn("case_id", F.concat_ws(":", "conv_id", "turn"))
+    sources = rows.select("case_id", F.lit(1).alias("source_rank"), F.col("question").alias("chunk_id"), F.col("question").alias("content"))
+    return evaluate.groundedness(rows.select("case_id", "answer"), sources, language="en")
+
+
+# ---- versions and the store's set operations -----------------------------------------------------------------------
+
+SQL_VERSIONS = "vs AS (SELECT o_custkey AS document_id, o_orderkey AS ord, o_orderkey AS version_id, o_orderdate AS valid_from, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate + INTERVAL 60 DAY END AS valid_until FROM orders)"
+
+
+def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    until = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate") + F.expr("interval 60 days"))
+    return o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("version_id"), F.col("o_orderdate").alias("valid_from"), until.alias("valid_until"))
+
+
+@query("SELECT document_id, version_id FROM (SELECT o_custkey AS document_id, o_orderkey AS version_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def version_latest_active(spark, sf_dir):
+    return versions.latest(order_versions(spark, sf_dir), keys=("document_id",), by="ord").select("document_id", "version_id")
+
+
+@query(f"WITH {SQL_VERSIONS} SELECT document_id, version_id FROM vs WHERE valid_from <= TIMESTAMP '1997-06-01' AND valid_until > TIMESTAMP '1997-06-01'")
+def version_valid_at(spark, sf_dir):
+    return search.in_state(order_versions(spark, sf_dir), valid_at="1997-06-01 00:00:00").select("document_id", "version_id")
+
+
+@query(f"WITH {SQL_VERSIONS} SELECT document_id, version_id FROM vs WHERE valid_from <= TIMESTAMP '1997-06-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1997-06-01')")
+def version_valid_at_open(spark, sf_dir):
+    at = F.lit("1997-06-01 00:00:00").cast("timestamp")
+    return order_versions(spark, sf_dir).where(versions.is_valid_at(at, F.col("valid_from"), F.col("valid_until"))).select("document_id", "version_id")
+
+
+@query(
+    f"""WITH {SQL_VERSIONS}, c AS (SELECT l.document_id, l.version_id AS left_version, r.version_id AS right_version, row_number() OVER (PARTITION BY l.version_id ORDER BY r.ord) AS n FROM vs l JOIN vs r
+  ON l.document_id = r.document_id AND l.ord < r.ord AND l.valid_from <= r.valid_from AND r.valid_from < l.valid_until)
+SELECT document_id, left_version, right_version, 'overlapping-validity-window' AS reason FROM c WHERE n = 1"""
+)
+def version_conflicts(spark, sf_dir):
+    return versions.conflicts(order_versions(spark, sf_dir))
+
+
+def _left(spark, sf_dir, **equals):
+    return versions.delete(line_chunks(spark, sf_dir), **equals)[0].groupBy("tenant_id", "collection").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQL_LINES} SELECT source AS tenant_id, lang AS collection, count(*) AS n FROM chunks WHERE NOT (source = 'src0' AND lang = 'fr' AND doc_id = 0 AND position = 1) GROUP BY ALL")
+def delete_chunk_remaining(spark, sf_dir):
+    rows = line_chunks(spark, sf_dir)
+    one = rows.where("document_id = '0' and position = 1").select("chunk_id").first()
+    return _left(spark, sf_dir, tenant_id="src0", collection="fr", chunk_id=one["chunk_id"])
+
+
+@query(f"WITH {SQL_LINES} SELECT source AS tenant_id, lang AS collection, count(*) AS n FROM chunks WHERE NOT (source = 'src0' AND doc_id = 0) GROUP BY ALL")
+def delete_document_remaining(spark, sf_dir):
+    return _left(spark, sf_dir, tenant_id="src0", document_id="0")
+
+
+@query(f"WITH {SQL_LINES} SELECT source AS tenant_id, lang AS collection, count(*) AS n FROM chunks WHERE NOT (source = 'src0' AND lang = 'en') GROUP BY ALL")
+def delete_collection_remaining(spark, sf_dir):
+    return _left(spark, sf_dir, tenant_id="src0", collection="en")
+
+
+@query(
+    f"""WITH {SQL_LINES}, n AS (SELECT chunk_id, CASE WHEN doc_id % 5 = 0 THEN content || '!' ELSE content END AS content, position FROM chunks)
+SELECT chunk_id, content, position FROM n"""
+)
+def storebatch_upsert_latest(spark, sf_dir):
+    rows = line_chunks(spark, sf_dir).withColumns({"embedding_space_fingerprint": F.lit("s"), "document_version": F.lit("1")})
+    again = rows.where(F.col("document_id").cast("long") % 5 == 0).withColumns({"content": F.concat("content", F.lit("!")), "position": F.lit(-1)})
+    return versions.upsert(rows, again).select("chunk_id", "content", "position")
+
+
+@query("SELECT source AS tenant_id, count(*) AS documents, count(DISTINCT text) AS embedded FROM documents GROUP BY source")
+def embedding_cache_dedup(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    rows, _ = embedded_once(docs, HashingProvider())
+    return rows.groupBy("tenant_id").agg(F.count("*").alias("documents"), F.count_distinct("content").alias("embedded"))
+
+
+@query()
+def hashing_embed(spark, sf_dir):
+    vector = hashing_embedding(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.transform(vector, lambda x: F.round(x, 6)).alias("embedding"))
+
+
+# ---- parsing, chunking, prompts, answers ---------------------------------------------------------------------------
+
+
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, F.posexplode("blocks").alias("block_index", "b")).select(key, "block_index", "b.type", "b.content", "b.level")
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content"), F.create_map(F.lit("source"), F.lit("page.html")).alias("metadata"))
+    return _blocks(parse.parsed(pages), "page_id")
+
+
+@query(
+    """WITH j AS (SELECT event_id, props, json_keys(props) AS ks FROM events), e AS (SELECT event_id, unnest(ks) AS k, unnest(range(0, len(ks))) AS n, props FROM j)
+SELECT event_id, CAST(2 * n AS INTEGER) AS block_index, 'section' AS type, k AS content FROM e UNION ALL SELECT event_id, CAST(2 * n + 1 AS INTEGER), 'paragraph', json_extract_string(props, '$.' || k) FROM e"""
+)
+def json_blocks(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("props is not null").select("event_id", F.col("props").alias("content"), F.create_map(F.lit("format"), F.lit("json")).alias("metadata"))
+    return _blocks(parse.parsed(rows), "event_id").drop("level")
+
+
+@query(
+    f"""WITH p AS (SELECT source AS path, doc_id AS page, trim(text, {SQL_TRIM}) AS text FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY page) AS nth FROM p WHERE text <> ''),
+w AS (SELECT path, (nth - 1) // 3 AS win, min(page) AS first_page, max(page) AS last_page, string_agg('[[PAGE:' || page || ']]' || chr(10) || text, chr(10) || chr(10) ORDER BY page) AS content FROM n GROUP BY ALL)
+SELECT sha256('t' || chr(0) || path || chr(0) || first_page || chr(0) || last_page) AS document_id, path AS source, content FROM w"""
+)
+def pdf_windows(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("page"), "text")
+    return files.page_windows(pages, "t").select("document_id", F.col("metadata")["source"].alias("source"), "content")
+
+
+@query()
+def pdf_blocks(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("page"), "text")
+    rows = files.page_windows(pages, "t")
+    return _blocks(rows.select("document_id", parse.page_blocks(F.col("content")).alias("blocks")), "document_id")
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    return chunking.recursive_chunks(documents(spark, sf_dir).drop("metadata")).select("chunk_id", "document_id", "position", "content")
+
+
+@query()
+def structural_chunks(spark, sf_dir):
+    return chunking.structural_chunks(documents(spark, sf_dir), chunking.Limit("characters", 1000)).select("chunk_id", "document_id", "position", "block_type", "content")
+
+
+SQL_ESCAPE = "replace(replace(replace(replace(replace(replace({x}, '<CONTEXT', '&lt;CONTEXT'), '</CONTEXT>', '&lt;/CONTEXT&gt;'), '<SOURCE', '&lt;SOURCE'), '</SOURCE>', '&lt;/SOURCE&gt;'), '<QUESTION', '&lt;QUESTION'), '</QUESTION>', '&lt;/QUESTION&gt;')"
+
+
+@query(
+    f"""WITH {SQL_HYBRID}, s AS (SELECT question_id, string_agg('<SOURCE rank="' || rank || '" origin="ranked-hit" position="0" chunk_id="' || chunk_id || '" document_id="' || CAST(chunk_id AS BIGINT) || '" document_version="" revision="" status="" valid_from="" valid_until="">' || chr(10) || {SQL_ESCAPE.format(x='content')} || chr(10) || '</SOURCE>', chr(10) ORDER BY rank) AS c, count(*) AS n FROM fused WHERE rank <= 3 AND question_id % 4 <> 0 GROUP BY ALL)
+SELECT item_id AS question_id, '<TENANT>acme</TENANT>' || chr(10) || chr(10) || coalesce('<CONTEXT>' || chr(10) || c || chr(10) || '</CONTEXT>', '<CONTEXT empty="true">' || chr(10) || 'No evidence was retrieved.' || chr(10) || '</CONTEXT>') || chr(10) || chr(10) || '<QUESTION>' || chr(10) || {SQL_ESCAPE.format(x='text')} || chr(10) || '</QUESTION>' AS prompt, CAST(coalesce(n, 0) AS INTEGER) AS n_sources
+FROM benchmark LEFT JOIN s ON item_id = question_id"""
+)
+def prompt_build(spark, sf_dir):
+    sources = hybrid(spark, sf_dir).where("rank <= 3 and question_id % 4 <> 0").withColumn("position", F.lit(0))
+    built = build_prompts(questions(spark, sf_dir).withColumn("tenant_id", F.lit("acme")), sources)
+    return built.select("question_id", F.element_at("messages", 2)["content"].alias("prompt"), "n_sources")
+
+
+@query(f"WITH {SQL_HYBRID}, s AS (SELECT DISTINCT question_id FROM fused WHERE lexical_score >= 0.5) SELECT item_id AS question_id, s.question_id IS NOT NULL AS answered FROM benchmark LEFT JOIN s ON item_id = s.question_id")
+def rag_no_evidence_split(spark, sf_dir):
+    from tessella.plans.rag import ExtractiveModel, answer
+
+    good = hybrid(spark, sf_dir).where("lexical_score >= 0.5").withColumn("position", F.lit(0))
+    told = answer(questions(spark, sf_dir).withColumn("tenant_id", F.lit("acme")), good, ExtractiveModel()).answers
+    return told.select("question_id", "answered")
+
+
+@query("SELECT count(*) AS documents, count(*) FILTER (length(trim(text)) > 0) AS activated, count(*) FILTER (length(trim(text)) = 0) AS failed FROM documents")
+def ingest_report(spark, sf_dir):
+    import uuid
+
+    from tessella.plans.ingest import ingest, totals
+    from tessella.sources.store import ChunkStore
+
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tessella").rstrip("/")
+    report = ingest(documents(spark, sf_dir), ChunkStore(spark, f"{shared}/store-{uuid.uuid4().hex}"), HashingProvider())
+    return totals(report).select("documents", "activated", "failed")
+
+
+# ---- streams, as batches -------------------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS starts, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    from tessella.streaming.ingest import windowed_counts as counted
+
+    return counted(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
