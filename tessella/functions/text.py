@@ -20,6 +20,11 @@ CLAIM_VERBS = {"pt": ("e", "foi|é|era|possui|tem|representa|criou|aceita"), "en
 NEGATIONS = {"pt": "não|nunca|jamais|sem", "en": "is not|was not|has no|does not have|never|without"}
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: the optimizer would copy it to each use, lambda bodies included."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trimmed(x: Column) -> Column:
     return F.btrim(x, F.lit(TRIM))
 
@@ -137,24 +142,36 @@ def noise(x: Column, enabled: bool = True) -> Column:
     content = decision("content", None, None)
     if not enabled:
         return content
-    x = trimmed(x)
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern))
-    compact = F.regexp_replace(x, r"(?U)\s+", "")
-    letters, digits = count(compact, r"\p{L}"), count(compact, r"\p{N}")
-    ratio = letters / F.greatest(F.lit(1), F.length(compact))
-    tokens = words(x)
-    isolated = F.size(F.filter(tokens, lambda t: F.length(F.btrim(t, F.lit(".,:;|()[]{}"))) == 1))
-    isolated_ratio = F.when(F.size(tokens) == 0, 0.0).otherwise(isolated / F.size(tokens))
-    natural = F.size(F.filter(tokens, lambda t: t.rlike(r"\p{L}{3,}")))
-    lines = F.filter(F.split(x, r"\R"), lambda t: t != "")
-    single = F.size(F.filter(lines, lambda t: trimmed(t).rlike(r"^[\p{L}\p{N}]$")))
-    return (
-        F.when((x == "") | (F.length(x) < MIN_LENGTH), decision("unknown", "block_too_short", 0.95))
-        .when((digits >= 3) & (letters == 0) & x.rlike(r"(?U)^[\p{N}\s.,;:+\-]+$"), decision("diagram_text", "numeric_only_layout", 1.0))
-        .when((F.size(lines) >= 3) & (single == F.size(lines)), decision("figure_text", "isolated_character_lines", 1.0))
-        .when((F.size(tokens) >= 3) & (isolated_ratio >= MAX_ISOLATED) & (natural == 0), decision("diagram_text", "isolated_token_sequence", 0.98))
-        .when((count(x, r"\h{2,}") > MAX_SPACE_GROUPS) & (natural < 2) & (isolated_ratio >= SPARSE_ISOLATED), decision("diagram_text", "sparse_layout_columns", 0.95))
-        .when((letters < MIN_LETTERS) & ((digits > 0) | (ratio < MIN_TEXT_RATIO)), decision("unknown", "insufficient_alphabetic_content", 0.90))
-        .when((ratio < MIN_TEXT_RATIO) & (natural < 2), decision("unknown", "low_natural_language_density", 0.85))
-        .otherwise(content)
-    )
+    part = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
+
+    def measured(x: Column) -> Column:
+        compact, tokens, lines = F.regexp_replace(x, r"(?U)\s+", ""), words(x), F.filter(F.split(x, r"\R"), lambda t: t != "")
+        return F.struct(
+            x.alias("x"),
+            count(compact, r"\p{L}").alias("letters"),
+            count(compact, r"\p{N}").alias("digits"),
+            F.greatest(F.lit(1), F.length(compact)).alias("visible"),
+            F.size(tokens).alias("tokens"),
+            F.size(F.filter(tokens, lambda t: F.length(F.btrim(t, F.lit(".,:;|()[]{}"))) == 1)).alias("isolated"),
+            F.size(F.filter(tokens, lambda t: t.rlike(r"\p{L}{3,}"))).alias("natural"),
+            count(x, r"\h{2,}").alias("gaps"),
+            F.size(lines).alias("lines"),
+            F.size(F.filter(lines, lambda t: trimmed(t).rlike(r"^[\p{L}\p{N}]$"))).alias("single"),
+        )
+
+    def judged(m: Column) -> Column:
+        x, letters, digits = m["x"], m["letters"], m["digits"]
+        ratio, isolated = letters / m["visible"], part(m["isolated"], m["tokens"])
+        return (
+            F.when((x == "") | (F.length(x) < MIN_LENGTH), decision("unknown", "block_too_short", 0.95))
+            .when((digits >= 3) & (letters == 0) & x.rlike(r"(?U)^[\p{N}\s.,;:+\-]+$"), decision("diagram_text", "numeric_only_layout", 1.0))
+            .when((m["lines"] >= 3) & (m["single"] == m["lines"]), decision("figure_text", "isolated_character_lines", 1.0))
+            .when((m["tokens"] >= 3) & (isolated >= MAX_ISOLATED) & (m["natural"] == 0), decision("diagram_text", "isolated_token_sequence", 0.98))
+            .when((m["gaps"] > MAX_SPACE_GROUPS) & (m["natural"] < 2) & (isolated >= SPARSE_ISOLATED), decision("diagram_text", "sparse_layout_columns", 0.95))
+            .when((letters < MIN_LETTERS) & ((digits > 0) | (ratio < MIN_TEXT_RATIO)), decision("unknown", "insufficient_alphabetic_content", 0.90))
+            .when((ratio < MIN_TEXT_RATIO) & (m["natural"] < 2), decision("unknown", "low_natural_language_density", 0.85))
+            .otherwise(content)
+        )
+
+    return let(trimmed(x), lambda t: let(measured(t), judged))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.text import let
+
 METRICS = ("cosine", "l2", "l1", "inner_product")
 
 
@@ -27,10 +29,8 @@ def norm(a: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine, the cosine clamped to [-1, 1]; 1 where a vector is all zero."""
-    lengths = norm(a) * norm(b)
-    similarity = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(a, b) / F.nullif(lengths, F.lit(0.0))))
-    # greatest() and least() skip nulls, so the zero vector needs a case of its own
-    return F.when(lengths == 0, 1.0).otherwise(1 - similarity)
+    clamped = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x))
+    return let(norm(a) * norm(b), lambda lengths: F.when(lengths == 0, 1.0).otherwise(1 - clamped(dot(a, b) / F.nullif(lengths, F.lit(0.0)))))
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:

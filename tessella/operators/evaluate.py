@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import claims, comparable, is_negated, protected_terms, sentences, significant_terms, trimmed
+from tessella.functions.text import claims, comparable, is_negated, let, protected_terms, sentences, significant_terms, trimmed
 
 COVERAGE, EXCERPT = 0.6, 240
 
@@ -56,8 +56,7 @@ def no_evidence_metric(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
 def evidence_recall(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """Of the evidence (case_id, evidence_no, document_id, groups) the part for which one source of that document
     (case_id, document_id, content) has an alternative of every group."""
-    text = comparable(F.col("content"))
-    held = F.forall("groups", lambda g: F.exists(g, lambda t: F.contains(text, comparable(t))))
+    held = let(comparable(F.col("content")), lambda text: F.forall("groups", lambda g: F.exists(g, lambda t: F.contains(text, comparable(t)))))
     met = evidence.join(sources, ["case_id", "document_id"], "left").withColumn("met", F.coalesce(held, F.lit(False)))
     per = met.groupBy("case_id", "evidence_no").agg(F.max("met").alias("met")).groupBy("case_id").agg(F.avg(F.col("met").cast("double")).alias("v"))
     return _long(per, {"evidence_recall": (F.col("v"), F.col("v") == 1)})
@@ -68,24 +67,29 @@ def exact_match(answer: Column, expected: Column) -> tuple[Column, Column]:
     return answer == expected, comparable(answer) == comparable(expected)
 
 
+def _part_met(answer: Column, groups: Column) -> Column:
+    met = lambda text: F.size(F.filter(groups, lambda g: F.exists(g, lambda t: F.contains(text, comparable(t)))))
+    return let(comparable(answer), met) / F.size(groups)
+
+
 def terms_score(answer: Column, groups: Column) -> Column:
     """Part of the groups of which an alternative is in the answer; null without groups."""
-    text = comparable(answer)
-    met = F.size(F.filter(groups, lambda g: F.exists(g, lambda t: F.contains(text, comparable(t)))))
-    return F.when(F.size(groups) > 0, met / F.size(groups))
+    return F.when(F.size(groups) > 0, _part_met(answer, groups))
 
 
 def correctness(answer: Column, claims_: Column, expected: Column) -> Column:
     """Part of the expected claims (arrays of alternatives) found; else whether the expected answer is found; else null."""
-    text = comparable(answer)
-    met = F.size(F.filter(claims_, lambda c: F.exists(c, lambda t: F.contains(text, comparable(t)))))
-    return F.when(F.coalesce(F.size(claims_), F.lit(0)) > 0, met / F.size(claims_)).when(expected.isNotNull(), F.contains(text, comparable(expected)).cast("double"))
+    whole = F.contains(comparable(answer), comparable(expected)).cast("double")
+    return F.when(F.coalesce(F.size(claims_), F.lit(0)) > 0, _part_met(answer, claims_)).when(expected.isNotNull(), whole)
 
 
 def relevance(question: Column, answer: Column) -> Column:
     """Part of the question's significant terms that the answer has; null if it has none."""
-    terms, text = significant_terms(question), comparable(answer)
-    return F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.contains(text, t))) / F.size(terms))
+
+    def part(terms: Column, text: Column) -> Column:
+        return F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.contains(text, t))) / F.size(terms))
+
+    return let(significant_terms(question), lambda terms: let(comparable(answer), lambda text: part(terms, text)))
 
 
 def supported_claims(answers: DataFrame, sources: DataFrame, language: str = "pt") -> DataFrame:

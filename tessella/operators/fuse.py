@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import comparable, rerank_terms
+from tessella.functions.text import comparable, let, rerank_terms
 
 LEXICAL = "__lexical__"
 CONSTANT = 60
@@ -81,10 +81,11 @@ def fuse(rankings: DataFrame, *, limit: int, weights: Mapping[str, float] | None
 
 
 def textual_score(question: Column, content: Column) -> Column:
-    terms = rerank_terms(question)
-    text = comparable(content)
-    found = F.size(F.filter(terms, lambda t: F.contains(text, t)))
-    return F.when(F.size(terms) == 0, 0.0).otherwise(found / F.size(terms))
+    def part(terms: Column, text: Column) -> Column:
+        found = F.size(F.filter(terms, lambda t: F.contains(text, t)))
+        return F.when(F.size(terms) == 0, 0.0).otherwise(found / F.size(terms))
+
+    return let(rerank_terms(question), lambda terms: let(comparable(content), lambda text: part(terms, text)))
 
 
 def rerank(rows: DataFrame, score: Column | None = None, *, candidate_limit: int | None = None) -> DataFrame:
