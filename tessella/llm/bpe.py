@@ -7,9 +7,10 @@ SAFE_SPACE and the two users of this module.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 #: A single space between two characters that are surely not white space for any of the libraries.
 SAFE_SPACE = r"(?<=[!-~¡-ᙿ]) (?=[!-~¡-ᙿ])"
 
@@ -32,9 +33,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordCache(dict):
-    """What encoded words give. It is emptied when full, so a worker's memory is bounded."""
-
-    def room(self, more: int) -> None:
-        if len(self) + more > CACHE_ENTRIES:
-            self.clear()
+class WordCache:
+    """What encoded words give, in two generations: words that are met again move to the young one, and when that is
+    full the old one is dropped. So a worker's memory is bounded and common words stay."""
+
+    def __init__(self, entries: int = CACHE_ENTRIES):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.entries = entries
+
+    def known(self, words: Iterable[str], encode: Callable[[list[str]], Iterable]) -> dict:
+        """A dict that holds all of words; encode gets the ones that are new."""
+        if len(self.young) > self.entries:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        if new:
+            young.update(zip(new, encode(new)))
+        return young

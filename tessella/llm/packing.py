@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +37,35 @@ _SPLIT = re.compile(SAFE_SPACE)
 _CACHES: dict[str, WordCache] = {}
 
 
+@lru_cache(2)
+def _opens_word(path: str) -> np.ndarray:
+    """By id, whether the token begins with the space in front of a word."""
+    made = tokenizer(path)
+    return np.array([(made.id_to_token(i) or "").startswith("Ġ") for i in range(made.get_vocab_size())])
+
+
+def _encode_words(words: list[str], path: str) -> list[bytes]:
+    """Ids of words. Words that begin with their only space are encoded as one text and told apart by the tokens that begin with it."""
+    made, opens = tokenizer(path), _opens_word(path)
+    out: list[bytes] = [b""] * len(words)
+    plain = [i for i, w in enumerate(words) if w.rfind(" ") == 0]
+    for k in range(0, len(plain), 4096):
+        some = plain[k : k + 4096]
+        ids = np.array(made.encode_batch_fast(["".join([words[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(opens[ids])
+        if len(starts) != len(some):
+            raise AssertionError("a word's first token must be the only one that begins with a space")
+        raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+        for i, a, b in zip(some, (4 * starts).tolist(), ends):
+            out[i] = raw[a:b]
+    other = [i for i, w in enumerate(words) if w.rfind(" ") != 0]
+    for k in range(0, len(other), 4096):
+        some = other[k : k + 4096]
+        for i, got in zip(some, made.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+            out[i] = np.array(got.ids, "<u4").tobytes()
+    return out
+
+
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of whole texts as little-endian unsigned 32-bit numbers.
 
@@ -43,20 +73,12 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     ids; equal words are encoded once. A special token's string holds no space, so it is never cut."""
     cache = _CACHES.setdefault(path, WordCache())
     out: list[bytes] = []
-    for k in range(0, len(texts), 256):
+    for k in range(0, len(texts), 512):
         parts = []
-        for text in texts[k : k + 256]:
+        for text in texts[k : k + 512]:
             first, *rest = _SPLIT.split(text or "")
             parts.append(([first] if first else []) + [" " + w for w in rest])
-        new = list({w for p in parts for w in p if w not in cache})
-        cache.room(len(new))
-        if not cache:
-            new = list({w for p in parts for w in p})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for word, got in zip(some, tokenizer(path).encode_batch_fast(some, add_special_tokens=False)):
-                cache[word] = np.array(got.ids, "<u4").tobytes()
-        get = cache.__getitem__
+        get = cache.known(set().union(*parts), lambda new: _encode_words(new, path)).__getitem__
         out += [b"".join(map(get, p)) for p in parts]
     return out
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,20 +81,25 @@ def encode_spliced(text: str, path: str, chunk: int = CHUNK, overlap: int = OVER
     return out + left[0], seen
 
 
+def _count_words(words: list[str], path: str) -> list[int]:
+    """Tokens of words, many encoded as one text with spaces between and told apart by the tokens' offsets."""
+    out: list[int] = []
+    for k in range(0, len(words), 4096):
+        some = words[k : k + 4096]
+        lengths = np.array([len(w) + 1 for w in some])
+        ends = np.cumsum(lengths)
+        places = np.array(tokenizer(path).encode(" ".join(some), add_special_tokens=False).offsets, np.int64).reshape(-1, 2)[:, 0]
+        out += np.bincount(np.searchsorted(ends, places, side="right"), minlength=len(some)).tolist()
+    return out
+
+
 def count_tokens(texts: list[str | None], path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     cache = _CACHES.setdefault(path, WordCache())
     out: list[int] = []
-    for k in range(0, len(texts), 256):
-        some = [t or "" for t in texts[k : k + 256]]
+    for k in range(0, len(texts), 512):
+        some = [t or "" for t in texts[k : k + 512]]
         parts = [_SPLIT.split(t) if len(t) <= chunk else None for t in some]
-        new = list({w for p in parts if p for w in p if w not in cache})
-        cache.room(len(new))
-        if not cache:
-            new = list({w for p in parts if p for w in p})
-        for i in range(0, len(new), 4096):
-            words = new[i : i + 4096]
-            cache.update(zip(words, map(len, tokenizer(path).encode_batch_fast(words, add_special_tokens=False))))
-        get = cache.__getitem__
+        get = cache.known(set().union(*(p for p in parts if p)), lambda new: _count_words(new, path)).__getitem__
         out += [sum(map(get, p)) if p is not None else len(encode_spliced(t, path, chunk, overlap)[0]) for p, t in zip(parts, some)]
     return out
 
