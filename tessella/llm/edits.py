@@ -25,9 +25,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.blocks import dealt, stars, whole_groups
 from tessella.llm.common import cut, drop_cut
 from tessella.llm.components import connected_components
 
@@ -40,6 +41,7 @@ ROWS_A_RANGE = 2000
 MAX_RANGES = 10_000
 BANDS, BAND_DIGITS = 24, 5
 NEAR = 0.8
+BLOCK = 512
 
 
 @lru_cache(1)
@@ -204,11 +206,33 @@ def band_keys(print_: str) -> list[str]:
     return keys
 
 
-def near_duplicates(prints: DataFrame, *, near: float = NEAR, id_col: str = "doc_id", print_col: str = "fingerprint", rounds: int = 4) -> DataFrame:
-    """(doc_id, class_id): documents linked by bands and verified likeness; class_id is the least id of the class.
-
-    Equal fingerprints are one member. A band's members are compared with a leader, in `rounds` rounds with another
-    leader each: those that fail with one leader meet the next, so the number of comparisons is linear in a band's size."""
+def _alike(prints: list[str], near: float, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints, of different blocks if there are two, whose likeness is at least near."""
+    size = np.array([len(p) for p in prints])
+    digits = np.zeros((len(prints), max(1, size.max())), np.uint8)
+    for i, p in enumerate(prints):
+        digits[i, : len(p)] = np.frombuffer(p.encode(), np.uint8)
+    weights = _sample_weights()[: digits.shape[1]]
+    whole = np.concatenate([[0.0], np.cumsum(weights)])
+    two, left, right = block.min() != block.max(), [], []
+    for i in range(len(prints)):
+        others = np.flatnonzero(block != block[i]) if two else np.arange(i)
+        others = others[others < i]
+        same = (digits[others] == digits[i]) & (digits[others] > 0)
+        agree = (same @ weights) / np.maximum(whole[np.maximum(size[others], size[i])], 1e-9)
+        hit = others[(agree - 1 / 16) / (1 - 1 / 16) >= near]
+        left.append(np.full(len(hit), i))
+        right.append(hit)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def near_duplicates(prints: DataFrame, *, near: float = NEAR, id_col: str = "doc_id", print_col: str = "fingerprint", block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id): documents that share a band and whose likeness is at least near are linked; class_id is the
+    least id of the class.
+
+    Equal fingerprints are one member. Fingerprints go only to bands that two members share; a large band is dealt into
+    pairs of blocks, so all its members are compared and no task holds more than two blocks. Rows without an id link to
+    equal fingerprints only."""
     rows = prints.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{print_col}`").alias("print"))
     members = cut(rows.groupBy("print").agg(F.min("doc_id").alias("member")), "edits-members")
 
@@ -216,20 +240,21 @@ def near_duplicates(prints: DataFrame, *, near: float = NEAR, id_col: str = "doc
     def bands(column: pd.Series) -> pd.Series:
         return pd.Series([band_keys(p) for p in column])
 
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype=float)
-
-    open_ = cut(members.select("member", F.explode(F.transform(bands("print"), lambda k: F.xxhash64(k))).alias("band")), "edits-bands")
-    links = None
-    for n in range(rounds):
-        # leaders differ by round: least and greatest id, then least by hash
-        order = [F.min("member"), F.max("member")][n % 2] if n < 2 else F.min_by("member", F.xxhash64("member", F.lit(n)))
-        leaders = open_.groupBy("band").agg(order.alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
-        pairs = open_.join(leaders, "band").where("member <> leader").select(F.least("member", "leader").alias("a"), F.greatest("member", "leader").alias("b")).distinct()
-        a, b = (members.select(F.col("member").alias(x), F.col("print").alias(f"print_{x}")) for x in "ab")
-        good = pairs.join(a, "a").join(b, "b").where(alike("print_a", "print_b") >= near).select("a", "b")
-        links = cut(good if links is None else links.union(good), "edits-links")
+    banded = members.where("member is not null").select("member", F.explode(F.array_distinct(F.transform(bands("print"), lambda k: F.xxhash64(k)))).alias("band"))
+    banded = cut(banded, "edits-bands")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = banded.join(shared, "band").join(members, "member")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in whole_groups(batches, ["band", "lo", "hi"]):
+            ids = group["member"].to_numpy()
+            row, root = stars(ids, *_alike(group["print"].tolist(), near, group["block"].to_numpy()))
+            if len(row):
+                yield pd.DataFrame({"a": ids[row], "b": ids[root]})
+
+    compared = dealt(met, "band", "member", "n", block).select("band", "lo", "hi", "block", "member", "print")
+    links = cut(compared.mapInPandas(compare, "a long, b long"), "edits-links")
+    drop_cut(banded)
     classes = connected_components(links).toDF("member", "class_id")
     named = members.join(classes, "member", "left").select("print", F.coalesce("class_id", "member").alias("class_id"))
     return rows.join(named, "print").select("doc_id", "class_id")

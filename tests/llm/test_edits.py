@@ -75,6 +75,31 @@ def test_single_empty_repeated(spark, docs):
     assert edits.likeness("", "") == 1.0 and edits.likeness("", "ab") == 0.0
 
 
+def test_links_of_bands_against_all_pairs(spark):
+    """A chain of edits: neighbours are alike, ends are not; and a group of copies in one band, in small blocks."""
+    rng = random.Random(11)
+    chain = ["".join(rng.choices("abcdefgh tionerlmk", k=2000))]
+    for n in range(7):
+        t = list(chain[-1])
+        at = 200 + 230 * n
+        t[at : at + 40] = rng.choices("xyzwv", k=40)
+        chain.append("".join(t))
+    prints = [edits.fingerprint(t) for t in chain]
+    df = spark.createDataFrame(list(enumerate(prints)) + [(100, prints[0]), (None, prints[1]), (None, "")], "doc_id long, fingerprint string")
+    bands = [set(edits.band_keys(p)) for p in prints]
+    root = list(range(len(prints)))
+    for _ in prints:
+        for i in range(len(prints)):
+            for j in range(i):
+                if bands[i] & bands[j] and edits.likeness(prints[i], prints[j]) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    for block in (512, 2):
+        got = edits.near_duplicates(df, block=block).collect()
+        told = {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None}
+        assert told == dict(enumerate(root)) | {100: 0}
+        assert sorted(str(r["class_id"]) for r in got if r["doc_id"] is None) == sorted([str(root[1]), "None"])
+
+
 def test_groups(spark, docs):
     rng = random.Random(8)
     texts = ["".join(rng.choices("abcdefgh tionerlmk", k=1500)) for _ in range(12)]
