@@ -21,14 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import vocabulary
-from tessella.llm.lattice import Vocabulary, arcs, load, rank_weights, units
+from tessella.llm.lattice import SHORT, Lattices, Vocabulary, arcs, byte_pieces, load, rank_weights, units
 
 VOCABULARY = "piece_bpe_32k.model"
 SEED = 17
 ALPHA = 1.0  # smoothing: segmentations are drawn in proportion to probability ** ALPHA
-BATCH_UNITS = 100_000
-CACHE_ENTRIES = 100_000
-LONG = 64  # longer units are not kept
+BATCH_CHARACTERS = 300_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -37,111 +35,99 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def filtered(unit: str, vocabulary: Vocabulary, prob: list[float]) -> tuple[int, list[int], list[float], list[int], list[int]]:
-    """Nodes, and the arcs ordered by the node they enter: target, cumulative probability, source, id."""
-    nodes, list_ = arcs(unit, vocabulary)
-    alpha = [0.0] * nodes
-    alpha[0] = 1.0
-    into: list[list] = [[] for _ in range(nodes)]
-    for s, e, i in list_:
-        w = alpha[s] * prob[i]
-        alpha[e] += w
-        into[e].append((w, s, i))
-        # of a long unit only ratios matter: rescale what is still to be used
-        if 0 < alpha[e] < 1e-200:
-            return _filtered_log(nodes, list_, prob)
-    return _flat(into, alpha)
+def _uniform(stream: np.ndarray, step: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mix(stream + np.uint64(step + 1) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(float) / 2**32
 
 
-def _filtered_log(nodes, list_, prob):
+def sample_long(unit: str, stream: np.ndarray, model: Vocabulary, prob: np.ndarray) -> list[list[int]]:
+    """Segmentations of one long unit, filtered in log space, one for each stream of random numbers."""
+    nodes, list_ = arcs(unit, model)
     log = np.full(nodes, -np.inf)
     log[0] = 0.0
     into: list[list] = [[] for _ in range(nodes)]
+    with np.errstate(divide="ignore"):
+        weight = np.log(prob)
     for s, e, i in list_:
-        w = log[s] + np.log(prob[i]) if prob[i] > 0 else -np.inf
+        w = log[s] + weight[i]
         log[e] = np.logaddexp(log[e], w)
         into[e].append((w, s, i))
-    into = [[(float(np.exp(w - log[e])) if log[e] > -np.inf else 0.0, s, i) for w, s, i in a] for e, a in enumerate(into)]
-    return _flat(into, [sum(w for w, _, _ in a) for a in into])
-
-
-def _flat(into, alpha):
-    to, cumulative, source, ids = [], [], [], []
-    for e, a in enumerate(into):
-        total, z = 0.0, alpha[e]
-        for w, s, i in a:
-            total += w
-            to.append(e)
-            cumulative.append(total / z if z else 1.0)
-            source.append(s)
+    out = []
+    for one in stream:
+        node, step, ids = len(unit), 0, []
+        while node:
+            share = np.cumsum([np.exp(w - log[node]) for w, _, _ in into[node]])
+            k = min(int(np.searchsorted(share, _uniform(np.array([one]), step)[0], side="right")), len(share) - 1)
+            _, node, i = into[node][k]
             ids.append(i)
-        if a:
-            cumulative[-1] = 1.0
-    return len(into), to, cumulative, source, ids
+            step += 1
+        out.append(ids[::-1])
+    return out
 
 
-def sample(keys: np.ndarray, texts: list[str], vocabulary: Vocabulary, prob: list[float], seed: int, cache: dict) -> list[np.ndarray]:
+def sample(keys: np.ndarray, texts: list[str], path: str, prob: np.ndarray, seed: int) -> list[np.ndarray]:
     """One segmentation of every text."""
+    model = load(path)
     split = [units(t) for t in texts]
     sizes = np.array([len(u) for u in split], np.int64)
     if not sizes.sum():
         return [np.zeros(0, np.int32) for _ in texts]
     number: dict[str, int] = {}
     which = np.fromiter((number.setdefault(u, len(number)) for u in chain.from_iterable(split)), np.int64, int(sizes.sum()))
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
-    lattices = []
-    for u in number:
-        got = cache.get(u)
-        if got is None:
-            got = filtered(u, vocabulary, prob)
-            if len(u) <= LONG:
-                cache[u] = got
-        lattices.append(got)
-    n_nodes = np.array([x[0] for x in lattices], np.int64)
-    n_arcs = np.array([len(x[1]) for x in lattices], np.int64)
-    first = np.cumsum(n_nodes) - n_nodes
-    shift = np.repeat(first, n_arcs)
-    total = int(n_arcs.sum())
-    to = np.fromiter(chain.from_iterable(x[1] for x in lattices), np.int64, total) + shift
-    upto = np.fromiter(chain.from_iterable(x[2] for x in lattices), float, total)
-    source = np.fromiter(chain.from_iterable(x[3] for x in lattices), np.int64, total) + shift
-    ids = np.fromiter(chain.from_iterable(x[4] for x in lattices), np.int32, total)
-    # a node's arcs fill (node, node + 1]; nodes ascend, so one sorted array serves all draws
-    edge = to + upto
-    length = np.array([len(u) for u in number], np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     with np.errstate(over="ignore"):
         stream = _mix(_mix(keys.astype(np.uint64)[doc] + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) + place.astype(np.uint64))
-        unit, node, step = np.arange(len(which)), first[which] + length[which], 0
-        taken: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(unit):
-            u = (_mix(stream[unit] + np.uint64(step + 1) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(float) / 2**32
-            arc = np.searchsorted(edge, node + u, side="right")
-            taken.append((unit, ids[arc]))
-            node = source[arc]
-            go = node != first[which[unit]]
-            unit, node, step = unit[go], node[go], step + 1
-    where = np.concatenate([t[0] for t in taken])
-    back = np.repeat(np.arange(len(taken)), [len(t[0]) for t in taken])
-    order = np.lexsort((-back, where))
-    flat = np.concatenate([t[1] for t in taken])[order]
-    ends = np.cumsum(np.bincount(doc[where], minlength=len(texts)))
-    return np.split(flat, ends[:-1])
-
-
-def encode(keys: np.ndarray, texts: list[str | None], vocabulary: Vocabulary, prob: list[float], seed: int, cache: dict) -> Iterator[np.ndarray | None]:
-    """Segmentations of texts in groups of bounded size."""
+    distinct = list(number)
+    short = np.array([len(u) <= SHORT for u in distinct])
+    index = np.cumsum(short) - 1
+    lattices = Lattices([u for u in distinct if len(u) <= SHORT], path, prob)
+    edge = lattices.edges()
+    # draws: (number of the unit in the batch, minus the step, id); a unit's last piece is drawn first
+    unit = np.flatnonzero(short[which])
+    node, step = lattices.end[index[which[unit]]], 0
+    whose, when, what = [], [], []
+    while len(unit):
+        arc = np.searchsorted(edge, node + _uniform(stream[unit], step), side="right")
+        whose.append(unit)
+        when.append(np.full(len(unit), -step, np.int32))
+        what.append(lattices.ids[arc])
+        node = lattices.src[arc]
+        go = node >= lattices.n  # the first n nodes are the units' starts
+        unit, node, step = unit[go], node[go], step + 1
+    for k in np.flatnonzero(~short):
+        found = np.flatnonzero(which == k)
+        for at, ids in zip(found, sample_long(distinct[k], stream[found], model, prob)):
+            whose.append(np.full(len(ids), at))
+            when.append(np.arange(len(ids), dtype=np.int32))
+            what.append(np.array(ids, np.int64))
+    whose, when, what = (np.concatenate(x) for x in (whose, when, what))
+    order = np.lexsort((when, whose))
+    flat, owner = what[order], doc[whose[order]]
+    odd = np.flatnonzero(flat < 0)
+    if len(odd):  # characters in bytes
+        pieces = {int(c): byte_pieces(int(c), model) for c in np.unique(flat[odd])}
+        times = np.ones(len(flat), np.int64)
+        times[odd] = [len(pieces[int(c)]) for c in flat[odd]]
+        starts = np.cumsum(times) - times
+        spread = np.repeat(flat, times)
+        owner = np.repeat(owner, times)
+        for at, c in zip(starts[odd].tolist(), flat[odd].tolist()):
+            spread[at : at + len(pieces[c])] = pieces[c]
+        flat = spread
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+    return np.split(flat.astype(np.int32), ends[:-1])
+
+
+def groups(texts: list[str | None]) -> Iterator[slice]:
+    """Consecutive texts of about BATCH_CHARACTERS together, so that what is held at a time is bounded."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (size < BATCH_UNITS * 7 or end == at):
+        while end < len(texts) and (size < BATCH_CHARACTERS or end == at):
             size += len(texts[end] or "")
             end += 1
-        got = sample(keys[at:end], [t or "" for t in texts[at:end]], vocabulary, prob, seed, cache)
-        for t, ids in zip(texts[at:end], got):
-            yield None if t is None else ids
+        yield slice(at, end)
         at = end
 
 
@@ -149,31 +135,32 @@ def decode(ids, vocabulary: Vocabulary) -> str:
     return b"".join(map(vocabulary.raw.__getitem__, ids)).decode()
 
 
-_CACHES: dict[tuple, dict] = {}
-
-
 def sampled_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """One row a document: doc_id, n_pieces, piece_ids, ids_crc32 (of little-endian unsigned 32-bit ids), lossless
     (whether decoding gives the text back)."""
     path = path or vocabulary(VOCABULARY)
 
-    @F.pandas_udf("n_pieces long, piece_ids array<int>, ids_crc32 long, lossless boolean")
-    def segment(keys: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(path)
         weight = np.exp(alpha * rank_weights(model))
-        cache = _CACHES.setdefault((path, alpha), {})
-        texts = texts.tolist()
-        rows = []
-        for text, ids in zip(texts, encode(keys.to_numpy(np.int64), texts, model, weight.tolist(), seed, cache)):
-            if ids is None:
-                rows.append((None, None, None, None))
-            else:
-                rows.append((len(ids), ids, zlib.crc32(ids.astype("<u4").tobytes()), b"".join(map(model.raw.__getitem__, ids.tolist())) == text.encode()))
-        frame = pd.DataFrame(rows, columns=["n_pieces", "piece_ids", "ids_crc32", "lossless"])
-        return frame.astype({"n_pieces": "Int64", "ids_crc32": "Int64", "lossless": "boolean"})
-
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0))
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), segment(key, F.col(f"`{text_col}`")).alias("s")).select("doc_id", "s.*")
+        raw = model.raw.__getitem__
+        for batch in batches:
+            doc_ids, keys, texts = batch["doc_id"], batch["key"].to_numpy(np.int64), batch["text"].tolist()
+            del batch
+            for part in groups(texts):
+                some, rows = texts[part], []
+                for text, ids in zip(some, sample(keys[part], [t or "" for t in some], path, weight, seed)):
+                    if text is None:
+                        rows.append((None, None, None, None))
+                    else:
+                        rows.append((len(ids), ids, zlib.crc32(ids.astype("<u4").tobytes()), b"".join(map(raw, ids.tolist())) == text.encode()))
+                frame = pd.DataFrame(rows, columns=["n_pieces", "piece_ids", "ids_crc32", "lossless"])
+                frame.insert(0, "doc_id", doc_ids.iloc[part].to_numpy())
+                yield frame.astype({"doc_id": "Int64", "n_pieces": "Int64", "ids_crc32": "Int64", "lossless": "boolean"})
+
+    doc_id = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInPandas(segment, "doc_id long, n_pieces long, piece_ids array<int>, ids_crc32 long, lossless boolean")
 
 
 def decoded(encoded: DataFrame, *, ids_col: str = "piece_ids", path: str | None = None, out: str = "text") -> DataFrame:
