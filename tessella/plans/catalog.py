@@ -642,3 +642,20 @@ def windowed_counts(spark, sf_dir):
     from tessella.streaming.ingest import windowed_counts as counted
 
     return counted(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
+
+
+@query(
+    f"""WITH {SQL_LINES}, w AS (SELECT item_id AS question_id, list_slice(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 4), 1, 1)[1] AS word FROM benchmark),
+t AS (SELECT chunk_id, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 4) AS ts FROM chunks WHERE NOT contains(content, '-') AND NOT regexp_matches(content, '[\\p{{L}}\\p{{N}}_]\\.[\\p{{L}}\\p{{N}}_]')),
+s AS (SELECT question_id, chunk_id, len(list_filter(ts, lambda t: t = word)) * 0.1::DOUBLE AS score FROM t, w WHERE list_contains(ts, word)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM s)
+SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
+)
+def fulltext_topk(spark, sf_dir):
+    """One long word a question; lines in which words are joined by - or . are left to the tests."""
+    from tessella.operators.fulltext import fulltext_search
+
+    word = F.element_at(F.filter(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda t: F.length(t) >= 4), 1)
+    lines = line_chunks(spark, sf_dir).where(~F.contains("content", F.lit("-")) & ~F.col("content").rlike(r"[\p{L}\p{N}_]\.[\p{L}\p{N}_]"))
+    found = fulltext_search(lines, questions(spark, sf_dir).withColumn("content", word), limit=10, analyser="simple")
+    return found.select("question_id", "chunk_id", F.round("lexical_score", 6).alias("score"), "rank")
