@@ -64,41 +64,43 @@ def vector_search(chunks: DataFrame, queries: DataFrame, *, limit: int = LIMIT,
     return ranked(found, keys, limit, F.col("distance"), F.col("chunk_id"))
 
 
-def lexical_search(chunks: DataFrame, questions: DataFrame, *, limit: int = 20, maximum_distance: float | None = None, carry: list[str] | None = None) -> DataFrame:
+def lexical_search(chunks: DataFrame, questions: DataFrame, *, limit: int = 20, maximum_distance: float | None = None, carry: list[str] | None = None, few: int = 2000) -> DataFrame:
     """(question_id, chunk_id, document_id, lexical_score, distance, rank) by overlap of tokens.
 
     Each token of the question that the chunk has adds 1, or 1.4 if it holds - or _; the whole question inside the
     chunk adds 1 more; the score is per token of the question, repeats included. Order: score, then chunk id.
 
-    Chunks meet questions by token, so the work follows the matches. A question can also stand inside a chunk without
-    sharing a whole token; only questions without an inner token of their own need a test against all chunks."""
+    Chunks meet questions by token, so that work follows the matches. Whether a whole question stands inside a chunk is
+    tested where the chunk lies if there are at most `few` questions. If there are more, a question with a token
+    between its first and last can only stand in chunks that have that token; only the others meet all chunks."""
     check_policy(limit, maximum_distance)
     scope = [c for c in SCOPE[:3] if c in questions.columns and c in chunks.columns]
     names = [c for c in ["chunk_id", "document_id", *(carry or [])] if c in chunks.columns]
     tokens = lexical_tokens(F.col("content"))
-    asked = questions.select("question_id", *scope, F.col("content").alias("terms"), tokens.alias("tokens"))
-    every = F.regexp_extract_all(F.lower("terms"), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0))
-    inner = F.when(F.size(every) > 2, F.slice(every, 2, F.greatest(F.lit(1), F.size(every) - 2))).otherwise(F.array().cast("array<string>"))
-    asked = asked.where(F.size("tokens") > 0).withColumn("anchored", F.size(F.array_intersect(inner, "tokens")) > 0)
+    asked = questions.select("question_id", *scope, F.col("content").alias("terms"), tokens.alias("tokens")).where(F.size("tokens") > 0)
+    n_asked, n_tokens = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    sent = F.broadcast if n_asked <= few and n_tokens <= 100 * few else lambda df: df
     weight = F.when(F.col("token").rlike("[_-]"), 1.4).otherwise(1.0)
-    by_token = small(asked.select("question_id", *scope, F.explode("tokens").alias("token")).groupBy("question_id", *scope, "token").agg(F.count("*").alias("times")))
+    by_token = asked.select("question_id", *scope, F.explode("tokens").alias("token")).groupBy("question_id", *scope, "token").agg((F.count("*") * weight).alias("gain"))
     held = chunks.select(*dict.fromkeys([*names, *scope]), "content")
-    hits = (
-        held.select(*dict.fromkeys([*names, *scope]), F.explode(F.array_distinct(tokens)).alias("token"))
-        .join(by_token, [*scope, "token"])
-        .groupBy("question_id", *names)
-        .agg(F.sum(F.col("times") * weight).alias("hits"))
-    )
+    met = held.select(*dict.fromkeys([*names, *scope]), F.explode(F.array_distinct(tokens)).alias("token"))
+    hits = met.join(sent(by_token), [*scope, "token"]).select("question_id", *names, F.col("gain").alias("hits"))
     inside = F.contains(F.lower("content"), F.lower("terms"))
-    loose = small(asked.where("not anchored").select("question_id", *scope, "terms"))
-    alone = (held.join(loose, scope) if scope else held.crossJoin(loose)).where(inside).select("question_id", *names)
-    anchored = small(asked.where("anchored").select("question_id", *scope, "terms"))
-    # an anchored question inside a chunk shares a token with it: only chunks with hits are tested
-    whole = hits.select("question_id", "chunk_id").join(anchored, "question_id").join(held.select("chunk_id", *[c for c in names if c != "chunk_id"], "content"), "chunk_id").where(inside).select("question_id", *names)
-    bonus = alone.unionByName(whole).withColumn("hits", F.lit(1.0))
-    sizes = small(asked.select("question_id", F.size("tokens").alias("n")))
-    total = hits.unionByName(bonus).groupBy("question_id", *names).agg(F.sum("hits").alias("hits")).join(sizes, "question_id")
-    scored = total.select("question_id", *names, (F.col("hits") / F.col("n")).alias("lexical_score")).withColumn("distance", 1 / (1 + F.col("lexical_score")))
+    whole = lambda rows, asked: (rows.join(asked, scope) if scope else rows.crossJoin(asked)).where(inside).select("question_id", *names)
+    if sent is F.broadcast:
+        bonus = whole(held, F.broadcast(asked.select("question_id", *scope, "terms")))
+    else:
+        every = F.regexp_extract_all(F.lower("terms"), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0))
+        inner = F.when(F.size(every) > 2, F.slice(every, 2, F.greatest(F.lit(1), F.size(every) - 2))).otherwise(F.array().cast("array<string>"))
+        # the longest inner token is as a rule the rarest
+        anchor = F.element_at(F.array_sort(F.transform(F.array_intersect(inner, "tokens"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)
+        asked = asked.withColumn("token", F.when(F.size(F.array_intersect(inner, "tokens")) > 0, anchor["t"]))
+        near = met.join(asked.where("token is not null").select("question_id", *scope, "token", "terms"), [*scope, "token"]).select("question_id", "chunk_id", "terms")
+        bonus = near.join(held.select(*names, "content"), "chunk_id").where(inside).select("question_id", *names)
+        bonus = bonus.unionByName(whole(held, asked.where("token is null").select("question_id", *scope, "terms")))
+    total = hits.unionByName(bonus.withColumn("hits", F.lit(1.0))).groupBy("question_id", *names).agg(F.sum("hits").alias("hits"))
+    sizes = asked.select("question_id", F.size("tokens").alias("n"))
+    scored = total.join(sent(sizes), "question_id").select("question_id", *names, (F.col("hits") / F.col("n")).alias("lexical_score")).withColumn("distance", 1 / (1 + F.col("lexical_score")))
     if maximum_distance is not None:
         scored = scored.where(F.col("distance") <= maximum_distance)
     # sums of the same numbers in another order are the same score

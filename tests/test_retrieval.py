@@ -150,5 +150,6 @@ def test_lexical_search_against_all_pairs(spark):
                 want[q, c] = round(n / len(qt), 6)
     chunks = spark.createDataFrame([(c, "d", t) for c, t in texts.items()], "chunk_id string, document_id string, content string")
     questions = spark.createDataFrame(list(asked.items()), "question_id string, content string")
-    got = {(r["question_id"], r["chunk_id"]): round(r["lexical_score"], 6) for r in search.lexical_search(chunks, questions, limit=100).collect()}
-    assert got == want
+    for few in (2000, 1):  # sent to the chunks, or joined
+        got = {(r["question_id"], r["chunk_id"]): round(r["lexical_score"], 6) for r in search.lexical_search(chunks, questions, limit=100, few=few).collect()}
+        assert got == want
