@@ -1,6 +1,4 @@
-import pytest
-
-pipeline = pytest.importorskip("corpus_pipeline")
+import corpus_pipeline as pipeline
 
 
 def test_stages_filter_and_keep_columns(spark, docs, tmp_path):
