@@ -627,10 +627,10 @@ def ingest_report(spark, sf_dir):
     import uuid
 
     from tessella.plans.ingest import ingest, totals
+    from tessella.sources.scratch import shared_folder
     from tessella.sources.store import ChunkStore
 
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tessella").rstrip("/")
-    report = ingest(documents(spark, sf_dir), ChunkStore(spark, f"{shared}/store-{uuid.uuid4().hex}"), HashingProvider())
+    report = ingest(documents(spark, sf_dir), ChunkStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"), HashingProvider())
     return totals(report).select("documents", "activated", "failed")
 
 
