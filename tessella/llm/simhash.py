@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.blocks import stars
 from tessella.llm.common import cut, drop_cut
 from tessella.llm.components import connected_components
 
@@ -32,6 +33,7 @@ SEED = 42
 BITS = 3
 SHINGLE = 3
 BLOCK = 2048
+PAIRS_AT_ONCE = 1 << 20  # fingerprints that are compared at a time: 8 MB
 AT_ONCE = 1 << 16  # shingles whose bits are unpacked at a time: 4 MB
 
 
@@ -145,30 +147,22 @@ def _clusters(fp: np.ndarray, home: np.ndarray, block: np.ndarray, bits: int) ->
     """Links of each row to the least fingerprint of its cluster in this task; home rows against all (of the other block, if there are two)."""
     h = np.flatnonzero(home)
     two = block.min() != block.max()
+    order = fp.view(np.int64)
     left, right = [], []
-    step = max(1, (1 << 21) // len(fp))
+    step = max(1, PAIRS_AT_ONCE // len(fp))
     for k in range(0, len(h), step):
         part = h[k : k + step]
         near = np.bitwise_count(fp[part][:, None] ^ fp[None, :]) <= bits
         near &= block[part][:, None] != block[None, :] if two else fp[part][:, None] != fp[None, :]
         i, j = np.nonzero(near)
-        left.append(part[i])
-        right.append(j)
-    a, b = np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
-    label = np.argsort(np.argsort(fp.view(np.int64), kind="stable"), kind="stable")
-    order = np.argsort(fp.view(np.int64), kind="stable")
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[order[new]]  # jump to the label of the label's own row
-        if (new == label).all():
-            break
-        label = new
-    root = order[label]
-    moved = root != np.arange(len(fp))
-    return fp[moved], fp[root[moved]]
+        if len(i):  # of the pairs, only links to each cluster's least row are kept
+            row, root = stars(order, part[i], j)
+            left.append(row)
+            right.append(root)
+    if not left:
+        return fp[:0], fp[:0]
+    row, root = stars(order, np.concatenate(left), np.concatenate(right))
+    return fp[row], fp[root]
 
 
 def _compare(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
@@ -206,7 +200,8 @@ def link_fingerprints(fps: DataFrame, *, bits: int = BITS, block: int = BLOCK) -
                 row, at, home = _replicas(values[k : k + 4096], bits)
                 yield pd.DataFrame({"anchor": at.astype(np.int32), "fp": values[k + row].view(np.int64), "home": home})
 
-    spread = fps.select("fp").repartition("fp")
+    # fingerprints are few bytes but much work: a given number of partitions is not coalesced by size
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     placed = cut(spread.mapInPandas(replicate, "anchor int, fp long, home boolean"), "simhash-anchors")
     # one row an anchor: at most 65,536 rows
     sizes = placed.groupBy("anchor").agg(F.count("*").alias("n")).select("anchor", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
