@@ -151,7 +151,7 @@ def trie(path: str) -> Trie:
 
 
 class Lattices:
-    """The lattices of many short units at once, forward probabilities included.
+    """The lattices of many short units at once, forward log probabilities included.
 
     Units are ranked by falling length, and nodes numbered by position, then rank: the nodes at a position are
     consecutive, arcs sorted by the node they enter are grouped by position, and each position is one vector step.
@@ -197,38 +197,44 @@ class Lattices:
         src, dst, ids = (np.concatenate(x or [none]).astype(np.int32) for x in (src, dst, ids))
         by_end = np.argsort(dst, kind="stable")
         self.src, self.dst, self.ids = src[by_end], dst[by_end], ids[by_end]
-        self.p = prob[np.maximum(self.ids, 0)]
+        with np.errstate(divide="ignore"):
+            log_prob = np.log(prob)
+        log_p = log_prob[np.maximum(self.ids, 0)]
         in_bytes = np.flatnonzero(self.ids < 0)
         if len(in_bytes):
             which, back = np.unique(self.ids[in_bytes], return_inverse=True)
-            self.p[in_bytes] = np.array([np.prod([prob[i] for i in byte_pieces(int(w), model)]) for w in which])[back]
+            log_p[in_bytes] = np.array([log_prob[byte_pieces(int(w), model)].sum() for w in which])[back]
         self.n, self.longest = n, longest
         self.first = np.searchsorted(self.dst, np.arange(self.start[-1] + 1))
-        self.alpha = np.zeros(self.start[-1])
-        self.alpha[:n] = 1.0
-        self.weight = np.zeros(len(self.src))  # probability of the paths that enter by an arc
-        for t in range(1, longest + 1):
-            a, b = self.start[t], self.start[t + 1]
-            lo, hi = self.first[a], self.first[b]
-            self.weight[lo:hi] = self.alpha[self.src[lo:hi]] * self.p[lo:hi]
-            self.alpha[a:b] = np.add.reduceat(self.weight[lo:hi], self.first[a:b] - lo)
+        self.alpha = np.full(self.start[-1], -np.inf)  # natural logs: a word in bytes alone would underflow
+        self.alpha[:n] = 0.0
+        self.share = np.zeros(len(self.src))  # of the paths into an arc's end, the part that enters by it
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for t in range(1, longest + 1):
+                a, b = self.start[t], self.start[t + 1]
+                lo, hi = self.first[a], self.first[b]
+                group, into = self.first[a:b] - lo, self.dst[lo:hi] - a
+                w = self.alpha[self.src[lo:hi]] + log_p[lo:hi]
+                most = np.maximum.reduceat(w, group)
+                part = np.exp(w - np.where(most > -np.inf, most, 0.0)[into])
+                total = np.add.reduceat(part, group)
+                self.alpha[a:b] = most + np.log(total)
+                self.share[lo:hi] = np.nan_to_num(part / total[into])
         self.end = self.start[length] + self.rank  # by unit, in the order given
 
     def marginals(self) -> np.ndarray:
         """Natural log of each unit's probability."""
-        with np.errstate(divide="ignore"):
-            return np.log(self.alpha[self.end])
+        return self.alpha[self.end]
 
     def expectations(self, times: np.ndarray, size: int, model: Vocabulary) -> np.ndarray:
         """By id, the expected use over all segmentations of all units, each unit counted `times`."""
-        beta = np.zeros(len(self.alpha))
-        beta[self.end] = times / self.alpha[self.end]
+        through = np.zeros(len(self.alpha))  # expected passages of each node, from the ends backwards
+        through[self.end] = times
         used = np.zeros(len(self.src))
         for t in range(self.longest, 0, -1):
             lo, hi = self.first[self.start[t]], self.first[self.start[t + 1]]
-            onward = self.p[lo:hi] * beta[self.dst[lo:hi]]
-            used[lo:hi] = self.alpha[self.src[lo:hi]] * onward
-            np.add.at(beta, self.src[lo:hi], onward)
+            used[lo:hi] = self.share[lo:hi] * through[self.dst[lo:hi]]
+            np.add.at(through, self.src[lo:hi], used[lo:hi])
         whole = self.ids >= 0
         total = np.bincount(self.ids[whole], used[whole], size)
         if not whole.all():
@@ -239,8 +245,7 @@ class Lattices:
 
     def edges(self) -> np.ndarray:
         """For drawing an arc into a node with a uniform number u: the arc of the first edge above node + u."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.cumsum(np.nan_to_num(self.weight / self.alpha[self.dst]))
+        share = np.cumsum(self.share)
         before = np.concatenate([[0.0], share])[self.first[:-1]]
         edge = self.dst + np.minimum(share - before[self.dst], 1.0)
         last = self.first[1:][self.n :] - 1

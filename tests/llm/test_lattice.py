@@ -87,6 +87,44 @@ def test_many_units_at_once_are_as_one_by_one(model):
     assert lattice.Lattices([], PATH, prob).marginals().tolist() == []
 
 
+UNCOVERED = ["\U00012000" * 20, "\U00013000" * 31, "ཀྵ྅ྊ" * 6, "\U00012000" * 25 + "tion", "ꀀ" * 28]
+
+
+def test_units_in_bytes_do_not_underflow(model):
+    prob = np.exp(lattice.rank_weights(model))
+    units = [lattice.MARK + w for w in UNCOVERED] + ["▁the"]
+    assert all(len(u) <= lattice.SHORT for u in units)
+    many = lattice.Lattices(units, PATH, prob)
+    assert many.marginals() == pytest.approx([lattice.log_marginal(u, model, prob.tolist()) for u in units])
+    want = np.zeros(model.size)
+    for u in units:
+        lattice.expected_counts(u, 3.0, model, prob.tolist(), want)
+    assert many.expectations(np.full(len(units), 3.0), model.size, model) == pytest.approx(want)
+
+
+def test_sampling_behind_many_bytes_follows_the_lattice(model):
+    prob = np.exp(lattice.rank_weights(model))
+    n = 5000
+    head, tail = "\U00012000" * 25, "tion"
+    long = sampling.sample_long(head + tail, np.arange(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), model, prob)
+    want, got = Counter(tuple(x[100:]) for x in long), Counter(tuple(g.tolist()[100:]) for g in sampling.sample(np.arange(n), [head + tail] * n, PATH, prob, 1))
+    assert len(want) > 1
+    for path in want | got:
+        assert got[path] / n == pytest.approx(want[path] / n, abs=0.04)
+
+
+def test_scores_of_words_in_bytes(spark, model):
+    texts = ["the " + w for w in UNCOVERED] + ["on the tion", *UNCOVERED]
+    learn = [i < 4 or i == 5 for i in range(len(texts))]
+    rows = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, learn))], "doc_id long, text string, learn boolean")
+    prob, end = lmscore.train_pieces(lmscore.word_counts(rows), sum(learn), PATH)
+    assert np.isfinite(prob).all() and sum(prob) + end == pytest.approx(1)
+    got = {r["doc_id"]: r["score"] for r in lmscore.score_texts(rows).collect()}
+    for i, t in enumerate(texts):
+        want = math.log10(end) + sum(lattice.log_marginal(lmscore.unit_of(w), model, prob.tolist()) for w in lmscore.words_of(t)) / math.log(10)
+        assert math.isfinite(got[i]) and got[i] == pytest.approx(want)
+
+
 def test_lossless_and_reproducible(model):
     prob = np.exp(lattice.rank_weights(model))
     rng = random.Random(2)
