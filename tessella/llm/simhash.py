@@ -215,17 +215,18 @@ def link_fingerprints(fps: DataFrame, *, bits: int = BITS, block: int = BLOCK) -
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """One row a document: (doc_id, fp long, component_id: the least id of the fingerprints that links reach, content: a hash of the text)."""
+    """One row a document: (doc_id, fp long, component_id: the least id of the fingerprints that links reach, root: the
+    component's least fingerprint, content: a hash of the text). Components may share a component_id, but not a root."""
     text = F.col(f"`{text_col}`")
     marked = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_column(width)(text).alias("fp"), F.xxhash64(text).alias("content")), "simhash-fingerprints")
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = connected_components(link_fingerprints(distinct, bits=bits, block=block)).toDF("fp", "root")
     rooted = cut(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-roots")
     least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    named = cut(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
+    named = cut(rooted.join(least, "root").select("fp", "component_id", "root"), "simhash-named")
     for gone in (distinct, rooted, least):
         drop_cut(gone)
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "content")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "root", "content")
 
 
 def hex_fingerprint(fp):
@@ -237,8 +238,8 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs, **options)
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     # a component without any id keeps the row with the least text hash
-    first = found.groupBy("component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("content"))).alias("__content"))
-    first = first.withColumnRenamed("component_id", "__id")
+    first = found.groupBy("root", "component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("content"))).alias("__content"))
+    first = first.select(F.col("component_id").alias("__id"), "__content")
     rows = docs.withColumn("__text_hash", F.xxhash64(F.col(f"`{text_col}`")))
     kept = rows.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__content")))
     once = kept.dropDuplicates([id_col, "__text_hash"])

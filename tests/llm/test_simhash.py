@@ -95,6 +95,12 @@ def test_empty_repeated_and_null_id(spark, docs):
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("3", "a b c d"), ("None", "x y z")]
 
 
+def test_each_component_keeps_a_row(spark, docs):
+    rows = docs((None, "a b c d"), (None, "x y z"), (None, "x y z"), (3, "one two three four"), (3, "five six seven eight"), (3, "five six seven eight"), (4, "one two three four"))
+    kept = simhash.deduplicate(rows)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("3", "five six seven eight"), ("3", "one two three four"), ("None", "a b c d"), ("None", "x y z")]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
