@@ -2,9 +2,10 @@
 
 Base patterns find emails, IPv4 addresses, payment cards and phone numbers. They are the seeds: the words around them
 induce lexical patterns. Looser candidates (written-out addresses, numbers without the base form) share those
-patterns. Spark scores the pattern-instance graph in rounds: a pattern's confidence is the part of its distinct
-instances that are trusted, an instance's is 1 - prod(1 - confidence of its patterns), and instances above a
-threshold are trusted in the next round. Patterns that end above a threshold with enough trusted instances turn the
+patterns. Spark scores the pattern-instance graph in rounds: a pattern's confidence for a kind is the trusted part of
+its distinct instances that are labelled: trusted ones of the kind, or of another kind, which contradict it. Candidates
+that no round has labelled yet are no evidence either way. An instance's confidence is 1 - prod(1 - confidence of its
+patterns), and instances above a threshold are trusted in the next round. Patterns that end above a threshold with enough trusted instances turn the
 candidates they surround into spans. Base spans always stay; new ones never overlap them.
 
 Text is read once: one row a document with its spans and candidates is cut into the shared folder and everything
@@ -18,14 +19,14 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-MIN_TRUST = 0.9  # of a pattern's distinct instances, for it to extract; and of an instance, to be trusted
+MIN_TRUST = 0.9  # of a pattern's distinct labelled instances, for it to extract; and of an instance, to be trusted
 MIN_SUPPORT = 5  # distinct trusted instances
 
 # Possessive repeats and the look-behind change no match; they keep long runs of letters or digits from taking quadratic time.
@@ -146,8 +147,10 @@ def trusted_patterns(scanned: DataFrame, *, rounds: int = ROUNDS, min_trust: flo
     for _ in range(rounds):
         trust = cut(trust.where(F.col("trust") >= min_trust), "pii-trust")
         known = edges.join(trust, ["kind", "instance"], "left").withColumn("trust", F.coalesce("trust", F.lit(0.0)))
-        # one more untrusted instance than seen: a pattern met once proves nothing
-        scored = cut(known.groupBy("kind", "pattern").agg((F.sum("trust") / (F.count("*") + 0.1)).alias("score"), F.sum(F.when(F.col("trust") > 0, 1).otherwise(0)).alias("support")), "pii-patterns")
+        sums = known.groupBy("kind", "pattern").agg(F.sum("trust").alias("sum"), F.sum(F.when(F.col("trust") > 0, 1).otherwise(0)).alias("support"))
+        # a tenth of a contradicting instance more than seen: a pattern met once proves nothing
+        labelled = F.sum("support").over(Window.partitionBy("pattern"))  # a row a kind
+        scored = cut(sums.select("kind", "pattern", (F.col("sum") / (labelled + 0.1)).alias("score"), "support"), "pii-patterns")
         good = scored.where(F.col("support") >= min_support)
         doubt = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
         reached = edges.join(good, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("trust"))

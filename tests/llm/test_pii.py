@@ -66,6 +66,21 @@ def test_contexts_discover_what_the_base_misses(spark, docs):
     assert masked[12] == masked[0] == "please call hotline <PHONE> today" and masked[13] == noise[0]
 
 
+def test_unseen_candidates_are_no_counter_evidence(spark, docs):
+    texts, unseen = [], set()
+    for words, behind, n, more in (("please call hotline", "today", 12, 6), ("reach our desk", "", 12, 12), ("ring the office", "", 100, 12)):
+        texts += [f"{words} +49 30 {len(words)}{i:05d} {behind or f'w{i}'}" for i in range(n)]
+        unseen |= set(range(len(texts), len(texts) + more))
+        texts += [f"{words} 030-{len(words)}5-{i:04d} {behind or f'v{i}'}" for i in range(more)]
+    got = rows(spark, docs, *texts)
+    assert {r["doc_id"] for r in got if r["n_discovered"]} == unseen
+
+
+def test_instances_of_another_kind_contradict(spark, docs):
+    texts = [f"my contact is a{i}@b.cd w{i}" for i in range(6)] + [f"my contact is +49 30 55501{i:02d} v{i}" for i in range(6)] + ["my contact is 030-555-0199 now"]
+    assert rows(spark, docs, *texts)[12]["n_discovered"] == 0
+
+
 def test_redaction_keeps_rows_and_columns(spark, docs):
     df = docs((1, "a@b.cd x"), (1, "a@b.cd x"), (None, None), (2, "clean"))
     out = pii.redact(df)
