@@ -39,12 +39,13 @@ _DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 #: Looser forms by kind; what they find counts only in a trusted context.
 _LOOSE = (
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[{]?(?:at|@)[)\]}]? ?[A-Za-z0-9-]{1,63} ?[(\[{]?(?:dot|\.)[)\]}]? ?[A-Za-z]{2,24}\b"), re.compile(r"[(\[{](?:at|@)|\bat\b.*\bdot\b")),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[{]?(?i:at|@)[)\]}]? ?[A-Za-z0-9-]{1,63} ?[(\[{]?(?i:dot|\.)[)\]}]? ?[A-Za-z]{2,24}\b"), re.compile(r"(?i)[(\[{](?:at|@)|\bat\b.*\bdot\b")),
     (1, re.compile(r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{0,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])"), None),
     (2, re.compile(r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,18}(?![0-9])"), None),
     (3, re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?[\x20./-]?[0-9]{2,5}(?:[\x20./-]?[0-9]{2,5}){1,3}(?![0-9])"), None),
 )
-_WRITTEN_OUT = (" dot ", "(dot", "[dot", "{dot", "(at", "[at", "{at")
+#: Each form that the first pattern accepts has one of these in lower case.
+_WRITTEN_OUT = ("dot", "(at", "[at", "{at", "(@", "[@", "{@")
 _AROUND = 48
 _WORD = re.compile(r"[^\W_]+")
 
@@ -83,9 +84,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of the looser forms that overlap no base span nor each other."""
     taken = sorted((s, e) for _, s, e in base)
-    out = []
+    out, lower = [], text.lower()
     for kind, pattern, needs in _LOOSE:
-        if kind == 0 and not any(w in text for w in _WRITTEN_OUT):
+        if kind == 0 and not any(w in lower for w in _WRITTEN_OUT):
             continue
         if kind == 1 and text.count(":") < 3:
             continue

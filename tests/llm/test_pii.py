@@ -44,6 +44,15 @@ def test_long_runs_take_linear_time():
         pii.loose_spans(t, [])
 
 
+def test_written_out_forms_alone_in_a_text():
+    forms = [f"jane{s}{o}{at}{c}{s}example{t}com" for at in ("at", "@", "AT", "At") for o, c in ("()", "[]", "{}") for s in ("", " ") for t in (".", " . ", "[.]", "(dot)", " DOT ")]
+    forms += [f"jane {at} example{t}com" for at in ("at", "AT") for t in (" dot ", " DOT ", "(dot)", "[Dot]", "{dot}", " dot] ", "-dot ")]
+    for f in forms:
+        text = f"ask {f}"
+        found = pii.loose_spans(text, pii.base_spans(text))
+        assert [text[s:e] for k, s, e in found if k == 0] == [f], f
+
+
 def rows(spark, docs, *texts, **how):
     return sorted(pii.find_personal_data(docs(*texts), **how).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
 
