@@ -33,6 +33,33 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(4)
+def byte_level_ranks(path: str):
+    """(an encoder by ranks that gives the file's ids, the strings of its special tokens); no encoder if the file is not
+    plain byte-level BPE whose merges are numbered in the order in which they are made."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    specials = [t["content"] for t in spec.get("added_tokens", ())]
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
+    if not plain or model.get("type", "BPE") != "BPE" or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("dropout"):
+        return None, specials
+    # the printable bytes stand for themselves, the others for the characters from 256 on
+    shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 0xAD)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    order = [model["vocab"][m] for m in merges]
+    if order != sorted(order):
+        return None, specials
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in specials}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), specials
+
+
 class WordCache:
     """What encoded words give, in two generations: words that are met again move to the young one, and when that is
     full the old one is dropped. So a worker's memory is bounded and common words stay."""

@@ -7,10 +7,12 @@ sums over the other available lengths finds the fullest combination, which is re
 histogram allows, so there are about as many plan entries as distinct lengths, however many documents there are.
 
 Each piece finds its place by its rank among the pieces of its length. Ranks come from counts by (length, bucket) and
-a row number inside a bucket of about `bucket` rows, so a length that many copies share is not one task.
+a row number inside a bucket, so a length that many copies share is not one task. A length has a bucket for every
+`bucket` pieces; from 65,536 buckets on the buckets grow instead, so that a length's counts stay a short list.
 
-Defined cases: null text is empty and gives one piece that holds the end id; repeated rows are packed one by one; an
-empty table gives no rows.
+Defined cases: null text is empty and gives one piece that holds the end id; a text of any length is encoded part by
+part and cut into pieces; repeated rows are packed one by one; ties (equal lengths) are placed by id, piece and
+checksum; an empty table gives no rows; columns of docs other than the two named ones, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -26,61 +27,49 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import SAFE_SPACE, WordCache, tokenizer, vocabulary
+from tessella.llm.bpe import SAFE_SPACE, byte_level_ranks, tokenizer, vocabulary
 from tessella.llm.common import cut
 
 SIZE = 2048
 END_ID = 0
 BUCKET = 1000
+MAX_BUCKETS = 1 << 16
 VOCABULARY = "byte_bpe_50k.json"
-_SPLIT = re.compile(SAFE_SPACE)
-_CACHES: dict[str, WordCache] = {}
-
-
-@lru_cache(2)
-def _opens_word(path: str) -> np.ndarray:
-    """By id, whether the token begins with the space in front of a word."""
-    made = tokenizer(path)
-    return np.array([(made.id_to_token(i) or "").startswith("Ġ") for i in range(made.get_vocab_size())])
-
-
-def _encode_words(words: list[str], path: str) -> list[bytes]:
-    """Ids of words. Words that begin with their only space are encoded as one text and told apart by the tokens that begin with it."""
-    made, opens = tokenizer(path), _opens_word(path)
-    out: list[bytes] = [b""] * len(words)
-    plain = [i for i, w in enumerate(words) if w.rfind(" ") == 0]
-    for k in range(0, len(plain), 4096):
-        some = plain[k : k + 4096]
-        ids = np.array(made.encode_batch_fast(["".join([words[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
-        starts = np.flatnonzero(opens[ids])
-        if len(starts) != len(some):
-            raise AssertionError("a word's first token must be the only one that begins with a space")
-        raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-        for i, a, b in zip(some, (4 * starts).tolist(), ends):
-            out[i] = raw[a:b]
-    other = [i for i, w in enumerate(words) if w.rfind(" ") != 0]
-    for k in range(0, len(other), 4096):
-        some = other[k : k + 4096]
-        for i, got in zip(some, made.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
-            out[i] = np.array(got.ids, "<u4").tobytes()
-    return out
-
-
-def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """The ids of whole texts as little-endian unsigned 32-bit numbers.
-
-    The pre-tokenizer puts a single space with the word behind it, so a text cut before safe spaces gives the same
-    ids; equal words are encoded once. A special token's string holds no space, so it is never cut."""
-    cache = _CACHES.setdefault(path, WordCache())
-    out: list[bytes] = []
-    for k in range(0, len(texts), 512):
-        parts = []
-        for text in texts[k : k + 512]:
-            first, *rest = _SPLIT.split(text or "")
-            parts.append(([first] if first else []) + [" " + w for w in rest])
-        get = cache.known(set().union(*parts), lambda new: _encode_words(new, path)).__getitem__
-        out += [b"".join(map(get, p)) for p in parts]
-    return out
+LONG = 1 << 20  # characters; longer texts are encoded part by part
+_BREAK = re.compile(SAFE_SPACE)
+#: White space in such runs, and special tokens, are left to the library that defines the ids.
+_ODD = re.compile(r"\s{512}")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text cut before safe spaces into parts of about LONG characters; a part without such a space stays whole.
+
+    The pre-tokenizer puts a single space with the word behind it, so the parts' ids are the text's ids."""
+    start = 0
+    while len(text) - start > LONG:
+        found = _BREAK.search(text, start + LONG)
+        if found is None:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
+
+
+def encode_text(text: str | None, path: str) -> np.ndarray:
+    """The ids of a whole text, as the tokenizers library gives them.
+
+    Byte-level BPE by ranks gives the same ids faster; it is used where the file's merges are in the order of their ids
+    (see byte_level_ranks), for text without special tokens and without huge runs of white space."""
+    ranks, specials = byte_level_ranks(path)
+    text = text or ""
+    found: list[np.ndarray] = []
+    for part in _parts(text):
+        if ranks is not None and not _ODD.search(part) and not any(s in part for s in specials):
+            ids = ranks.encode_ordinary(part)
+        else:
+            ids = tokenizer(path).encode_batch_fast([part], add_special_tokens=False)[0].ids
+        found.append(np.array(ids, "<u4"))
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def cut_pieces(n: int, size: int) -> list[tuple[int, int]]:
@@ -90,14 +79,14 @@ def cut_pieces(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def tokenise(docs: DataFrame, *, id_col: str, text_col: str, size: int, end_id: int, path: str) -> DataFrame:
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], encode_texts(batch["text"].tolist(), path)):
-                ids += end
-                rows += [(doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_pieces(len(ids) // 4, size))]
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids = np.concatenate([encode_text(text, path), end])
+                rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut_pieces(len(ids), size))]
             frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64"})
 
@@ -175,10 +164,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     path = path or vocabulary(VOCABULARY)
     pieces = cut(tokenise(docs, id_col=id_col, text_col=text_col, size=size, end_id=end_id, path=path), "packing-pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
+    lengths = pieces.groupBy("length").agg(F.count("*").alias("n"))  # at most `size` rows
+    histogram = {r["length"]: r["n"] for r in lengths.collect()}
     plan = place(plan_bins(histogram, size)[0])
-    buckets = max(1, -(-sum(histogram.values()) // bucket))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    buckets = F.broadcast(lengths.select("length", F.least(F.ceil(F.col("n") / bucket), F.lit(MAX_BUCKETS)).alias("buckets")))
+    dealt = pieces.join(buckets, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -16,7 +16,9 @@ with Python's integers otherwise; a score that 64 bits can't hold is an error.
 
 Defined cases: null vectors, vectors that hold null or a non-finite component, and rows without an id take no part.
 Only vectors of equal length are compared. Of query rows with one id the least vector asks, and rows with that id are
-never its candidates; otherwise repeated rows are candidates one by one. With fewer than k candidates all are returned.
+never its candidates; otherwise repeated rows are candidates one by one. With fewer than k candidates all are returned;
+an empty table gives no rows. Other columns of the table, whatever their names, are not read. Vectors of any length and
+size are scored; there is no text.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, drop_cut
 
 K = 5
 BINS = 4096
@@ -36,6 +38,7 @@ CANDIDATES = 4096  # vectors in a block
 QUERIES = 512
 GROUP = 8
 PAIRS_AT_ONCE = 1 << 20
+LEAST, MOST = -(2**63), 2**63 - 1  # what a long holds
 BLOCK = "dim int, block long, ids binary, vectors binary, wide boolean"
 
 
@@ -78,7 +81,7 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if most < 2**53:
         return (q @ c.T).astype(np.int64)
     exact = np.array([[sum(int(x) * int(y) for x, y in zip(a, b)) for b in c] for a in q], object)
-    if any(abs(x) >= 2**63 for x in exact.ravel()):
+    if any(not LEAST <= x <= MOST for x in exact.ravel()):
         raise OverflowError("a score needs more than 64 bits")
     return exact.astype(np.int64)
 
@@ -103,14 +106,21 @@ def _each(batches: Iterator[pd.DataFrame], k: int):
                 yield r.q_block, qids, some, scores, inside, np.maximum(kth, some[:, 1]), ids
 
 
+def _bin(lo: np.ndarray, score: np.ndarray, width: int) -> np.ndarray:
+    """The start of the bin, counted from lo, that holds each score. Distances may need all 64 bits, so they are unsigned."""
+    w = np.uint64(width)
+    with np.errstate(over="ignore"):
+        return (lo.astype(np.uint64) + (score.astype(np.uint64) - lo.astype(np.uint64)) // w * w).astype(np.int64)
+
+
 def _histogram(pairs: DataFrame, k: int, width: int) -> DataFrame:
     """(q_block, q, need, lo, n, reached): counts by bin, and how many scores lie in it or above it."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for q_block, _, some, scores, inside, least, _ in _each(batches, k):
-            floor = some[:, 1] + (least - some[:, 1]) // width * width
+            floor = _bin(some[:, 1], least, width)
             row, col = np.nonzero(inside & (scores >= floor[:, None]))
-            lo = some[row, 1] + (scores[row, col] - some[row, 1]) // width * width
+            lo = _bin(some[row, 1], scores[row, col], width)
             seen, n = np.unique(np.stack([some[row, 0], some[row, 3], lo], 1), axis=0, return_counts=True)
             yield pd.DataFrame({"q_block": q_block, "q": seen[:, 0], "need": seen[:, 1], "lo": seen[:, 2], "n": n})
 
@@ -148,10 +158,10 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, id_col: str = "ve
     groups = max(1, -(-n_blocks // group))
     bound = candidates.mapInPandas(_largest, "dim int, largest double").groupBy("dim").agg(F.max("largest").alias("largest")).collect()
     limit = max([int(r["dim"]) * int(r["largest"]) ** 2 for r in bound], default=0) + 1
-    limit = min(limit, 2**62)
+    low, high = max(-limit, LEAST), min(limit, MOST)  # beyond these a score is an error
     asked = queries.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("wide").alias("q_wide"))
     numbers = F.sequence(F.lit(0).cast("long"), F.floor(F.octet_length("ids") / 8).cast("long") - 1)
-    state = queries.select(F.col("block").alias("q_block"), F.explode(numbers).alias("q"), F.lit(-limit).cast("long").alias("lo"), F.lit(limit).cast("long").alias("hi"), F.lit(k).cast("long").alias("need"))
+    state = queries.select(F.col("block").alias("q_block"), F.explode(numbers).alias("q"), F.lit(low).cast("long").alias("lo"), F.lit(high).cast("long").alias("hi"), F.lit(k).cast("long").alias("need"))
 
     def met(state: DataFrame) -> DataFrame:
         """Every block of queries that has state with every block of candidates."""
@@ -160,15 +170,20 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, id_col: str = "ve
         dealt = candidates.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
         return dealt.join(copies, ["group", "dim"]).drop("group", "block")
 
-    width, few = 2 * limit + 1, None
+    width, few, last = high - low + 1, None, None
     while width > 1:
         width = -(-width // bins)
         bins_found = cut(_histogram(met(state), k, width), "topk-histogram")
+        if last is not None:  # the first pass is read again for `few`
+            drop_cut(last)
         if few is None:  # queries with fewer than k candidates want them all
-            few = bins_found.groupBy("q_block", "q", "need").agg(F.max("reached").alias("reached")).where("reached < need").select("q_block", "q", F.lit(-limit).cast("long").alias("lo"))
+            few = bins_found.groupBy("q_block", "q", "need").agg(F.max("reached").alias("reached")).where("reached < need").select("q_block", "q", F.lit(low).cast("long").alias("lo"))
+        else:
+            last = bins_found
         at = bins_found.where((F.col("reached") >= F.col("need")) & (F.col("reached") - F.col("n") < F.col("need")))
-        state = at.select("q_block", "q", "lo", (F.col("lo") + width - 1).alias("hi"), (F.col("need") - F.col("reached") + F.col("n")).alias("need"))
-    decided = state.select("q_block", "q", "lo").union(few).select("q_block", "q", "lo", F.lit(limit).cast("long").alias("hi"), F.lit(k).cast("long").alias("need"))
+        end = F.when(F.col("lo") > high - width, high).otherwise(F.col("lo") + (width - 1))
+        state = at.select("q_block", "q", "lo", end.cast("long").alias("hi"), (F.col("need") - F.col("reached") + F.col("n")).alias("need"))
+    decided = state.select("q_block", "q", "lo").union(few).select("q_block", "q", "lo", F.lit(high).cast("long").alias("hi"), F.lit(k).cast("long").alias("need"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return _kept(met(decided), k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from tessella.llm import packing
-from tessella.llm.bpe import tokenizer, vocabulary
+from tessella.llm.bpe import byte_level_ranks, tokenizer, vocabulary
 
 PATH = vocabulary("byte_bpe_50k.json")
 
@@ -16,8 +16,27 @@ def ids_of(text):
 def test_encoding_is_the_librarys():
     texts = [None, "", " ", "  a  b ", "a b", "x\n\ny z\n w", "I'm don't we'll", "ä ö\u00a0ü \u3000 z", "<|endoftext|> a<|endoftext|>b", "a \x1c b \x85 c \u180e d \u200b e \ufeff f", "日本 語 text 123 4567", "tab\t a \tb", "\u2028 a", "a  \n b", "😀 😀 a"]
     texts += ["".join(random.Random(i).choices(" \n\tab1.'é", k=60)) for i in range(200)]
-    got = packing.encode_texts(texts, PATH)
-    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [ids_of(t) for t in texts]
+    texts += [" " * 3000, "\n" * 600 + "x", "x" + "\u3000" * 700]
+    assert [packing.encode_text(t, PATH).tolist() for t in texts] == [ids_of(t) for t in texts]
+    assert byte_level_ranks(PATH)[0] is not None and byte_level_ranks(vocabulary("word_bpe_49k.json"))[0] is None
+
+
+def test_every_character_is_encoded_as_by_the_library():
+    around = "a{0}b {0}{0}  {0}1 {0}. {0}\n{0}'s"
+    texts = ["".join(around.format(chr(c)) for c in range(k, k + 16) if not 0xD800 <= c < 0xE000) for k in range(0, 0x110000, 16)]
+    made = tokenizer(PATH)
+    for k in range(0, len(texts), 4096):
+        some = texts[k : k + 4096]
+        assert all(packing.encode_text(t, PATH).tolist() == got.ids for t, got in zip(some, made.encode_batch_fast(some, add_special_tokens=False)))
+
+
+def test_long_texts_are_encoded_part_by_part(monkeypatch):
+    rng = random.Random(9)
+    text = "".join(rng.choices(["word ", "a", " ", "\n", "é ", "12", "<|endoftext|>", "... "], k=4000))
+    want = ids_of(text)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(packing, "LONG", size)
+        assert packing.encode_text(text, PATH).tolist() == want
 
 
 def check(rows, texts, size):

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import topk
@@ -43,6 +44,20 @@ def test_large_components_stay_exact(spark):
     assert run(spark, rows, bins=64) == plain(rows, 5, 5)
 
 
+def test_scores_near_the_end_of_a_long(spark):
+    # 256 * x; scores up to just below 2 ** 63, and their negatives
+    rows = [(0, [8e6]), (1, [9e6]), (2, [1.0]), (3, [-9e6]), (5, [1.186e7]), (4, [1.186e7]), (6, [0.0])]
+    want = plain(rows, 5, 5)
+    assert max(r[3] for r in want) > 2**62 and (0, 1, 4, math.floor(256 * 8e6) * math.floor(256 * 1.186e7)) in want
+    for how in ({}, {"bins": 300, "per_block": 2}):
+        assert run(spark, rows, **how) == want
+
+
+def test_a_score_beyond_a_long_is_an_error(spark):
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, [(0, [2e7]), (1, [2e7])])
+
+
 def test_few_and_none(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []
