@@ -2,15 +2,20 @@
 
 Every language has a codeword of bits; for each bit a binary n-gram classifier tells the languages with a 1 from
 those with a 0. The classifiers are log odds of hashed character 1- to 3-grams, learned from counts over every
-training document. Decoding takes, for each codeword, the logistic loss of the bits' margins, each bit weighted by
-how clearly it separates that language in training, and chooses the least; the score is the softmax of the losses.
+training document. A text's margin on a bit is its grams' mean log odds, as a part of what that language's own texts
+have on average: 1 for pure text, 0 for text of neither side, -1 for text of the other. Decoding takes, for each
+codeword, the logistic loss of its margins, each bit weighted by how clearly it separates that language in training,
+and chooses the least. The score is the softmax of the losses times the mean margin, so it is low both where two
+codewords are about as near (a mixture, then the text is flagged ambiguous) and where none is near (junk).
 
 What is held on the driver and sent to workers is n_langs x DIMS counts and DIMS x bits weights: it depends on the
 number of languages (at most MAX_LANGS), not on the corpus.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; so is every text if nothing was learned.
 Rows without a language or text teach nothing. Repeated rows count as often as they occur; ties go to the smaller
-language name.
+language name. With one language in training every text with a letter is that language, with score 1. Texts of any
+length are read whole, 262,144 characters at a time. An empty table gives no rows. Other columns, whatever their names,
+stay as they are, but for those that identify() names.
 """
 
 from __future__ import annotations
@@ -24,10 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import whole_row
+
 DIMS = 1 << 15
 MAX_LANGS = 256
 ALPHA = 0.5
-SHARPNESS = 16.0
+SHARPNESS = 2.0
+MARGIN = 0.5  # a text is ambiguous if the second language's probability is nearer than this to the first's
 PIECE = 1 << 18  # characters featurised at a time; longer texts are summed piece by piece
 LETTER = re.compile(r"[^\W\d_]")
 FIELDS = "lang_pred string, score double, runner_up string, ambiguous boolean"
@@ -38,6 +46,7 @@ class Model(NamedTuple):
     code: np.ndarray  # langs x bits, +1 or -1
     weights: np.ndarray  # DIMS x bits
     trust: np.ndarray  # langs x bits, rows sum to the number of bits
+    clear: np.ndarray  # langs x bits, mean margin of each language's own texts
 
 
 def gram_hashes(text: str) -> np.ndarray:
@@ -115,10 +124,10 @@ def fit(langs: list[str], counts: np.ndarray) -> Model:
     code = codewords(len(langs))
     share = (counts + ALPHA) / (counts.sum(1, keepdims=True) + ALPHA * DIMS) if len(langs) else counts
     if len(langs) < 2:
-        return Model(langs, code, np.zeros((DIMS, code.shape[1]), np.float32), np.ones_like(code))
+        return Model(langs, code, np.zeros((DIMS, code.shape[1]), np.float32), np.ones_like(code), np.ones_like(code))
     weights = np.stack([np.log(share[code[:, b] > 0].mean(0)) - np.log(share[code[:, b] < 0].mean(0)) for b in range(code.shape[1])], 1)
     clear = np.maximum(share @ weights * code, 1e-6)  # expected margin of each language's own texts
-    return Model(langs, code, weights.astype(np.float32), clear / clear.sum(1, keepdims=True) * code.shape[1])
+    return Model(langs, code, weights.astype(np.float32), clear / clear.sum(1, keepdims=True) * code.shape[1], clear)
 
 
 def predict(texts: pd.Series, model: Model, margin: float) -> pd.DataFrame:
@@ -132,18 +141,19 @@ def predict(texts: pd.Series, model: Model, margin: float) -> pd.DataFrame:
             h = gram_hashes(text[i : i + PIECE])
             total += model.weights.take(h, axis=0).sum(0, dtype=np.float64) if len(h) < 4096 else np.bincount(h, minlength=DIMS) @ model.weights
             n += len(h)
-        z = SHARPNESS * total / n
-        loss = (np.logaddexp(0, -model.code * z) * model.trust).sum(1)
+        near = model.code * (total / n) / model.clear
+        loss = (np.logaddexp(0, -SHARPNESS * near) * model.trust).sum(1)
         p = np.exp(loss.min() - loss)
         p /= p.sum()
         order = np.argsort(-p, kind="stable")
         second = order[1] if len(order) > 1 else None
         gap = p[order[0]] - (p[second] if second is not None else 0.0)
-        out.append((model.langs[order[0]], float(p[order[0]]), model.langs[second] if second is not None else None, bool(gap < margin)))
+        match = np.clip(near[order[0]], 0, 1).mean() if second is not None else 1.0
+        out.append((model.langs[order[0]], float(p[order[0]] * match), model.langs[second] if second is not None else None, bool(gap < margin)))
     return pd.DataFrame(out, columns=["lang_pred", "score", "runner_up", "ambiguous"])
 
 
-def predictor(model: Model, margin: float = 0.2):
+def predictor(model: Model, margin: float = MARGIN):
     """A column function of the text: struct<lang_pred, score, runner_up, ambiguous>."""
 
     @F.pandas_udf(FIELDS)
@@ -153,7 +163,8 @@ def predictor(model: Model, margin: float = 0.2):
     return language
 
 
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text", margin: float = 0.2) -> DataFrame:
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """docs with lang_pred, score, runner_up and ambiguous added, or in place of columns of these names."""
-    got = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "runner_up", "ambiguous")], predictor(model, margin)(F.col(f"`{text_col}`")).alias("__lang"))
-    return got.select(*[F.col(f"`{c}`") for c in got.columns if c != "__lang"], "__lang.*")
+    told = docs.select(whole_row(docs), predictor(model, margin)(F.col(f"`{text_col}`")).alias("told"))
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "runner_up", "ambiguous")]
+    return told.select(*[F.col("row").getField(c).alias(c) for c in names], "told.*")

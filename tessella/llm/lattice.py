@@ -7,6 +7,7 @@ lattices. A character that no piece covers, and a mark character that stands in
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -77,30 +78,8 @@ def _bytes_of(char: str) -> bytes:
     return (MARK if char == RAW_MARK else char).encode()
 
 
-def arcs(unit: str, vocabulary: Vocabulary) -> tuple[int, list[tuple[int, int, int]]]:
-    """(number of nodes, arcs (from, to, id) in an order in which every arc into a node stands before those out of it).
-
-    Nodes 0..len(unit) lie between characters; a character in bytes has further nodes inside, numbered from len(unit) + 1."""
-    get, prefixes, n = vocabulary.pieces.get, vocabulary.prefixes, len(unit)
-    out, nodes = [], n + 1
-    for s in range(n):
-        e, found = s + 1, False
-        while e <= n and (part := unit[s:e]) in prefixes:
-            if (i := get(part)) is not None:
-                out.append((s, e, i))
-                found = found or e == s + 1
-            e += 1
-        if not found:
-            raw, at = _bytes_of(unit[s]), s
-            for k, b in enumerate(raw):
-                to = s + 1 if k == len(raw) - 1 else nodes
-                nodes += to == nodes
-                out.append((at, to, vocabulary.byte_ids[b]))
-                at = to
-    return nodes, out
-
-
-SHORT = 32  # characters; longer units take the log-space functions below, one by one
+SHORT = 32  # characters; longer units are worked on one by one, as LongUnit
+BLOCK = 1 << 15  # characters of a long unit whose arcs are held at a time
 _EMPTY = np.int64(-1)
 
 
@@ -159,12 +138,12 @@ class Lattices:
 
     def __init__(self, units: list[str], path: str, prob: np.ndarray):
         model, table, n = load(path), trie(path), len(units)
-        length = np.array([len(u) for u in units], np.int64)
+        length = np.fromiter(map(len, units), np.int64, n)
         order = np.argsort(-length, kind="stable")
         self.rank = np.empty(n, np.int64)
         self.rank[order] = np.arange(n)
         ranked = length[order]
-        codes = np.frombuffer("".join([units[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = np.frombuffer("".join(map(units.__getitem__, order.tolist())).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         longest = int(ranked[0]) if n else 0
         at_least = np.searchsorted(-ranked, -np.arange(longest + 1), side="right")
         self.start = np.concatenate([[0], np.cumsum(at_least)])
@@ -244,13 +223,18 @@ class Lattices:
         return total
 
     def edges(self) -> np.ndarray:
-        """For drawing an arc into a node with a uniform number u: the arc of the first edge above node + u."""
-        share = np.cumsum(self.share)
-        before = np.concatenate([[0.0], share])[self.first[:-1]]
-        edge = self.dst + np.minimum(share - before[self.dst], 1.0)
-        last = self.first[1:][self.n :] - 1
-        edge[last] = self.dst[last] + 1.0
-        return edge
+        """For drawing an arc into a node with a 32-bit random number r: the first edge above (node << 32) + r is that of
+        the arc. The shares of a node are added up by themselves, so its edges depend on nothing but its unit."""
+        first, count = self.first[:-1], np.diff(self.first)
+        share, live, j = self.share.copy(), np.flatnonzero(np.diff(self.first) > 1), 1
+        while len(live):
+            at = first[live] + j
+            share[at] += share[at - 1]
+            j += 1
+            live = live[count[live] > j]
+        part = np.minimum(share, 1.0) * 2.0**32
+        part[self.first[1:][count > 0] - 1] = 2.0**32
+        return (self.dst.astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64)
 
 
 def byte_pieces(code: int, vocabulary: Vocabulary) -> list[int]:
@@ -258,50 +242,135 @@ def byte_pieces(code: int, vocabulary: Vocabulary) -> list[int]:
     return [vocabulary.byte_ids[b] for b in _bytes_of(chr(-1 - code))]
 
 
-def log_marginal(unit: str, vocabulary: Vocabulary, prob: list[float]) -> float:
-    """Natural log of the summed probability of all segmentations of a unit. prob: by id.
-
-    The recursion adds probabilities that are scaled by powers of two where they become small, which is the log-space
-    recursion without a logarithm for every arc."""
-    nodes, list_ = arcs(unit, vocabulary)
-    if len(unit) <= 24:
-        alpha = [0.0] * nodes
-        alpha[0] = 1.0
-        for s, e, i in list_:
-            alpha[e] += alpha[s] * prob[i]
-        if alpha[len(unit)] > 1e-290:
-            return float(np.log(alpha[len(unit)]))
-    log = [-np.inf] * nodes
-    log[0] = 0.0
-    for s, e, i in list_:
-        log[e] = np.logaddexp(log[e], log[s] + np.log(prob[i])) if prob[i] > 0 else log[e]
-    return float(log[len(unit)])
-
-
-def expected_counts(unit: str, times: float, vocabulary: Vocabulary, prob: list[float], into: np.ndarray) -> None:
-    """Add times x the expected use of each id over all segmentations of a unit (forward-backward)."""
-    nodes, list_ = arcs(unit, vocabulary)
-    n = len(unit)
-    # each node is scaled to keep long units in range
-    alpha, beta = [0.0] * nodes, [0.0] * nodes
-    alpha[0] = beta[n] = 1.0
-    if n <= 24:
-        for s, e, i in list_:
-            alpha[e] += alpha[s] * prob[i]
-        for s, e, i in reversed(list_):
-            beta[s] += beta[e] * prob[i]
-        if (z := alpha[n]) > 1e-290:
-            for s, e, i in list_:
-                into[i] += times * alpha[s] * prob[i] * beta[e] / z
+def _log_sums(log: list[float], other: list[int], log_p: list[float], first: list[int], nodes: range, at: int) -> list[float]:
+    """log with log[at + i] = the log of the sum over node i's arcs of exp(log[other end] + log_p), for i in nodes, one after another."""
+    for i in nodes:
+        lo, hi = first[i], first[i + 1]
+        if hi == lo + 1:
+            log[at + i] = log[other[lo]] + log_p[lo]
+        elif hi > lo:
+            ways = [log[other[k]] + log_p[k] for k in range(lo, hi)]
+            most = max(ways)
+            if most > -math.inf:
+                log[at + i] = most + math.log(sum([math.exp(w - most) for w in ways]))
+    return log
+
+
+class LongUnit:
+    """The lattice of one unit of any length, block by block, in log space: what is held is a number for each character
+    and the arcs of one block."""
+
+    def __init__(self, unit: str, path: str, prob: np.ndarray, block: int = BLOCK):
+        self.model, self.trie, self.block = load(path), trie(path), block
+        self.codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.reach = max(map(len, self.model.pieces))
+        with np.errstate(divide="ignore"):
+            self.log_prob = np.log(prob)
+        self.in_bytes: dict[int, float] = {}
+
+    def arcs(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(src, dst, id, natural log of the probability) of the arcs out of [begin, end), by src; an id below zero is
+        the bytes of the character -1 - id."""
+        place, node = np.arange(begin, end), np.zeros(end - begin, np.int64)
+        src, dst, ids = [], [], []
+        for k in range(self.reach):
+            on = place + k < len(self.codes)
+            place, node = place[on], node[on]
+            if not len(place):
+                break
+            node = self.trie.step(node, self.codes[place + k].astype(np.int64))
+            on = node >= 0
+            if k == 0:
+                bare = ~on
+                bare[on] = self.trie.piece[node[on]] < 0
+                src.append(place[bare])
+                dst.append(place[bare] + 1)
+                ids.append(-1 - self.codes[place[bare]].astype(np.int64))
+            place, node = place[on], node[on]
+            ends = self.trie.piece[node] >= 0
+            src.append(place[ends])
+            dst.append(place[ends] + k + 1)
+            ids.append(self.trie.piece[node[ends]])
+        src, dst, ids = (np.concatenate(x) for x in (src, dst, ids))
+        order = np.argsort(src, kind="stable")
+        src, dst, ids = src[order], dst[order], ids[order]
+        log_p = self.log_prob[np.maximum(ids, 0)]
+        for i in np.flatnonzero(ids < 0):
+            code = int(ids[i])
+            if code not in self.in_bytes:
+                self.in_bytes[code] = float(self.log_prob[byte_pieces(code, self.model)].sum())
+            log_p[i] = self.in_bytes[code]
+        return src, dst, ids, log_p
+
+    def _into(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The arcs into (begin, end], by dst."""
+        src, dst, ids, log_p = self.arcs(max(0, begin - self.reach), end)
+        inside = (dst > begin) & (dst <= end)
+        order = np.flatnonzero(inside)[np.argsort(dst[inside], kind="stable")]
+        return src[order], dst[order], ids[order], log_p[order]
+
+    def forward(self) -> np.ndarray:
+        """Natural log of the summed probability of all ways to each place between characters."""
+        n = len(self.codes)
+        log = np.full(n + 1, -np.inf)
+        log[0] = 0.0
+        for begin in range(0, n, self.block):
+            end, low = min(n, begin + self.block), max(0, begin - self.reach)
+            src, dst, _, log_p = self._into(begin, end)
+            first = np.searchsorted(dst, np.arange(begin + 1, end + 2)).tolist()
+            log[low : end + 1] = _log_sums(log[low : end + 1].tolist(), (src - low).tolist(), log_p.tolist(), first, range(end - begin), begin + 1 - low)
+        return log
+
+    def expectations(self, times: float, into: np.ndarray) -> None:
+        """Add times x the expected use of each id over all segmentations."""
+        n = len(self.codes)
+        alpha, beta = self.forward(), np.full(n + 1, -np.inf)
+        beta[n] = 0.0
+        if alpha[n] == -np.inf:
             return
-    la, lb = np.full(nodes, -np.inf), np.full(nodes, -np.inf)
-    la[0] = lb[n] = 0.0
-    lp = [np.log(prob[i]) if prob[i] > 0 else -np.inf for _, _, i in list_]
-    for (s, e, _), w in zip(list_, lp):
-        la[e] = np.logaddexp(la[e], la[s] + w)
-    for (s, e, _), w in zip(reversed(list_), reversed(lp)):
-        lb[s] = np.logaddexp(lb[s], lb[e] + w)
-    if la[n] == -np.inf:
-        return
-    for (s, e, i), w in zip(list_, lp):
-        into[i] += times * np.exp(la[s] + w + lb[e] - la[n])
+        for end in range(n, 0, -self.block):
+            begin, high = max(0, end - self.block), min(n, end + self.reach)
+            src, dst, ids, log_p = self.arcs(begin, end)
+            first = np.searchsorted(src, np.arange(begin, end + 1)).tolist()
+            beta[begin : high + 1] = _log_sums(beta[begin : high + 1].tolist(), (dst - begin).tolist(), log_p.tolist(), first, range(end - begin - 1, -1, -1), 0)
+            used = np.exp(alpha[src] + log_p + beta[dst] - alpha[n]) * times
+            whole = ids >= 0
+            np.add.at(into, ids[whole], used[whole])
+            for code, x in zip(ids[~whole].tolist(), used[~whole].tolist()):
+                np.add.at(into, byte_pieces(code, self.model), x)
+
+    def sample(self, streams, uniforms) -> list[np.ndarray]:
+        """One segmentation for each stream of random numbers, last arc drawn first; uniforms(stream, steps)."""
+        n, alpha = len(self.codes), self.forward()
+        at, steps, drawn = [n] * len(streams), [0] * len(streams), [[] for _ in streams]
+        for end in range(n, 0, -self.block):
+            begin = max(0, end - self.block)
+            src, dst, ids, log_p = self._into(begin, end)
+            share = np.exp(alpha[src] + log_p - alpha[dst]).tolist()
+            first = np.searchsorted(dst, np.arange(begin, end + 2)).tolist()
+            src, ids = src.tolist(), ids.tolist()
+            for i, stream in enumerate(streams):
+                most = at[i] - begin
+                random = uniforms(stream, np.arange(steps[i], steps[i] + most)).tolist() if most > 0 else []
+                k = 0
+                while at[i] > begin:
+                    lo, hi = first[at[i] - begin], first[at[i] - begin + 1]
+                    left, arc = random[k], lo
+                    while arc < hi - 1 and left >= share[arc]:
+                        left -= share[arc]
+                        arc += 1
+                    drawn[i].append(ids[arc])
+                    at[i] = src[arc]
+                    k += 1
+                steps[i] += k
+        return [np.array(d[::-1], np.int64) for d in drawn]
+
+
+def log_marginal(unit: str, path: str, prob: np.ndarray) -> float:
+    """Natural log of the summed probability of all segmentations of a unit of any length. prob: by id."""
+    return float(LongUnit(unit, path, prob).forward()[-1])
+
+
+def expected_counts(unit: str, times: float, path: str, prob: np.ndarray, into: np.ndarray) -> None:
+    """Add times x the expected use of each id over all segmentations of a unit of any length (forward-backward)."""
+    LongUnit(unit, path, prob).expectations(times, into)

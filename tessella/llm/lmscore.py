@@ -9,7 +9,9 @@ corpus and are not: only words of at most `word_bytes` bytes whose count is so h
 reach it are sent along, with their scores. A text's other words are joined with the table of words.
 
 Defined cases: null text is empty: one token, the end. Without training texts every token has base probability 1 (the
-formula's value) and the pieces keep the file's scores. Repeated rows are scored, and counted, one by one.
+formula's value) and the pieces keep the file's scores. Repeated rows are scored, and counted, one by one. A text of any
+length is scored whole; a word of any length too, block by block, with a number for each character held. Of words that tie
+in count all or none are sent along. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def train_pieces(counts: DataFrame, ends: int, path: str) -> tuple[np.ndarray, f
             if len(short):
                 total += Lattices([found[i] for i in short], path, start).expectations(n[short], model.size, model)
             for i in long:
-                expected_counts(found[i], n[i], model, start, total)
+                expected_counts(found[i], n[i], path, start, total)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "x": total[used]})
 
@@ -102,14 +104,13 @@ def word_scores(counts: DataFrame, prob: np.ndarray, path: str) -> DataFrame:
     """counts with m, each word's log10 probability summed over its segmentations."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load(path)
         for batch in batches:
             found, short, long = _units(batch["word"].tolist())
             m = np.zeros(len(found))
             if len(short):
                 m[short] = Lattices([found[i] for i in short], path, prob).marginals()
             for i in long:
-                m[i] = log_marginal(found[i], model, prob)
+                m[i] = log_marginal(found[i], path, prob)
             yield batch.assign(m=m / math.log(10))
 
     return counts.mapInPandas(score, "word binary, n long, m double")

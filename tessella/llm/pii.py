@@ -11,7 +11,11 @@ candidates they surround into spans. Base spans always stay; new ones never over
 Text is read once: one row a document with its spans and candidates is cut into the shared folder and everything
 else works on that.
 
-Defined cases: null text is empty text and has no spans; repeated rows give repeated results; offsets are code points.
+Defined cases: null text is empty text and has no spans (redact() leaves it null); repeated rows give repeated results;
+offsets are code points. A text of any length is searched whole, in time that grows with its length; a span's context is
+the words in the 48 characters before it and behind it. Of loose candidates that overlap, the first by kind, then place,
+is one; a candidate in trusted contexts of its kind is a span. An empty table gives no rows. Other columns, whatever
+their names, are not read, and redact() hands them on.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, drop_cut, unpacked, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+ROUNDS = 12  # at most; scoring ends earlier where a round trusts what the last one did
 MIN_TRUST = 0.9  # of a pattern's distinct labelled instances, for it to extract; and of an instance, to be trusted
 MIN_SUPPORT = 5  # distinct trusted instances
 
@@ -83,7 +87,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of the looser forms that overlap no base span nor each other."""
-    taken = sorted((s, e) for _, s, e in base)
+    taken = bytearray(len(text))
+    for _, s, e in base:
+        taken[s:e] = b"\x01" * (e - s)
     out, lower = [], text.lower()
     for kind, pattern, needs in _LOOSE:
         if kind == 0 and not any(w in lower for w in _WRITTEN_OUT):
@@ -95,9 +101,10 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
                 continue
             if kind == 3 and not 7 <= len(_DIGITS.sub("", m[0])) <= 15:
                 continue
-            if all(e <= m.start() or s >= m.end() for s, e in taken):
-                out.append((kind, m.start(), m.end()))
-                taken.append((m.start(), m.end()))
+            s, e = m.span()
+            if not any(taken[s:e]):
+                out.append((kind, s, e))
+                taken[s:e] = b"\x01" * (e - s)
     return out
 
 
@@ -124,7 +131,7 @@ def scan(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
         for text in texts:
             text = text or ""
             base = base_spans(text)
-            loose = loose_spans(text, base) 
+            loose = loose_spans(text, base)
             marks = []
             for is_base, spans in ((True, base), (False, loose)):
                 for k, s, e in spans:
@@ -140,18 +147,25 @@ def scan(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 
 
 def trusted_patterns(scanned: DataFrame, *, rounds: int = ROUNDS, min_trust: float = MIN_TRUST, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(kind, pattern) that extract, after `rounds` of scoring the graph of patterns and instances."""
+    """(kind, pattern) that extract, after at most `rounds` of scoring the graph of patterns and instances."""
     marks = scanned.where(F.size("marks") > 0).select(F.explode("marks").alias("m")).select("m.*")
     edges = cut(marks.select("kind", "base", "instance", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "instance").agg(F.max("base").alias("base")), "pii-edges")
     trust = edges.groupBy("kind", "instance").agg(F.max("base").cast("double").alias("trust"))
-    scored = None
+    scored = state = None
     for _ in range(rounds):
         trust = cut(trust.where(F.col("trust") >= min_trust), "pii-trust")
+        before, state = state, tuple(trust.agg(F.count("*"), F.round(F.sum("trust"), 6), F.bit_xor(F.xxhash64("kind", "instance"))).first())
+        if state == before:
+            drop_cut(trust)
+            break
         known = edges.join(trust, ["kind", "instance"], "left").withColumn("trust", F.coalesce("trust", F.lit(0.0)))
         sums = known.groupBy("kind", "pattern").agg(F.sum("trust").alias("sum"), F.sum(F.when(F.col("trust") > 0, 1).otherwise(0)).alias("support"))
         # a tenth of a contradicting instance more than seen: a pattern met once proves nothing
         labelled = F.sum("support").over(Window.partitionBy("pattern"))  # a row a kind
+        if scored is not None:
+            drop_cut(scored)
         scored = cut(sums.select("kind", "pattern", (F.col("sum") / (labelled + 0.1)).alias("score"), "support"), "pii-patterns")
+        drop_cut(trust)
         good = scored.where(F.col("support") >= min_support)
         doubt = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
         reached = edges.join(good, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("trust"))
@@ -212,12 +226,12 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
         return pd.Series([mask(t, None) for t in texts], dtype=object)
 
     text = F.col(f"`{text_col}`")
+    rows = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     if more.isEmpty():  # nothing was discovered: there is nothing to join
-        done = docs.withColumn("__masked", masked_base(text))
+        done = rows.select("row", masked_base("text").alias("masked"))
     else:
-        where = scanned.select("uid", F.col("doc_id").alias("__id"), F.col("content").alias("__content")).join(more, "uid").select("__id", "__content", F.col("more").alias("__more")).dropDuplicates(["__id", "__content"])
-        keyed = docs.withColumn("__text_hash", F.xxhash64(text))
-        joined = keyed.join(where, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__content")), "left")
-        done = joined.withColumn("__masked", masked(text, F.col("__more")))
-    n = F.length("__masked").cast("long")
-    return done.select(*[F.col("__masked").alias(c) if c == text_col else n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+        where = scanned.select("uid", "doc_id", "content").join(more, "uid").select("doc_id", "content", "more").dropDuplicates(["doc_id", "content"])
+        joined = rows.join(where, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("content")), "left")
+        done = joined.select("row", masked("text", "more").alias("masked"))
+    instead = {"n_chars": F.length("masked").cast("long")} if "n_chars" in docs.columns else {}
+    return unpacked(done, docs.columns, **{**instead, text_col: F.col("masked")})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import edits, langid, lmscore, packing, pii, sampling, simhash, tokencount, topk, urls
-from tessella.llm.common import columns, id_remainder, table
+from tessella.llm.common import columns, cut, id_remainder, table
 
 RULES = (urls.Rule("org", "/", "allow"), urls.Rule("example.org", "/es/", "block"), urls.Rule("example.org", "/en/1", "block"), urls.Rule("com", "/fr/", "allow"), urls.Rule("com", "/de/", "block"))
 #: Host labels whose pages make up the list that op1 looks URLs up in (fixed values).
@@ -15,7 +15,10 @@ LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = columns(table(spark, sf_dir, "pages"), "page_id", "url")
-    listed = pages.where(urls.url_host(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\."))
+    marked = pages.where(urls.url_host(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\."))
+    # as another crawl may have written them: no form equals the page's own, only the canonical forms agree
+    known = urls.canonical_url(F.col("url"))
+    listed = marked.select(F.concat(F.lit("HTTP://WWW."), F.regexp_extract(known, "^[^/?]*", 0), F.lit(":80"), F.regexp_replace(known, "^[^/?]*", ""), F.lit("#listed")).alias("url"))
     return urls.filter_urls(pages, listed, RULES)
 
 
@@ -81,7 +84,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.neighbours(columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    found = cut(edits.neighbours(columns(table(spark, sf_dir, "documents"), "doc_id", "text")), "edits-neighbours")
+    return edits.near_duplicates(found)
 
 
 def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,19 @@ number of a step depends on nothing but the seed, the row key, the unit's number
 row's segmentation is the same in any partitioning, batch or retry.
 
 Defined cases: null text gives null ids, empty text no ids; a null key counts as 0; repeated rows (same key and text)
-get the same segmentation. Decoding returns the very text: spaces, marks, controls and unknown characters included.
+get the same segmentation. Decoding returns the very text: spaces, marks, controls and unknown characters included. A
+text of any length is segmented whole; a unit without spaces, however long, is filtered block by block, with a number for
+each character held. There are no ties: a draw falls on one arc. An empty table gives no rows. Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import vocabulary
-from tessella.llm.lattice import SHORT, Lattices, Vocabulary, arcs, byte_pieces, load, rank_weights, units
+from tessella.llm.lattice import SHORT, Lattices, LongUnit, Vocabulary, byte_pieces, load, rank_weights, units
 
 VOCABULARY = "piece_bpe_32k.model"
 SEED = 17
@@ -35,34 +40,47 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _uniform(stream: np.ndarray, step: int) -> np.ndarray:
+def _random(stream: np.ndarray, step) -> np.ndarray:
+    """32 random bits for each stream at a step, or for one stream at each of many steps."""
     with np.errstate(over="ignore"):
-        return (_mix(stream + np.uint64(step + 1) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(float) / 2**32
-
-
-def sample_long(unit: str, stream: np.ndarray, model: Vocabulary, prob: np.ndarray) -> list[list[int]]:
-    """Segmentations of one long unit, filtered in log space, one for each stream of random numbers."""
-    nodes, list_ = arcs(unit, model)
-    log = np.full(nodes, -np.inf)
-    log[0] = 0.0
-    into: list[list] = [[] for _ in range(nodes)]
-    with np.errstate(divide="ignore"):
-        weight = np.log(prob)
-    for s, e, i in list_:
-        w = log[s] + weight[i]
-        log[e] = np.logaddexp(log[e], w)
-        into[e].append((w, s, i))
-    out = []
-    for one in stream:
-        node, step, ids = len(unit), 0, []
-        while node:
-            share = np.cumsum([np.exp(w - log[node]) for w, _, _ in into[node]])
-            k = min(int(np.searchsorted(share, _uniform(np.array([one]), step)[0], side="right")), len(share) - 1)
-            _, node, i = into[node][k]
-            ids.append(i)
-            step += 1
-        out.append(ids[::-1])
-    return out
+        return _mix(stream + (np.asarray(step).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)
+
+
+def _uniforms(stream: np.uint64, steps: np.ndarray) -> np.ndarray:
+    return _random(stream, steps).astype(float) / 2.0**32
+
+
+class Common(NamedTuple):
+    """Lattices of the units that a worker met most often: they are filtered once and used by every later batch."""
+
+    number: dict[str, int]
+    starts: int
+    edge: np.ndarray
+    src: np.ndarray
+    ids: np.ndarray
+    end: np.ndarray
+
+
+COMMON_AFTER = 4_000_000  # characters that a worker has read before it chooses
+COMMON_UNITS = 100_000
+_seen: dict[tuple, tuple[Counter, list]] = {}
+_common: dict[tuple, Common] = {}
+
+
+def _common_units(which: tuple, distinct, size: int, path: str, prob: np.ndarray) -> Common | None:
+    """The worker's common units once it has read enough; `which` names vocabulary and weights. What a unit's lattice
+    gives does not depend on where it is filtered, so this changes no result."""
+    if which not in _common:
+        counter, read = _seen.setdefault(which, (Counter(), [0]))
+        counter.update(distinct)
+        read[0] += size
+        if read[0] < COMMON_AFTER:
+            return None
+        chosen = [u for u, n in counter.most_common(COMMON_UNITS) if n > 1 and len(u) <= SHORT]
+        del _seen[which]
+        made = Lattices(chosen, path, prob)
+        _common[which] = Common({u: i for i, u in enumerate(chosen)}, made.n, made.edges(), made.src, made.ids, made.end)
+    return _common[which]
 
 
 def sample(keys: np.ndarray, texts: list[str], path: str, prob: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -72,35 +90,42 @@ def sample(keys: np.ndarray, texts: list[str], path: str, prob: np.ndarray, seed
     sizes = np.array([len(u) for u in split], np.int64)
     if not sizes.sum():
         return [np.zeros(0, np.int32) for _ in texts]
-    number: dict[str, int] = {}
-    which = np.fromiter((number.setdefault(u, len(number)) for u in chain.from_iterable(split)), np.int64, int(sizes.sum()))
+    number = dict.fromkeys(chain.from_iterable(split))
+    number.update(zip(number, range(len(number))))
+    which = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     with np.errstate(over="ignore"):
         stream = _mix(_mix(keys.astype(np.uint64)[doc] + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) + place.astype(np.uint64))
     distinct = list(number)
-    short = np.array([len(u) <= SHORT for u in distinct])
-    index = np.cumsum(short) - 1
-    lattices = Lattices([u for u in distinct if len(u) <= SHORT], path, prob)
-    edge = lattices.edges()
+    stock = _common_units((path, seed, float(prob.sum()), float(prob.max())), distinct, sum(map(len, texts)), path, prob)
+    home = np.full(len(distinct), -1, np.int64) if stock is None else np.fromiter(map(stock.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+    short = np.fromiter(map(len, distinct), np.int64, len(distinct)) <= SHORT
+    fresh = short & (home < 0)
+    index = np.cumsum(fresh) - 1
+    lattices = Lattices([distinct[i] for i in np.flatnonzero(fresh).tolist()], path, prob)
     # draws: (number of the unit in the batch, minus the step, id); a unit's last piece is drawn first
-    unit = np.flatnonzero(short[which])
-    node, step = lattices.end[index[which[unit]]], 0
     whose, when, what = [], [], []
-    while len(unit):
-        arc = np.searchsorted(edge, node + _uniform(stream[unit], step), side="right")
-        whose.append(unit)
-        when.append(np.full(len(unit), -step, np.int32))
-        what.append(lattices.ids[arc])
-        node = lattices.src[arc]
-        go = node >= lattices.n  # the first n nodes are the units' starts
-        unit, node, step = unit[go], node[go], step + 1
+    of_stock = home[which] >= 0
+    for starts, edge, src, ids, unit, node in (
+        (lattices.n, lattices.edges(), lattices.src, lattices.ids, u := np.flatnonzero(fresh[which]), lattices.end[index[which[u]]]),
+        *([(stock.starts, stock.edge, stock.src, stock.ids, u := np.flatnonzero(of_stock), stock.end[home[which[u]]])] if stock else []),
+    ):
+        step = 0
+        while len(unit):
+            arc = np.searchsorted(edge, (node.astype(np.uint64) << np.uint64(32)) + _random(stream[unit], step), side="right")
+            whose.append(unit)
+            when.append(np.full(len(unit), -step, np.int32))
+            what.append(ids[arc])
+            node = src[arc]
+            go = node >= starts  # the first nodes are the units' starts
+            unit, node, step = unit[go], node[go], step + 1
     for k in np.flatnonzero(~short):
         found = np.flatnonzero(which == k)
-        for at, ids in zip(found, sample_long(distinct[k], stream[found], model, prob)):
+        for at, ids in zip(found, LongUnit(distinct[k], path, prob).sample(stream[found], _uniforms)):
             whose.append(np.full(len(ids), at))
             when.append(np.arange(len(ids), dtype=np.int32))
-            what.append(np.array(ids, np.int64))
+            what.append(ids)
     whose, when, what = (np.concatenate(x) for x in (whose, when, what))
     order = np.lexsort((when, whose))
     flat, owner = what[order], doc[whose[order]]

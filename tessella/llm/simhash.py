@@ -11,7 +11,9 @@ each of its rows (to the least fingerprint of its cluster), never all pairs. Com
 
 Defined cases: null or wordless text has fingerprint zero, linked like any other; with fewer words than a shingle the
 whole sequence is the one shingle; repeated rows are rows of one group; a null doc_id keeps its row and counts as
-larger than every id.
+larger than every id; a text of any length is fingerprinted whole, 65,536 shingles at a time; fingerprints that tie at
+half the shingles have a zero there, and of equally near anchors the first is home; an empty table gives no rows. Other
+columns, whatever their names, are not read, and deduplicate() hands them on.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.blocks import stars
-from tessella.llm.common import cut, drop_cut
+from tessella.llm.common import cut, drop_cut, unpacked, whole_row
 from tessella.llm.components import connected_components
 
 SEED = 42
@@ -238,9 +240,12 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs, **options)
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     # a component without any id keeps the row with the least text hash
-    first = found.groupBy("root", "component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("content"))).alias("__content"))
-    first = first.select(F.col("component_id").alias("__id"), "__content")
-    rows = docs.withColumn("__text_hash", F.xxhash64(F.col(f"`{text_col}`")))
-    kept = rows.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__content")))
-    once = kept.dropDuplicates([id_col, "__text_hash"])
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "content").agg(F.count("*").alias("n"))
+    least = copies.groupBy("root").agg(F.min(F.struct("content", "doc_id", "n")).alias("first"))
+    first = cut(least.select(F.col("first.doc_id").alias("first_id"), F.col("first.content").alias("first_content"), F.col("first.n").alias("n")), "simhash-first")
+    rows = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("content"))
+    # texts move once, to meet the ids that stay
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("content") == F.col("first_content")))
+    if not first.where("n > 1").isEmpty():  # rows that are equal in id and text: one of them stays
+        kept = kept.dropDuplicates(["id", "content"])
+    return unpacked(kept, docs.columns)

@@ -1,11 +1,13 @@
 """URL filter: host/path rules, then a blocked Bloom filter before an exact hash join with listed URLs.
 
 The filter is a table of 256-bit blocks (four longs). A URL's first hash picks its block, its second sets two of
-the 64 bits in each long. The table has at most `n_blocks` rows whatever the list's length, so it may be broadcast;
-a longer list only lets more URLs through to the exact join, which then decides.
+the 64 bits in each long. It has a block for every KEYS_A_BLOCK listed URLs, which are counted first; up to MAX_BLOCKS
+blocks it is broadcast, a longer one is joined by shuffle. Whatever it lets through wrongly, the exact join decides.
 
 Defined cases: a null URL or one without `://` has empty host and path, fits no rule, has a null canonical form and
-is never listed. Repeated pages are judged one by one. An empty list blocks nothing; an empty table gives no rows.
+is never listed. Repeated pages are judged one by one, and repeats in the list count once. URLs of any length are judged
+whole. Of rules that tie in length the first by text decides. An empty list blocks nothing; an empty table gives no rows.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-N_BLOCKS = 1 << 16
-MAX_BLOCKS = 1 << 18  # 40 bytes each: 10 MB is the most that is broadcast
+from tessella.llm.common import cut
+
+KEYS_A_BLOCK = 16  # some 0.5 % of other URLs pass
+MAX_BLOCKS = 1 << 18  # 40 bytes each: 10 MB is the most that is broadcast, enough for four million listed URLs
 MAX_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that do not change what a URL names (fixed values).
@@ -75,24 +79,24 @@ def _place(key: Column, n_blocks: int) -> tuple[Column, list[Column]]:
     return block, [one(at(2 * i)).bitwiseOR(one(at(2 * i + 1))) for i in range(4)]
 
 
-def bloom_table(keys: DataFrame, column: str, n_blocks: int = N_BLOCKS) -> DataFrame:
+def bloom_table(keys: DataFrame, column: str, n_blocks: int) -> DataFrame:
     """At most n_blocks rows (block, w0..w3) in which every non-null key's bits are set."""
-    if not 0 < n_blocks <= MAX_BLOCKS:
-        raise ValueError(f"n_blocks must be in 1..{MAX_BLOCKS}")
     block, words = _place(F.col(column), n_blocks)
     placed = keys.where(F.col(column).isNotNull()).select(block.alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(words)])
     return placed.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)])
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (), *, id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", n_blocks: int = N_BLOCKS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (), *, id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", n_blocks: int | None = None) -> DataFrame:
     """Judge every page: (id, host, path, rule, verdict, possible, listed). A fitting rule decides; else listed URLs are blocked."""
-    keys = listed.select(canonical_url(F.col(listed_col)).alias("canonical")).where("canonical is not null").distinct()
+    keys = cut(listed.select(canonical_url(F.col(f"`{listed_col}`")).alias("canonical")).where("canonical is not null").distinct(), "urls-listed")
+    n_blocks = n_blocks or -(-keys.count() // KEYS_A_BLOCK) or 1
+    sent = F.broadcast if n_blocks <= MAX_BLOCKS else lambda df: df
     url = F.col(f"`{url_col}`")
     seen = pages.select(F.col(f"`{id_col}`"), url_host(url).alias("host"), url_path(url).alias("path"), canonical_url(url).alias("canonical"))
     block, words = _place(F.col("canonical"), n_blocks)
     seen = seen.withColumns({"block": block, **{f"m{i}": w for i, w in enumerate(words)}})
     held = [F.coalesce(F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"), F.lit(False)) for i in range(4)]
-    tested = seen.join(F.broadcast(bloom_table(keys, "canonical", n_blocks)), "block", "left")
+    tested = seen.join(sent(bloom_table(keys, "canonical", n_blocks)), "block", "left")
     tested = tested.select(id_col, "host", "path", "canonical", (held[0] & held[1] & held[2] & held[3]).alias("possible"))
     exact = tested.where("possible").join(keys.withColumn("listed", F.lit(True)).hint("shuffle_merge"), "canonical", "left")
     judged = exact.withColumn("listed", F.coalesce("listed", F.lit(False))).unionByName(tested.where("not possible").withColumn("listed", F.lit(False)))

@@ -13,6 +13,6 @@ def docs(spark):
         from pyspark.sql import functions as F
 
         # working names of the operators: they must not clash
-        return df.withColumns({c: F.lit("clash") for c in ("fp", "anchor", "uid", "base", "marks", "p", "part", "length", "rank", "word", "bucket", "block", "lang_pred", "__content_x")} | {k: F.lit(v) for k, v in columns.items()})
+        return df.withColumns({c: F.lit("clash") for c in ("fp", "anchor", "uid", "base", "marks", "p", "part", "length", "rank", "word", "bucket", "block", "lang_pred", "score", "row", "id", "content", "hash", "masked", "more", "first_id", "first_content", "n", "told", "seen", "__id", "__content", "__text_hash", "__masked", "__more", "__lang", "__blocks", "__pair")} | {k: F.lit(v) for k, v in columns.items()})
 
     return make

@@ -16,6 +16,67 @@ def plain_walk(text):
     return where
 
 
+def plain_fingerprint(text):
+    """The definition, step by step: a random bit for each class of character and step, a digit for each sampled step."""
+    import numpy as np
+
+    bits = np.random.default_rng(edits.SEED).integers(0, 2, (256, edits.PERIOD))
+    rng = np.random.default_rng(edits.SEED + 1)
+    steps, low = list(range(edits.SAMPLES)), edits.SAMPLES
+    for _ in range(edits.OCTAVES - 5):
+        steps += sorted(rng.integers(low, 2 * low, edits.SAMPLES).tolist())
+        low *= 2
+    codes = [ord(c) for c in text]
+    out, at, j = [], 0, 0
+    for step in steps:
+        while at < len(codes) and j < step:
+            kind = (codes[at] * 2654435761 & 0xFFFFFFFF) >> 24
+            at += bits[kind][j % edits.PERIOD] == 1 or j % edits.PERIOD == edits.PERIOD - 1
+            j += 1
+        if at >= len(codes):
+            break
+        h = 0
+        for k in range(edits.GRAM):
+            h = ((h ^ (codes[at + k] if at + k < len(codes) else 0)) * 0x01000193 & 0xFFFFFFFF) + k & 0xFFFFFFFF
+        h ^= h >> 15
+        out.append("0123456789abcdef"[(h * 0x85EBCA6B & 0xFFFFFFFF) >> 28])
+    return "".join(out)
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return 1.0 if a == b else 0.0
+    weight = lambda i: 2 ** max(0, i // edits.SAMPLES - 1)
+    agree = sum(weight(i) for i, (x, y) in enumerate(zip(a, b)) if x == y) / sum(map(weight, range(max(len(a), len(b)))))
+    return max(0.0, (agree - 1 / 16) / (15 / 16))
+
+
+def test_fingerprints_and_likeness_are_the_definition():
+    rng = random.Random(5)
+    texts = ["", "a", "ab", "é😀\n"] + ["".join(rng.choices("abcdef tion😀é", k=n)) for n in (10, 33, 64, 65, 500, 6000)]
+    prints = [plain_fingerprint(t) for t in texts]
+    assert [edits.fingerprint(t) for t in texts] == prints
+    assert all(abs(edits.likeness(a, b) - plain_likeness(a, b)) < 1e-12 for a in prints for b in prints)
+
+
+def test_recall_of_the_bands_against_all_pairs(spark):
+    """Texts of all lengths with edits spread over them: of all pairs that are alike, most meet in a band."""
+    rng = random.Random(13)
+    prints = []
+    for _ in range(120):
+        n = rng.randrange(60, 6000)
+        base = "".join(rng.choices("abcdefgh tionerlmk", k=n))
+        for share in (0, 0.002, 0.01, 0.1):
+            t = list(base)
+            for _ in range(int(n * min(share, 0.02))):
+                t[rng.randrange(len(t))] = "x"
+            prints.append(edits.fingerprint("".join(t) + "".join(rng.choices("abcdefgh", k=int(n * share)))))
+    bands = [set(edits.band_keys(p)) for p in prints]
+    alike = [(i, j) for i in range(len(prints)) for j in range(i) if abs(i - j) < 4 and edits.likeness(prints[i], prints[j]) >= edits.NEAR]
+    met = sum(bool(bands[i] & bands[j]) for i, j in alike)
+    assert len(alike) > 100 and met / len(alike) > 0.97
+
+
 def test_samples_are_read_off_the_walk():
     text = "".join(random.Random(3).choices("abc de", k=500))
     where = plain_walk(text)

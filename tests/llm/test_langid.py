@@ -39,6 +39,61 @@ def test_counts_are_of_whole_texts():
     assert langid.gram_counts(longer).sum() == 3 * (len(longer) + 4) - 6
 
 
+def plain_decoding(text, counts):
+    """The definition, number by number: margins of every bit, logistic losses, softmax, mean margin."""
+    import math
+
+    softplus = lambda x: max(x, 0) + math.log1p(math.exp(-abs(x)))
+    langs = sorted(counts)
+    total = {k: sum(counts[k].values()) for k in langs}
+    share = {k: [(counts[k].get(g, 0) + langid.ALPHA) / (total[k] + langid.ALPHA * langid.DIMS) for g in range(langid.DIMS)] for k in langs}
+    bits = [[1 if (mask >> i) & 1 else -1 for i in range(len(langs))] for mask in range(1, 1 << (len(langs) - 1))]
+    weights = []
+    for bit in bits:
+        ones, zeros = ([k for k, c in zip(langs, bit) if c == sign] for sign in (1, -1))
+        weights.append([math.log(sum(share[k][g] for k in ones) / len(ones)) - math.log(sum(share[k][g] for k in zeros) / len(zeros)) for g in range(langid.DIMS)])
+    grams = langid.gram_hashes(text).tolist()
+    loss, near = [], []
+    for i, k in enumerate(langs):
+        clear = [max(1e-6, bit[i] * sum(s * w for s, w in zip(share[k], weight))) for bit, weight in zip(bits, weights)]
+        near.append([bit[i] * sum(weight[g] for g in grams) / len(grams) / c for bit, weight, c in zip(bits, weights, clear)])
+        loss.append(sum(c * len(bits) / sum(clear) * softplus(-langid.SHARPNESS * r) for r, c in zip(near[i], clear)))
+    p = [math.exp(-x) / sum(math.exp(-y) for y in loss) for x in loss]
+    order = sorted(range(len(langs)), key=lambda i: (-p[i], i))
+    best = order[0]
+    return langs[best], p[best] * sum(min(1, max(0, r)) for r in near[best]) / len(bits), langs[order[1]], p[best] - p[order[1]] < langid.MARGIN
+
+
+def test_decoding_is_the_definition(spark):
+    rows = labelled(spark, 6)
+    counts = {}
+    for r in rows.collect():
+        for g in langid.gram_hashes(r["text"]).tolist():
+            counts.setdefault(r["lang"], {}).setdefault(g, 0)
+            counts[r["lang"]][g] += 1
+    texts = [SAMPLE["de"], "the fox thinks", "le renard pense the quick fox is there", "q", "xxxx yyyy zzzz 123", "der", SAMPLE["en"] + " " + SAMPLE["es"]]
+    got = langid.identify(spark.createDataFrame([(t,) for t in texts], "text string"), langid.train(rows)).collect()
+    for r in got:
+        lang, score, second, ambiguous = plain_decoding(r["text"], counts)
+        assert (r["lang_pred"], r["runner_up"], r["ambiguous"]) == (lang, second, ambiguous), r
+        assert abs(r["score"] - score) < 1e-4
+
+
+def test_mixtures_are_ambiguous_and_junk_scores_low(spark):
+    model = langid.train(labelled(spark))
+    pure = [t for t in SAMPLE.values()]
+    # as many characters of each
+    mixed = [f"{(SAMPLE[a] + ' ') * len(SAMPLE[b])}{(SAMPLE[b] + ' ') * len(SAMPLE[a])}" for a in SAMPLE for b in SAMPLE if a < b]
+    junk = ["xkqz wvjx qqzk zzxw", "token = 7f3a9c 00ff12 b7b7b7", "$$$ ### x %%% &&&"]
+    rows = spark.createDataFrame([(k, t) for k, ts in (("pure", pure), ("mixed", mixed), ("junk", junk)) for t in ts], "kind string, text string")
+    got = langid.identify(rows, model).collect()
+    assert all(r["score"] > 0.8 and not r["ambiguous"] for r in got if r["kind"] == "pure")
+    mixtures = [r for r in got if r["kind"] == "mixed"]
+    assert sum(r["ambiguous"] for r in mixtures) >= 2
+    assert max(r["score"] for r in mixtures) < min(r["score"] for r in got if r["kind"] == "pure")
+    assert all(r["score"] < 0.4 for r in got if r["kind"] == "junk")
+
+
 def test_odd_texts(spark):
     model = langid.train(labelled(spark))
     rows = spark.createDataFrame([(0, None), (1, ""), (2, "123 !"), (3, "der fuchs denkt " * 50_000), (4, "q")], "doc_id long, text string")

@@ -19,32 +19,27 @@ def model():
 
 
 def segmentations(unit, model):
-    """All paths, by depth-first search."""
-    nodes, arcs = lattice.arcs(unit, model)
-    out = {}
-    for s, e, i in arcs:
-        out.setdefault(s, []).append((e, i))
-    paths = []
-
-    def go(node, ids):
-        if node == len(unit):
-            paths.append(tuple(ids))
-            return
-        for e, i in out.get(node, ()):
-            go(e, [*ids, i])
-
-    go(0, [])
-    return paths
+    """All of them, by their definition: pieces of the vocabulary, and the bytes of a character that is none."""
+    if not unit:
+        return [()]
+    out = []
+    for k in range(1, len(unit) + 1):
+        if unit[:k] in model.pieces:
+            out += [(model.pieces[unit[:k]], *rest) for rest in segmentations(unit[k:], model)]
+        elif k == 1:
+            raw = (lattice.MARK if unit[0] == lattice.RAW_MARK else unit[0]).encode()
+            out += [(*(model.byte_ids[b] for b in raw), *rest) for rest in segmentations(unit[1:], model)]
+    return out
 
 
 def test_marginal_and_expectations_by_enumeration(model):
-    prob = np.exp(lattice.rank_weights(model)).tolist()
+    prob = np.exp(lattice.rank_weights(model))
     for unit in ("▁the", "▁thing", "ab", "▁é😀", "▁", "▁tion,"):
         paths = segmentations(unit, model)
         weight = [math.prod(prob[i] for i in p) for p in paths]
-        assert lattice.log_marginal(unit, model, prob) == pytest.approx(math.log(sum(weight)))
+        assert lattice.log_marginal(unit, PATH, prob) == pytest.approx(math.log(sum(weight)))
         into = np.zeros(model.size)
-        lattice.expected_counts(unit, 2.0, model, prob, into)
+        lattice.expected_counts(unit, 2.0, PATH, prob, into)
         want = Counter()
         for p, w in zip(paths, weight):
             for i in p:
@@ -53,11 +48,11 @@ def test_marginal_and_expectations_by_enumeration(model):
 
 
 def test_long_units_do_not_underflow(model):
-    prob = np.exp(lattice.rank_weights(model)).tolist()
+    prob = np.exp(lattice.rank_weights(model))
     unit = "▁" + "zq" * 400
-    assert -1e5 < lattice.log_marginal(unit, model, prob) < -100
+    assert -1e5 < lattice.log_marginal(unit, PATH, prob) < -100
     into = np.zeros(model.size)
-    lattice.expected_counts(unit, 1.0, model, prob, into)
+    lattice.expected_counts(unit, 1.0, PATH, prob, into)
     assert 100 < into.sum() < 801
 
 
@@ -78,11 +73,11 @@ def test_many_units_at_once_are_as_one_by_one(model):
     rng = random.Random(7)
     units = ["▁", "▁the", "é", "日本x", "▁😀é😀", lattice.RAW_MARK + "a"] + ["▁" + "".join(rng.choices("tionabé日\n", k=rng.randint(0, 20))) for _ in range(300)]
     many = lattice.Lattices(units, PATH, prob)
-    assert many.marginals() == pytest.approx([lattice.log_marginal(u, model, prob.tolist()) for u in units])
+    assert many.marginals() == pytest.approx([lattice.log_marginal(u, PATH, prob) for u in units])
     times = np.arange(len(units)) + 0.5
     want = np.zeros(model.size)
     for u, n in zip(units, times):
-        lattice.expected_counts(u, n, model, prob.tolist(), want)
+        lattice.expected_counts(u, n, PATH, prob, want)
     assert many.expectations(times, model.size, model) == pytest.approx(want)
     assert lattice.Lattices([], PATH, prob).marginals().tolist() == []
 
@@ -95,10 +90,10 @@ def test_units_in_bytes_do_not_underflow(model):
     units = [lattice.MARK + w for w in UNCOVERED] + ["▁the"]
     assert all(len(u) <= lattice.SHORT for u in units)
     many = lattice.Lattices(units, PATH, prob)
-    assert many.marginals() == pytest.approx([lattice.log_marginal(u, model, prob.tolist()) for u in units])
+    assert many.marginals() == pytest.approx([lattice.log_marginal(u, PATH, prob) for u in units])
     want = np.zeros(model.size)
     for u in units:
-        lattice.expected_counts(u, 3.0, model, prob.tolist(), want)
+        lattice.expected_counts(u, 3.0, PATH, prob, want)
     assert many.expectations(np.full(len(units), 3.0), model.size, model) == pytest.approx(want)
 
 
@@ -106,13 +101,57 @@ def test_sampling_behind_many_bytes_follows_the_lattice(model):
     prob = np.exp(lattice.rank_weights(model))
     n = 5000
     head, tail = "\U00012000" * 25, "tion"
-    long = sampling.sample_long(head + tail, np.arange(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), model, prob)
+    long = [[b for i in x.tolist() for b in (lattice.byte_pieces(i, model) if i < 0 else [i])] for x in lattice.LongUnit(head + tail, PATH, prob).sample(np.arange(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), sampling._uniforms)]
     want, got = Counter(tuple(x[100:]) for x in long), Counter(tuple(g.tolist()[100:]) for g in sampling.sample(np.arange(n), [head + tail] * n, PATH, prob, 1))
     assert len(want) > 1
     for path in want | got:
         assert got[path] / n == pytest.approx(want[path] / n, abs=0.04)
 
 
+def test_long_units_block_by_block_are_as_whole(model):
+    prob = np.exp(lattice.rank_weights(model))
+    rng = random.Random(17)
+    unit = "▁" + "".join(rng.choices("tionabéthe日\U00012000", k=31))
+    many = lattice.Lattices([unit], PATH, prob)
+    want = many.expectations(np.array([2.0]), model.size, model)
+    for block in (1, 5, 1000):
+        long = lattice.LongUnit(unit, PATH, prob, block)
+        assert long.forward()[-1] == pytest.approx(many.marginals()[0])
+        into = np.zeros(model.size)
+        long.expectations(2.0, into)
+        assert into == pytest.approx(want)
+    # pieces of a long unit come with the same probabilities whatever the block: count them
+    n = 400
+    streams = np.arange(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole = lattice.LongUnit("tion" * 50, PATH, prob).sample(streams, sampling._uniforms)
+    parts = lattice.LongUnit("tion" * 50, PATH, prob, 7).sample(streams, sampling._uniforms)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
+
+
+def test_very_long_units(model):
+    prob = np.exp(lattice.rank_weights(model))
+    text = "".join(random.Random(3).choices("abc日é\n", k=300_000))
+    got = sampling.sample(np.array([7]), [text], PATH, prob, 1)[0]
+    assert sampling.decode(got.tolist(), model) == text
+    assert -1e7 < lattice.log_marginal(text, PATH, prob) < -1e5
+
+
+def test_common_units_change_nothing(model, monkeypatch):
+    prob = np.exp(lattice.rank_weights(model))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("tionabé", k=rng.randint(1, 12))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(40)]
+    keys = np.arange(40)
+    want = sampling.sample(keys, texts, PATH, prob, 77)
+    monkeypatch.setattr(sampling, "COMMON_AFTER", 1000)
+    monkeypatch.setattr(sampling, "COMMON_UNITS", 30)
+    sampling._common.clear()
+    sampling._seen.clear()
+    got = [g for k in range(0, 40, 5) for g in sampling.sample(keys[k : k + 5], texts[k : k + 5], PATH, prob, 77)]
+    assert len(sampling._common) == 1 and all(np.array_equal(a, b) for a, b in zip(want, got))
+    sampling._common.clear()
+
+
 def test_scores_of_words_in_bytes(spark, model):
     texts = ["the " + w for w in UNCOVERED] + ["on the tion", *UNCOVERED]
     learn = [i < 4 or i == 5 for i in range(len(texts))]
@@ -121,7 +160,7 @@ def test_scores_of_words_in_bytes(spark, model):
     assert np.isfinite(prob).all() and sum(prob) + end == pytest.approx(1)
     got = {r["doc_id"]: r["score"] for r in lmscore.score_texts(rows).collect()}
     for i, t in enumerate(texts):
-        want = math.log10(end) + sum(lattice.log_marginal(lmscore.unit_of(w), model, prob.tolist()) for w in lmscore.words_of(t)) / math.log(10)
+        want = math.log10(end) + sum(lattice.log_marginal(lmscore.unit_of(w), PATH, prob) for w in lmscore.words_of(t)) / math.log(10)
         assert math.isfinite(got[i]) and got[i] == pytest.approx(want)
 
 

@@ -90,6 +90,81 @@ def test_instances_of_another_kind_contradict(spark, docs):
     assert rows(spark, docs, *texts)[12]["n_discovered"] == 0
 
 
+def plain_discovery(texts, rounds=50, min_trust=0.9, min_support=5):
+    """The graph of patterns and instances, scored with dictionaries until nothing changes: spans by text."""
+    found = []  # (text, kind, start, end, base, instance, patterns)
+    for n, text in enumerate(texts):
+        base = plain(text)
+        for is_base, spans in ((True, base), (False, pii.loose_spans(text, base))):
+            for k, s, e in spans:
+                name = text[s:e].lower() if k == 0 else re.sub("[^0-9]", "", text[s:e])
+                before = re.findall(r"[^\W_]+", text[max(0, s - 48) : s].lower())[-2:]
+                behind = re.findall(r"[^\W_]+", text[e : e + 48].lower())[:1]
+                patterns = [" ".join([*before, "_"])] * (len(before) == 2) + [f"{before[-1]} _ {behind[0]}" for _ in range(1) if before and behind]
+                found.append((n, k, s, e, is_base, name, patterns))
+    edges = {(k, p, i) for _, k, _, _, _, i, ps in found for p in ps}
+    seeds = {(k, i) for _, k, _, _, base, i, ps in found if base and ps}
+    trust = {x: 1.0 for x in seeds}
+    for _ in range(rounds):
+        trust = {x: t for x, t in trust.items() if t >= min_trust}
+        labelled, total, support = {}, {}, {}
+        for k, p, i in edges:
+            if (k, i) in trust:
+                labelled[p] = labelled.get(p, 0) + 1
+                total[k, p] = total.get((k, p), 0) + trust[k, i]
+                support[k, p] = support.get((k, p), 0) + 1
+        score = {(k, p): t / (labelled[p] + 0.1) for (k, p), t in total.items() if support[k, p] >= min_support}
+        new = {x: 1.0 for x in seeds}
+        doubt = {}
+        for k, p, i in edges:
+            if (k, p) in score:
+                doubt[k, i] = doubt.get((k, i), 1.0) * (1 - score[k, p])
+        for x, d in doubt.items():
+            new[x] = max(new.get(x, 0), 1 - d)
+        if {x: round(t, 9) for x, t in new.items() if t >= min_trust} == {x: round(t, 9) for x, t in trust.items()}:
+            break
+        trust = new
+    good = {x for x, t in score.items() if t >= min_trust}
+    out = {n: [] for n in range(len(texts))}
+    for n, k, s, e, is_base, _, ps in found:
+        if is_base or any((k, p) in good for p in ps):
+            out[n].append((k, s, e))
+    return [",".join(f"{list(PATTERNS)[k]}:{s}:{e}" for k, s, e in sorted(set(out[n]))) for n in range(len(texts))]
+
+
+def test_discovery_equals_a_plain_graph_scorer(spark, docs):
+    import random
+
+    rng = random.Random(12)
+    openings = ["please call hotline", "reach me under", "card on file", "paid with number", "server lives at", "mail goes to", "ask for it", "the of"]
+    own = {o: rng.choice(["+phone", "card", "ip", "email"]) for o in openings}
+    make = {
+        "+phone": lambda: f"+49 30 {rng.randrange(10**7):07d}",
+        "phone": lambda: f"030-{rng.randrange(10**3):03d}-{rng.randrange(10**4):04d}",
+        "card": lambda: rng.choice(["4111 1111-1111 1111", "5500005555555559", "4012888888881881", "378282246310005000", "6011000990139424"]),
+        "no card": lambda: f"{rng.randrange(10**15, 10**16)}",
+        "ip": lambda: f"10.{rng.randrange(256)}.3.4",
+        "email": lambda: f"u{rng.randrange(99)}@mail.example",
+        "at": lambda: f"u{rng.randrange(99)} (at) mail dot example",
+    }
+    loose = {"+phone": "phone", "card": "no card", "ip": "ip", "email": "at"}
+    texts = []
+    for _ in range(260):
+        o = rng.choice(openings)
+        kind = own[o] if rng.random() < 0.6 else loose[own[o]] if rng.random() < 0.9 else rng.choice(list(make))
+        texts.append(f"{rng.choice(['well', 'so'])} {o} {make[kind]()} {rng.choice(['today', 'now', 'w%d' % rng.randrange(50)])}")
+    want = plain_discovery(texts)
+    got = rows(spark, docs, *texts)
+    assert [r["spans"] for r in got] == want
+    assert sum(r["n_discovered"] for r in got) > 20
+
+
+def test_very_long_text_and_many_marks(spark, docs):
+    text = "call +49 30 5550199 now 030-555-0199 or 1234 5678 9012 3456, " * 20_000
+    r = rows(spark, docs, text)[0]
+    assert r["n_phone"] == 20_000 and r["spans"].count(",") >= 19_999
+
+
 def test_redaction_keeps_rows_and_columns(spark, docs):
     df = docs((1, "a@b.cd x"), (1, "a@b.cd x"), (None, None), (2, "clean"))
     out = pii.redact(df)

@@ -32,3 +32,92 @@ def test_run_equals_its_stages_one_by_one(spark, docs, tmp_path):
         now = stage(spark, now, str(tmp_path))
     assert got == sorted(tuple(r) for r in now.collect())
     assert {r[0] for r in got} == {0, 2}
+
+
+def plain_run(texts, langs):
+    """The four stages again, with dictionaries and plain loops: {id: text that is packed}."""
+    import re
+    import zlib
+
+    import xxhash
+
+    from tessella.llm import langid
+    from tessella.llm.pii import KINDS, base_spans
+
+    # language: counts, bits, losses by their definitions
+    from test_langid import plain_decoding
+
+    counts = {}
+    for i, (t, lang) in enumerate(zip(texts, langs)):
+        if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            for g in langid.gram_hashes(t).tolist():
+                counts.setdefault(lang, {})[g] = counts.get(lang, {}).get(g, 0) + 1
+    left = {}
+    for i, t in enumerate(texts):
+        if t is None or not re.search(r"[^\W\d_]", t):
+            continue
+        _, score, _, _ = plain_decoding(t, counts)
+        assert abs(score - pipeline.MIN_SCORE) > 1e-3
+        if score > pipeline.MIN_SCORE:
+            left[i] = t
+    # near-duplicates: all pairs, then the least id of each component
+    prints = {}
+    for i, t in left.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        prints[i] = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+    root = {i: i for i in left}
+    while True:
+        new = {i: min(root[j] for j in left if (prints[i] ^ prints[j]).bit_count() <= 3) for i in left}
+        if new == root:
+            break
+        root = new
+    left = {i: t for i, t in left.items() if root[i] == i}
+    # personal data: base patterns only, for no context here is seen five times
+    for i, t in left.items():
+        for k, s, e in sorted(base_spans(t), key=lambda x: -x[1]):
+            t = f"{t[:s]}<{KINDS[k].upper()}>{t[e:]}"
+        left[i] = t
+    return left
+
+
+def test_run_equals_a_plain_version(spark, docs, tmp_path):
+    import random
+
+    from test_langid import SAMPLE
+    from test_packing import check
+
+    rng = random.Random(8)
+    texts, langs = [], []
+    for n in range(40):
+        lang = rng.choice(list(SAMPLE))
+        words = rng.choices(SAMPLE[lang].split(), k=rng.choice([12, 40, 200]))
+        if n % 5 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["a%d@b.cd" % n, "10.0.3.%d" % n, "+49 30 55501%02d" % n]))
+        texts.append(" ".join(words))
+        langs.append(rng.choice([lang, lang, None]))
+    texts += [texts[3], texts[7].upper(), None, "", "12 34", "$$$ ### x %%% &&&", "xkqz wvjx qqzk zzxw"]
+    langs += ["en"] * 7
+    df = docs(*texts).select("doc_id", "text", "source", "n_chars")
+    df = df.join(spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string"), "doc_id").select("doc_id", "text", "lang", "source", "n_chars")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = plain_run(texts, langs)
+    assert len(want) > 20
+    rows = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == set(want) and not set(want) & {40, 41, 42, 43, 44, 45, 46}
+    bins, least = check(rows, want, 2048)
+    assert bins <= least + 1
+
+
+def test_stages_take_odd_tables(spark, docs):
+    odd = docs((None, "the house by the river and the old bread"), (None, "a table in spring with all of them there"), (1, None), (1, ""))
+    for df in (docs().where("false"), odd):
+        now = df
+        for name, stage in pipeline.STAGES[:-1]:
+            now = stage(spark, now, "")
+            assert now.columns == df.columns, name
+        rows = now.collect()
+        assert all(r["__id"] == r["row"] == r["told"] == "clash" for r in rows)
+        assert len(rows) == (2 if df is odd else 0)
+        assert pipeline.STAGES[-1][1](spark, now, "").count() == len(rows)

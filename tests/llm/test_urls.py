@@ -20,7 +20,7 @@ def test_rules_and_parts(spark):
 def test_bloom_has_no_false_negative_and_join_no_false_positive(spark):
     listed = [f"http://bad{i}.net/p" for i in range(300)]
     pages = [(i, f"https://www.bad{i}.net/p/?utm_source=x#f", "c", 1) for i in range(0, 600)]
-    for n_blocks in (1, 4, 65536):  # one block lets nearly everything through: the join still decides
+    for n_blocks in (None, 1, 4, 65536, (1 << 18) + 1):  # one block lets nearly everything through: the join still decides
         got = judge(spark, pages, listed, n_blocks=n_blocks)
         assert {i for i, r in got.items() if r["listed"]} == set(range(300))
         assert all(got[i]["possible"] for i in range(300))
@@ -33,3 +33,14 @@ def test_empty_and_repeated(spark):
     p = spark.createDataFrame([(1, "http://x.net/a", "c", 1)] * 3, "page_id long, url string, host string, block int")
     rows = urls.filter_urls(p, p, RULES).collect()
     assert len(rows) == 3 and all(r["listed"] for r in rows)
+
+
+def test_query_blocks_by_canonical_form_only(spark, tmp_path):
+    """The query's list is written in another form than the pages; a plain Bloom filter and set decide the same."""
+    from tessella.llm.queries import op1
+
+    forms = ["http://m.casino-win.example.net/en/{0}.html", "https://www.casino-win.example.net/en/{0}/", "http://ok.example.net/en/{0}?b=2&a=1&utm_source=x", "https://spam-farm.example.net/{0}?page=2&ref=x#top", "http://spam-farm.example.net:80/{0}?page=2"]
+    pages = [(n, f.format(n // 7), "clash") for n, f in enumerate(forms * 20)]
+    spark.createDataFrame([*pages, (None, None, "x")], "page_id long, url string, listed string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["verdict"] for r in op1(spark, str(tmp_path)).collect()}
+    assert got == {n: "block" if "casino-win" in u or "spam-farm" in u else "allow" for n, u, _ in pages} | {None: "allow"}
