@@ -1,6 +1,12 @@
 """From raw documents to packed sequences: language ID, near-duplicate removal, redaction, packing.
 
 Every stage works on all that the stage before it kept; run() writes each stage's rows and rereads them.
+
+Defined cases, for every stage: documents with null text go in the first stage, as do empty ones and all others without
+a letter; a null id, language or source is kept as it is, except that the first stage names the language; of repeated
+rows, as of all near-duplicates, one stays, that of the least id (null last), of ties the least hash of the text; texts of
+any length are worked on whole; an empty table gives an empty table; columns beside those of documents, whatever their
+names, are handed on by all stages but the last, which returns the rows of packing.pack().
 """
 
 from __future__ import annotations
@@ -9,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, packing, pii, simhash
-from tessella.llm.common import cut, id_remainder, table
+from tessella.llm.common import cut, drop_cut, id_remainder, table, temporary, unpacked, whole_row
 
-#: Documents go if they have no letters, or if no codeword is clearly nearest: a score below MIN_SCORE.
+#: Documents go if they have no letters, or if their text is near no language's codeword or near two: a score below MIN_SCORE.
 MIN_SCORE = 0.4
 
 #: The stages learn, link and pack; SQL can express none of these. Tests hold run() against a plain version.
@@ -19,10 +25,11 @@ ORACLE_SQL = None
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is told; learn from two thirds of the labelled ones."""
+    """Keep documents whose language is told, with that language as their lang; learn from two thirds of the labelled ones."""
     seen = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).where(id_remainder(F.col("doc_id"), 3) != 1)
-    told = docs.withColumn("__lang", langid.predictor(langid.train(seen))(F.col("text")))
-    return told.where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    told = docs.select(whole_row(docs), langid.predictor(langid.train(seen))(F.col("text")).alias("told"))
+    kept = told.where((F.col("told.lang_pred") != "und") & (F.col("told.score") >= MIN_SCORE))
+    return unpacked(kept, docs.columns, lang=F.col("told.lang_pred"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +56,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with temporary():
+            docs = cut(stage(spark, before, sf_dir), f"pipeline-{name}", outlives=True)
+        drop_cut(before)
     return docs
