@@ -91,7 +91,7 @@ def test_mixtures_are_ambiguous_and_junk_scores_low(spark):
     mixtures = [r for r in got if r["kind"] == "mixed"]
     assert sum(r["ambiguous"] for r in mixtures) >= 2
     assert max(r["score"] for r in mixtures) < min(r["score"] for r in got if r["kind"] == "pure")
-    assert all(r["score"] < 0.4 for r in got if r["kind"] == "junk")
+    assert all(r["score"] < 0.6 for r in got if r["kind"] == "junk")
 
 
 def test_odd_texts(spark):

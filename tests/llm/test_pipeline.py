@@ -97,7 +97,7 @@ def test_run_equals_a_plain_version(spark, docs, tmp_path):
             words.insert(rng.randrange(len(words)), rng.choice(["a%d@b.cd" % n, "10.0.3.%d" % n, "+49 30 55501%02d" % n]))
         texts.append(" ".join(words))
         langs.append(rng.choice([lang, lang, None]))
-    texts += [texts[3], texts[7].upper(), None, "", "12 34", "$$$ ### x %%% &&&", "xkqz wvjx qqzk zzxw"]
+    texts += [texts[3], texts[7].upper(), None, "", "12 34", "$$$ ### x %%% &&&", "token = 7f3a9c 00ff12 b7b7b7"]
     langs += ["en"] * 7
     df = docs(*texts).select("doc_id", "text", "source", "n_chars")
     df = df.join(spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string"), "doc_id").select("doc_id", "text", "lang", "source", "n_chars")
@@ -105,7 +105,8 @@ def test_run_equals_a_plain_version(spark, docs, tmp_path):
     want = plain_run(texts, langs)
     assert len(want) > 20
     rows = pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in rows} == set(want) and not set(want) & {40, 41, 42, 43, 44, 45, 46}
+    assert {r["doc_id"] for r in rows} == set(want)
+    assert not set(want) & {40, 42, 43, 44} and not {45, 46} <= set(want)
     bins, least = check(rows, want, 2048)
     assert bins <= least + 1
 
