@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Mapping
 
 import pandas as pd
@@ -15,40 +14,42 @@ from tessella.functions.text import comparable, let, rerank_terms
 LEXICAL = "__lexical__"
 CONSTANT = 60
 MAX_QUERIES = 4
-_TECHNICAL = re.compile(r"`([^`]+)`|(?<![^\W_])([^\W\d_][^\W_]*(?:[_-][^\W_]+)+)|\b([A-Z][A-Z0-9_-]{2,})\b|([a-zA-Z]\[[^\]\r\n]{1,24}\])")
-_PROPER = re.compile(r"\b[A-Z][a-z]{3,}\b")
-
-
-def rewritten(question: str, most: int = MAX_QUERIES) -> list[str]:
-    """The question, then its technical terms and names, then all of them as one query if there is room."""
-    terms: dict[str, None] = {}
-    for m in _TECHNICAL.finditer(question):
-        term = next(g for g in m.groups() if g is not None).strip()
-        if term and term.lower() != question.lower():
-            terms[term] = None
-    names = list(dict.fromkeys(_PROPER.findall(question)))
-    if names and (len(names) > 1 or terms):
-        names = names[1:]  # the first is as a rule the capital of the sentence
-    for name in names:
-        if not any(name.lower() in t.lower() for t in terms):
-            terms[name] = None
-    queries = [question, *list(terms)[: max(most - 1, 1)]]
-    joined = " ".join(terms)
-    if len(terms) > 1 and len(queries) < most and joined not in queries:
-        queries.append(joined)
-    return list(dict.fromkeys(queries))
+# Code in backticks, words joined by - or _, capitals, a letter with a bracket; and names.
+TECHNICAL = r"(?U)`[^`]+`|(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]*(?:[_-][\p{L}\p{N}]+)+|\b[A-Z][A-Z0-9_-]{2,}\b|[a-zA-Z]\[[^\]\r\n]{1,24}\]"
+PROPER = r"(?U)\b[A-Z][a-z]{3,}\b"
+
+
+def rewritten(question: Column, most: int = MAX_QUERIES) -> Column:
+    """The queries for a question: itself, its terms as far as there is room, and all of them as one if there is still room.
+
+    Terms are the technical ones, then the names that stand in no technical term or earlier name. Of several names, or
+    beside technical terms, the first is as a rule the capital of the sentence and is left out."""
+    inside = lambda word, words: F.exists(words, lambda w: F.contains(F.lower(w), F.lower(word)))
+
+    def queries(found: Column) -> Column:
+        technical, names = found["technical"], found["names"]
+        own = F.filter(names, lambda n, i: ~inside(n, F.concat(technical, F.when(i > 0, F.slice(names, 1, F.greatest(i, F.lit(1)))).otherwise(_none()))))
+        return let(F.concat(technical, own), lambda terms: F.array_distinct(F.concat(F.array(question), F.slice(terms, 1, max(most - 1, 1)), joined(terms))))
+
+    def joined(terms: Column) -> Column:
+        return F.when((F.size(terms) > 1) & (F.size(terms) + 1 < most), F.array(F.array_join(terms, " "))).otherwise(_none())
+
+    technical = F.transform(F.regexp_extract_all(question, F.lit(TECHNICAL), F.lit(0)), lambda t: F.trim(F.btrim(t, F.lit("`"))))
+    technical = F.array_distinct(F.filter(technical, lambda t: (t != "") & (F.lower(t) != F.lower(question))))
+    names = F.array_distinct(F.regexp_extract_all(question, F.lit(PROPER), F.lit(0)))
+    later = lambda f: F.when((F.size(f["names"]) > 1) | (F.size(f["technical"]) > 0), F.slice(f["names"], 2, F.greatest(F.size(f["names"]), F.lit(1)))).otherwise(f["names"])
+    return let(F.struct(technical.alias("technical"), names.alias("names")), lambda f: let(F.struct(f["technical"].alias("technical"), later(f).alias("names")), queries))
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def rewrite_queries(questions: DataFrame, *, most: int = MAX_QUERIES, heuristic: bool = True) -> DataFrame:
     """One row a query: question_id, query_no (0 is the question itself), query, and the question's other columns."""
     if not 1 <= most <= 10:
         raise ValueError("from one to ten queries")
-
-    @F.pandas_udf("array<string>")
-    def rewrite(texts: pd.Series) -> pd.Series:
-        return pd.Series([rewritten(t, most) for t in texts])
-
-    queries = rewrite("content") if heuristic else F.array("content")
+    queries = rewritten(F.col("content"), most) if heuristic else F.array("content")
     return questions.select("*", F.posexplode(queries).alias("query_no", "query"))
 
 

@@ -15,6 +15,10 @@ from tessella.plans.retriever import Outcome, retrieve
 from tessella.sources.store import ChunkStore
 
 
+#: Up to so many tenants of a table of questions are named in the scan's partition filter.
+MOST_TENANTS = 1000
+
+
 class Engine:
     """All methods work for Config's tenant unless questions bring their own."""
 
@@ -35,7 +39,9 @@ class Engine:
 
     def search(self, questions: DataFrame | str, **how) -> Outcome:
         asked = self.questions(questions) if isinstance(questions, str) else questions
-        return retrieve(asked, self.store.active(), self.provider, self.config, reranker=self.reranker, relevance=self.relevance, **how)
+        # few tenants: only their partitions are read
+        tenants = [r[0] for r in asked.select("tenant_id").distinct().limit(MOST_TENANTS + 1).collect()]
+        return retrieve(asked, self.store.active(tenants if len(tenants) <= MOST_TENANTS else None), self.provider, self.config, reranker=self.reranker, relevance=self.relevance, **how)
 
     def ask(self, questions: DataFrame | str, **how) -> rag.Answers:
         asked = self.questions(questions) if isinstance(questions, str) else questions

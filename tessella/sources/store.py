@@ -5,6 +5,9 @@
 
 A batch becomes visible by one appended event after its chunks are written, so readers see all of it or nothing.
 State is derived: of a document's activated versions the latest is active, earlier ones are superseded.
+
+Reading prunes partitions by tenant and collection. Texts and vectors are never sorted or grouped: deletes, states and
+rewritten keys are worked out on ids alone and then met by equal keys, by broadcast where they are counted as few.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.errors import EngineError
+from tessella.functions.sizes import small
 from tessella.functions.identity import direct_version
 from tessella.operators.versions import KEY, check_batch
 from tessella.schema import CHUNKS, check
@@ -40,7 +44,7 @@ class ChunkStore:
 
     def _log(self, rows: DataFrame) -> None:
         known = {f.split()[0]: F.col(f.split()[0]) if f.split()[0] in rows.columns else F.lit(None).cast(f.split()[1]) for f in EVENTS.split(", ")}
-        rows.select(*[c.alias(n) for n, c in known.items()]).coalesce(1).write.mode("append").parquet(f"{self.root}/events")
+        rows.select(*[c.alias(n) for n, c in known.items()]).write.mode("append").parquet(f"{self.root}/events")
 
     def _seq(self) -> int:
         return time.time_ns()
@@ -69,6 +73,13 @@ class ChunkStore:
         check_batch(batch)
         self._append(batch.withColumn("ingestion_state", F.lit("staged")), self._seq())
 
+    def stage_many(self, batches: DataFrame) -> None:
+        """Stage batches of many tenants, collections and spaces at once; no key may occur twice."""
+        twice = batches.groupBy(*KEY).count().where("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"chunk {twice[0]['chunk_id']} occurs twice in a batch")
+        self._append(batches.withColumn("ingestion_state", F.lit("staged")), self._seq())
+
     def activate(self, versions: DataFrame) -> None:
         """Make staged versions the active ones; an error if one has no chunks."""
         staged = self.rows().where(F.col("ingestion_state").isin("staged", "active"))
@@ -80,46 +91,55 @@ class ChunkStore:
     def fail(self, versions: DataFrame) -> None:
         self._log(versions.select(*_DOCUMENT, "document_version").withColumns({"seq": F.lit(self._seq()), "event": F.lit("fail")}))
 
-    def rows(self) -> DataFrame:
-        """All chunks that are not deleted, with their present state; of a key's rows the newest content, the oldest position."""
+    def rows(self, tenants: list[str] | None = None, collections: list[str] | None = None) -> DataFrame:
+        """All chunks that are not deleted, with their present state; of a key's rows the newest content, the oldest
+        position. With tenants or collections only theirs are read."""
         chunks, events = self._read("chunks", self._stored), self.events()
-        by_key = Window.partitionBy(*KEY)
-        whole = by_key.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        gone = events.where(F.col("event").startswith("delete")).select("seq", "event", "tenant_id", "collection", "document_id", "embedding_space_fingerprint", "chunk_id")
-        hits = chunks.alias("c").join(
-            gone.alias("g"),
-            (F.col("c.tenant_id") == F.col("g.tenant_id"))
-            & (F.col("g.collection").isNull() | (F.col("c.collection") == F.col("g.collection")))
-            & (F.col("g.document_id").isNull() | (F.col("c.document_id") == F.col("g.document_id")))
-            & (F.col("g.embedding_space_fingerprint").isNull() | (F.col("c.embedding_space_fingerprint") == F.col("g.embedding_space_fingerprint")))
-            & (F.col("g.chunk_id").isNull() | (F.col("c.chunk_id") == F.col("g.chunk_id")))
-            & (F.col("c.seq") < F.col("g.seq")),
-            "left_anti",
-        )
-        state = events.where(~F.col("event").startswith("delete"))
-        of_version = state.groupBy(*_DOCUMENT, "document_version").agg(
-            F.max(F.when(F.col("event").isin("activate", "store"), F.col("seq"))).alias("activated"),
-            F.max(F.when(F.col("event") == "begin", F.col("seq"))).alias("begun"),
-            F.max(F.when(F.col("event") == "fail", F.col("seq"))).alias("failed"),
-        )
-        of_version = of_version.withColumn("newest", F.max("activated").over(Window.partitionBy(*_DOCUMENT)))
-        rows = hits.join(of_version, [*_DOCUMENT, "document_version"], "left")
+        if tenants is not None:
+            chunks, events = (df.where(F.col("tenant_id").isin(tenants)) for df in (chunks, events))
+        if collections is not None:
+            chunks, events = chunks.where(F.col("collection").isin(collections)), events.where(F.col("collection").isin(collections) | F.col("collection").isNull())
+        rows = self._undeleted(chunks, events.where(F.col("event").startswith("delete")))
+        rows = rows.join(small(self._of_version(events)), [*_DOCUMENT, "document_version"], "left")
         # what was staged before the version was begun anew is gone, unless it became active meanwhile
         rows = rows.where(F.col("begun").isNull() | (F.col("seq") > F.col("begun")) | F.coalesce(F.col("activated") < F.col("begun"), F.lit(False)))
-        rows = rows.withColumns({"__first": F.first("position").over(whole), "__n": F.row_number().over(by_key.orderBy(F.desc("seq")))}).where("__n = 1")
+        again = rows.groupBy(*KEY).agg(F.max("seq").alias("newest_seq"), F.min_by("position", "seq").alias("first_position"), F.count("*").alias("n")).where("n > 1").drop("n")
+        rows = rows.join(small(again), list(KEY), "left").where(F.col("newest_seq").isNull() | (F.col("seq") == F.col("newest_seq")))
         now = F.when(F.col("activated").isNotNull() & (F.col("activated") >= F.col("seq")), F.when(F.col("activated") == F.col("newest"), "active").otherwise("superseded"))
         now = now.when(F.col("failed") > F.col("seq"), "failed").otherwise("staged")
-        return rows.withColumns({"ingestion_state": now, "position": F.col("__first")}).select(*[f.name for f in CHUNKS])
+        return rows.withColumns({"ingestion_state": now, "position": F.coalesce("first_position", "position")}).select(*[f.name for f in CHUNKS])
 
-    def active(self) -> DataFrame:
-        return self.rows().where("ingestion_state = 'active'")
+    def _of_version(self, events: DataFrame) -> DataFrame:
+        """A row a document version: when it was last activated, begun and failed, and the document's newest activation."""
+        of_version = events.where(~F.col("event").startswith("delete")).groupBy(*_DOCUMENT, "document_version").agg(
+            F.max(F.when(F.col("event").isin("activate", "store"), F.col("seq"))).alias("activated"),
+            F.max(F.when(F.col("event") == "begin", F.col("seq"))).alias("begun"),
+            F.max(F.when(F.col("event") == "fail", F.col("seq"))).alias("failed"),
+        )
+        return of_version.withColumn("newest", F.max("activated").over(Window.partitionBy(*_DOCUMENT)))
+
+    def _undeleted(self, chunks: DataFrame, gone: DataFrame) -> DataFrame:
+        """chunks without those that a later delete names. Deletes that name the same columns are one join on them."""
+        named = [c for c in ("collection", "document_id", "embedding_space_fingerprint", "chunk_id")]
+        forms = gone.select(*[F.col(c).isNotNull().alias(c) for c in named]).distinct().collect()  # at most 16 rows
+        for form in forms:
+            keys = ["tenant_id", *[c for c in named if form[c]]]
+            same = F.lit(True)
+            for c in named:
+                same = same & (F.col(c).isNotNull() if form[c] else F.col(c).isNull())
+            last = gone.where(same).groupBy(*keys).agg(F.max("seq").alias("gone_at"))
+            chunks = chunks.join(small(last), keys, "left").where(F.col("gone_at").isNull() | (F.col("seq") > F.col("gone_at"))).drop("gone_at")
+        return chunks
+
+    def active(self, tenants: list[str] | None = None, collections: list[str] | None = None) -> DataFrame:
+        return self.rows(tenants, collections).where("ingestion_state = 'active'")
 
     def _delete(self, event: str, equals: dict) -> int:
         hit = F.lit(True)
         for c, v in equals.items():
             if v is not None:
                 hit = hit & (F.col(c) == v)
-        n = self.rows().where(hit).count()
+        n = self.rows([equals["tenant_id"]]).where(hit).count()
         values = {**dict.fromkeys(["collection", "document_id", "embedding_space_fingerprint", "chunk_id"]), **equals}
         row = self.spark.range(1).select(*[F.lit(v).cast("string").alias(c) for c, v in values.items()], F.lit(self._seq()).alias("seq"), F.lit(event).alias("event"))
         self._log(row)

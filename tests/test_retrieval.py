@@ -51,11 +51,16 @@ def test_a_failing_reranker_keeps_the_order(spark):
     assert ids(good, "rank") == ["b", "a"] and fuse.is_permutation(df, good) and not fuse.is_permutation(df, good.limit(1))
 
 
-def test_rewriter():
-    got = fuse.rewritten("Converta para PHP a função Python optimal_bst com e[i,j].")
+def rewritten(spark, text):
+    rows = fuse.rewrite_queries(spark.createDataFrame([("q", text)], "question_id string, content string")).orderBy("query_no").collect()
+    return [r["query"] for r in rows]
+
+
+def test_rewriter(spark):
+    got = rewritten(spark, "Converta para PHP a função Python optimal_bst com e[i,j].")
     assert got[0].startswith("Converta") and "optimal_bst" in got and "e[i,j]" not in got[:1] and len(got) <= 4
-    assert fuse.rewritten("sem termos aqui") == ["sem termos aqui"]
-    assert fuse.rewritten("Como usar Dijkstra") == ["Como usar Dijkstra", "Dijkstra"] or "Dijkstra" in fuse.rewritten("Como usar Dijkstra")
+    assert rewritten(spark, "sem termos aqui") == ["sem termos aqui"]
+    assert rewritten(spark, "Como usar Dijkstra") == ["Como usar Dijkstra", "Dijkstra"] or "Dijkstra" in rewritten(spark, "Como usar Dijkstra")
 
 
 CASES = [
