@@ -209,24 +209,45 @@ def band_keys(print_: str) -> list[str]:
     return keys
 
 
-def _alike(prints: list[str], near: float, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of fingerprints, of different blocks if there are two, whose likeness is at least near."""
+def _links(prints: list[str], near: float, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the fingerprints, of different blocks if there are two, whose likeness is at least near.
+
+    A fingerprint meets one member of each cluster found so far; only the clusters that it does not join so are compared
+    whole. A group of near copies takes time in proportion to its size, and no link between two clusters is lost."""
+    octaves = max(1, -(-max(map(len, prints)) // SAMPLES))
+    digits = np.zeros((len(prints), octaves * SAMPLES), np.uint8)
     size = np.array([len(p) for p in prints])
-    digits = np.zeros((len(prints), max(1, size.max())), np.uint8)
     for i, p in enumerate(prints):
         digits[i, : len(p)] = np.frombuffer(p.encode(), np.uint8)
-    weights = _sample_weights()[: digits.shape[1]]
-    whole = np.concatenate([[0.0], np.cumsum(weights)])
-    two, left, right = block.min() != block.max(), [], []
-    for i in range(len(prints)):
-        others = np.flatnonzero(block != block[i]) if two else np.arange(i)
-        others = others[others < i]
+    weights = _sample_weights()[: octaves * SAMPLES]
+    whole, of_octave = np.concatenate([[0.0], np.cumsum(weights)]), weights[::SAMPLES]
+    two, cluster = block.min() != block.max(), np.arange(len(prints))
+    left, right = [], []
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
         same = (digits[others] == digits[i]) & (digits[others] > 0)
-        agree = (same @ weights) / np.maximum(whole[np.maximum(size[others], size[i])], 1e-9)
-        hit = others[(agree - 1 / 16) / (1 - 1 / 16) >= near]
-        left.append(np.full(len(hit), i))
-        right.append(hit)
-    return np.concatenate(left), np.concatenate(right)
+        agree = same.reshape(-1, SAMPLES).sum(1, dtype=np.uint8).reshape(len(others), octaves) @ of_octave
+        return (agree / np.maximum(whole[np.maximum(size[others], size[i])], 1e-9) - 1 / 16) / (1 - 1 / 16) >= near
+
+    for i in range(1, len(prints)):
+        others = np.flatnonzero(block[:i] != block[i]) if two else np.arange(i)
+        found, first = np.unique(cluster[others], return_index=True)
+        if not len(found):
+            continue
+        hit = alike(i, others[first])
+        links = others[first[hit]]
+        rest = np.delete(others, first)
+        rest = rest[np.isin(cluster[rest], found[~hit])]
+        if len(rest):
+            more = rest[alike(i, rest)]
+            links = np.concatenate([links, more])
+        if len(links):
+            left.append(np.full(len(links), i))
+            right.append(links)
+            joined = np.isin(cluster, cluster[np.append(links, i)])
+            cluster[joined] = cluster[joined].min()
+    none = np.zeros(0, np.int64)
+    return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
 def near_duplicates(prints: DataFrame, *, near: float = NEAR, id_col: str = "doc_id", print_col: str = "fingerprint", block: int = BLOCK) -> DataFrame:
@@ -251,7 +272,7 @@ def near_duplicates(prints: DataFrame, *, near: float = NEAR, id_col: str = "doc
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(batches, ["band", "lo", "hi"]):
             ids = group["member"].to_numpy()
-            row, root = stars(ids, *_alike(group["print"].tolist(), near, group["block"].to_numpy()))
+            row, root = stars(ids, *_links(group["print"].tolist(), near, group["block"].to_numpy()))
             if len(row):
                 yield pd.DataFrame({"a": ids[row], "b": ids[root]})
 

@@ -77,6 +77,34 @@ def test_recall_of_the_bands_against_all_pairs(spark):
     assert len(alike) > 100 and met / len(alike) > 0.97
 
 
+def test_links_join_what_all_pairs_join():
+    import numpy as np
+
+    rng = random.Random(21)
+    prints = []
+    for n in (40, 300, 2500):
+        base = "".join(rng.choices("abcdefgh tion", k=n))
+        for _ in range(25):
+            t = list(base)
+            for _ in range(rng.choice([0, 1, n // 50, n // 8])):
+                t[rng.randrange(n)] = rng.choice("xyz")
+            prints.append(edits.fingerprint("".join(t)))
+    rng.shuffle(prints)
+    for block in (np.zeros(len(prints), int), np.array([rng.randrange(2) for _ in prints])):
+        root, links = list(range(len(prints))), list(zip(*edits._links(prints, 0.8, block)))
+        two = block.min() != block.max()
+        pairs = [(i, j) for i in range(len(prints)) for j in range(i) if (not two or block[i] != block[j]) and edits.likeness(prints[i], prints[j]) >= 0.8]
+        assert set(links) <= set(pairs) and len(links) < len(pairs)
+        roots = []
+        for edges in (links, pairs):
+            root = list(range(len(prints)))
+            for _ in prints:
+                for i, j in edges:
+                    root[i] = root[j] = min(root[i], root[j])
+            roots.append(root)
+        assert roots[0] == roots[1]
+
+
 def test_samples_are_read_off_the_walk():
     text = "".join(random.Random(3).choices("abc de", k=500))
     where = plain_walk(text)
