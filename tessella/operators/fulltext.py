@@ -2,51 +2,64 @@
 
 A query is alternatives (separated by `or`) of required terms, quoted phrases and terms or phrases that must not
 occur (behind -). The rank adds, for every shortest span that holds all of an alternative's terms, 0.1 / (1 + words in
-it that are no terms). Analysers lower-case words and drop stop words; there is no stemming.
+it that are no terms). Analysers lower-case words; those of a language drop its stop words and stem the others.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.sizes import small
+from tessella.functions.stem import STEMMERS
 from tessella.operators.search import check_policy, ranked
 
 ANALYSERS = ("simple", "english", "portuguese")
 WEIGHT = 0.1
-MAX_QUESTIONS = 20_000
+# The words that the language's analyser leaves out.
+STOP_WORDS = {
+    "english": frozenset("""i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those
+        am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up
+        down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split()),
+    "portuguese": frozenset("""de a o que e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou quando muito nos já eu também só pelo pela até isso ela entre depois sem mesmo aos seus
+        quem nas me esse eles você essa num nem suas meu às minha numa pelos elas qual nós lhe deles essas esses pelas este dele tu te vocês vos lhes meus minhas teu tua teus tuas nosso nossa nossos nossas dela delas esta
+        estes estas aquele aquela aqueles aquelas isto aquilo estou está estamos estão estive esteve estivemos estiveram estava estávamos estavam fui foi fomos foram era éramos eram seja sejamos sejam fosse fôssemos fossem
+        for formos forem serei será seremos serão seria seríamos seriam tenho tem temos têm tinha tínhamos tinham tive teve tivemos tiveram tenha tenhamos tenham""".split()),
+}
 _WORD = re.compile(r"\w+(?:[-.]\w+)*")
 _PART = re.compile(r'(-?)"([^"]*)"|(-?)(\S+)')
 
 
+@lru_cache(8)
 def stop_words(analyser: str) -> frozenset[str]:
     if analyser not in ANALYSERS:
         raise ValueError(f"analyser must be one of {', '.join(ANALYSERS)}")
-    return frozenset() if analyser == "simple" else frozenset(StopWordsRemover.loadDefaultStopWords(analyser))
+    return STOP_WORDS.get(analyser, frozenset())
 
 
-def lexemes(text: str, stop: frozenset[str]) -> dict[str, list[int]]:
-    """Positions of the words of a text; stop words count as positions and are not kept."""
+def lexemes(text: str, analyser: str) -> dict[str, list[int]]:
+    """Positions of the lexemes of a text; stop words count as positions and are not kept."""
+    stop, stem = stop_words(analyser), STEMMERS[analyser]
     found: dict[str, list[int]] = {}
     for n, w in enumerate(_WORD.findall(text.lower())):
         if w not in stop:
-            found.setdefault(w, []).append(n)
+            found.setdefault(stem(w), []).append(n)
     return found
 
 
-def parse_query(text: str, stop: frozenset[str]) -> list[tuple[list[list[str]], list[list[str]]]]:
+def parse_query(text: str, analyser: str) -> list[tuple[list[list[str]], list[list[str]]]]:
     """Alternatives of (required, forbidden) phrases; a term is a phrase of one word."""
+    stop, stem = stop_words(analyser), STEMMERS[analyser]
     out: list[tuple[list[list[str]], list[list[str]]]] = [([], [])]
     for minus, phrase, minus_word, word in _PART.findall(text):
         if word.lower() == "or" and not minus_word:
             out.append(([], []))
             continue
-        words = [w for w in _WORD.findall((phrase or word).lower()) if w not in stop]
+        words = [stem(w) for w in _WORD.findall((phrase or word).lower()) if w not in stop]
         if words:
             out[-1][bool(minus or minus_word)].append(words)
     return [a for a in out if a[0]]
@@ -90,40 +103,52 @@ def score(query: list[tuple[list[list[str]], list[list[str]]]], places: dict[str
     return best
 
 
-def fulltext_search(chunks: DataFrame, questions: DataFrame, *, limit: int = 20, analyser: str = "portuguese") -> DataFrame:
+QUERY = "array<struct<required:array<array<string>>,forbidden:array<array<string>>,words:array<string>>>"
+
+
+def _alternatives(questions: DataFrame, scope: list[str], analyser: str) -> DataFrame:
+    """(question_id, scope, anchor, q): a row an alternative; the anchor is its longest word, as a rule the rarest."""
+
+    @F.pandas_udf(QUERY)
+    def parsed(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"required": r, "forbidden": f, "words": sorted({w for p in r for w in p})} for r, f in parse_query(t or "", analyser)] for t in texts])
+
+    rows = questions.select("question_id", *scope, F.explode(parsed("content")).alias("q"))
+    longest = F.element_at(F.array_sort(F.transform("q.words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    return rows.withColumn("anchor", longest)
+
+
+def _lexemes(content: Column, analyser: str) -> Column:
+    """The distinct lexemes of a text: an expression where words stand for themselves, batches where they are stemmed."""
+    if analyser == "simple":
+        return F.array_distinct(F.regexp_extract_all(F.lower(content), F.lit(r"(?U)\w+(?:[-.]\w+)*"), F.lit(0)))
+
+    @F.pandas_udf("array<string>")
+    def stems(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(lexemes(t or "", analyser)) for t in texts])
+
+    return stems(content)
+
+
+def fulltext_search(chunks: DataFrame, questions: DataFrame, *, limit: int = 20, analyser: str = "portuguese", carry: list[str] | None = None) -> DataFrame:
     """(question_id, chunk_id, lexical_score, distance, rank) of the chunks that match, best first, ties by chunk id.
 
-    questions: question_id, content and any of tenant_id, collection, status, which must then be equal. Questions are sent to
-    the workers in groups of at most MAX_QUESTIONS; a chunk is read once a group and tested only against questions one of
-    whose terms it has."""
+    questions: question_id, content and any of tenant_id, collection, status, which must then be equal. Chunks meet
+    alternatives by their anchor word; only chunks that have all words of an alternative are scored. Alternatives are
+    sent to the chunks if they are counted as few, else joined by shuffle."""
     check_policy(limit, None)
-    stop = stop_words(analyser)
     scope = [c for c in ("tenant_id", "collection", "status") if c in questions.columns and c in chunks.columns]
-    asked = questions.select("question_id", *scope, "content")
-    kind = dict(asked.dtypes)["question_id"]
-    groups = max(1, -(-asked.count() // MAX_QUESTIONS))
-    found = None
-    for g in range(groups):
-        rows = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(groups)) == g).collect()  # bounded by the group
-        table = [(r["question_id"], tuple(r[c] for c in scope), parse_query(r["content"], stop)) for r in rows]
-
-        def match(batches: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
-            by_word: dict[str, list[int]] = {}
-            for n, (_, _, query) in enumerate(table):
-                for word in {required[0][0] for required, _ in query}:
-                    by_word.setdefault(word, []).append(n)
-            for batch in batches:
-                out = []
-                keys = list(zip(*(batch[c] for c in scope))) if scope else [()] * len(batch)
-                for chunk_id, key, text in zip(batch["chunk_id"], keys, batch["content"]):
-                    places = lexemes(text, stop)
-                    for n in {n for w in places for n in by_word.get(w, ())}:
-                        question_id, at, query = table[n]
-                        if at == key and (s := score(query, places)) > 0:
-                            out.append((question_id, chunk_id, s))
-                yield pd.DataFrame(out, columns=["question_id", "chunk_id", "lexical_score"])
-
-        part = chunks.select("chunk_id", *scope, "content").mapInPandas(match, f"question_id {kind}, chunk_id {dict(chunks.dtypes)['chunk_id']}, lexical_score double")
-        found = part if found is None else found.unionByName(part)
-    scored = found.withColumn("distance", 1 / (1 + F.col("lexical_score")))
-    return ranked(scored, ["question_id"], limit, F.desc(F.round("lexical_score", 9)), F.col("chunk_id"))
+    names = list(dict.fromkeys([c for c in ["chunk_id", "document_id", *(carry or [])] if c in chunks.columns]))
+    asked = small(_alternatives(questions, scope, analyser))
+    held = chunks.select(*dict.fromkeys([*names, *scope]), "content", _lexemes(F.col("content"), analyser).alias("has"))
+    met = held.select("*", F.explode("has").alias("anchor")).join(asked, [*scope, "anchor"]).where(F.size(F.array_except("q.words", "has")) == 0)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series, queries: pd.DataFrame) -> pd.Series:
+        rows = zip(texts, queries["required"], queries["forbidden"])
+        return pd.Series([score([([list(p) for p in r], [list(p) for p in f])], lexemes(t, analyser)) for t, r, f in rows], dtype=float)
+
+    # an alternative with the same words as another still counts by itself
+    each = met.select("question_id", *names, scored("content", "q").alias("score"))
+    total = each.where("score > 0").groupBy("question_id", *names).agg(F.sum("score").alias("lexical_score")).withColumn("distance", 1 / (1 + F.col("lexical_score")))
+    return ranked(total, ["question_id"], limit, F.desc(F.round("lexical_score", 9)), F.col("chunk_id"))

@@ -87,8 +87,12 @@ def _holding(held: DataFrame, short: DataFrame, scope: list[str]) -> DataFrame:
     wanted = short.select("question_id", *scope, F.lower("terms").alias("terms"), part.alias("part"))
     lengths = sorted(r[0] for r in wanted.select(F.length("part")).distinct().collect())  # a row a length of a word
     pairs = held.select("*", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(_TOKEN), F.lit(0)))).alias("token"))
-    parts = [F.when(F.length("token") >= n, F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i, n=n: F.substring(F.col("token"), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths]
-    words = pairs.select("token").distinct().select("token", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("part"))
+
+    def parts(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length("token") - n + 1)
+        return F.when(F.length("token") >= n, F.transform(places, lambda i: F.substring(F.col("token"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    words = pairs.select("token").distinct().select("token", F.explode(F.array_distinct(F.flatten(F.array(*map(parts, lengths))))).alias("part"))
     found = words.join(wanted, "part")
     return pairs.join(found, [*scope, "token"]).where(F.contains("low", "terms")).drop("low", "token", "terms", "part", *scope).distinct()
 
