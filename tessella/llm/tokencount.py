@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessella.llm.bpe import SAFE_SPACE, WordCache, tokenizer, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
-CHUNK = 32768
+CHUNK = 16384
 OVERLAP = 512
 LIMIT = 2048
 _SPLIT = re.compile(SAFE_SPACE)
