@@ -27,6 +27,17 @@ class InvalidEmbeddingError(EngineError):
     pass
 
 
+class BatchWindowError(EngineError):
+    """A batch of a window failed: the others that had been started were finished and thrown away."""
+
+    def __init__(self, failed: int, started: list[int], completed: list[int], discarded: list[int]):
+        super().__init__(f"batch {failed} failed; {len(discarded)} others of its window were discarded")
+        self.failed, self.started, self.completed, self.discarded = failed, started, completed, discarded
+
+    def __reduce__(self):  # workers send it to the driver
+        return type(self), (self.failed, self.started, self.completed, self.discarded)
+
+
 class ProviderError(EngineError):
     pass
 

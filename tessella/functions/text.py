@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,9 +40,23 @@ def normalized(x: Column) -> Column:
     return trimmed(F.regexp_replace(x, "\n{3,}", "\n\n"))
 
 
+@lru_cache(1)
+def _compositions() -> str:
+    """`decomposed:composed` of every letter of the Latin, Greek and Cyrillic blocks that Unicode decomposes."""
+    pairs = ((unicodedata.normalize("NFD", c), c) for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]))
+    return ",".join(f"{d}:{c}" for d, c in pairs if len(d) > 1 and unicodedata.normalize("NFC", d) == c)
+
+
+def composed(x: Column) -> Column:
+    """Letters with marks behind them as one character each (normal form C of Latin, Greek and Cyrillic). Texts without marks are left alone."""
+    table = F.str_to_map(F.lit(_compositions()), F.lit(","), F.lit(":"))
+    clusters = F.regexp_extract_all(x, F.lit(r"(?s).\p{M}*"), F.lit(0))
+    return F.when(x.rlike(r"\p{M}"), F.array_join(F.transform(clusters, lambda c: F.when(F.length(c) > 1, F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")).otherwise(x)
+
+
 def comparable(x: Column) -> Column:
-    """Lower case, letters, numbers and single spaces only. Input is expected in normal form C."""
-    x = F.regexp_replace(F.lower(trimmed(x)), r"[^\p{L}\p{N}\s]+", " ")
+    """Composed, in lower case, letters, numbers and single spaces only."""
+    x = F.regexp_replace(F.lower(composed(trimmed(x))), r"[^\p{L}\p{N}\s]+", " ")
     return trimmed(F.regexp_replace(x, r"(?U)\s+", " "))
 
 

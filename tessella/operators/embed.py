@@ -7,6 +7,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -14,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.errors import InvalidEmbeddingError, ProviderError
+from tessella.errors import BatchWindowError, InvalidEmbeddingError, ProviderError
 from tessella.functions.identity import EmbeddingSpace
 from tessella.functions.vectors import hashing_embedding, is_valid
+from tessella.sources.scratch import written
 
 BATCH = 32
 
@@ -94,20 +96,31 @@ class PositionalHttpProvider:
         return checked(reply.get("embeddings", []), len(texts), self.space.dimensions)
 
 
-def embedded(rows: DataFrame, provider, *, text_col: str = "content", out: str = "embedding", batch: int = BATCH) -> DataFrame:
-    """rows with vectors; one request for every `batch` texts of a partition."""
+def in_windows(provider, texts: list[str], batch: int, concurrency: int) -> list[list[float]]:
+    """Vectors of texts; one request for every `batch`, up to `concurrency` at a time."""
+    parts = [texts[i : i + batch] for i in range(0, len(texts), batch)]
+    vectors: list[list[float]] = []
+    with ThreadPoolExecutor(concurrency) as pool:
+        for first in range(0, len(parts), concurrency):
+            window = range(first, min(first + concurrency, len(parts)))
+            asked = [pool.submit(lambda part: checked(provider.embed(part), len(part), provider.space.dimensions), parts[k]) for k in window]
+            errors = [(k, f.exception()) for k, f in zip(window, asked) if f.exception() is not None]
+            if errors:
+                failed, cause = errors[0]
+                raise BatchWindowError(failed, list(window), list(range(first)), [k for k in window if k not in dict(errors)]) from cause
+            vectors += [v for f in asked for v in f.result()]
+    return vectors
+
+
+def embedded(rows: DataFrame, provider, *, text_col: str = "content", out: str = "embedding", batch: int = BATCH, concurrency: int = 1) -> DataFrame:
+    """rows with vectors; one request for every `batch` texts of a partition, up to `concurrency` at a time."""
     if hasattr(provider, "column"):
         return rows.withColumn(out, provider.column(F.col(text_col)))
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            texts = texts.tolist()
-            vectors: list = []
-            for i in range(0, len(texts), batch):
-                some = texts[i : i + batch]
-                vectors += checked(provider.embed(some), len(some), provider.space.dimensions)
-            yield pd.Series(vectors, dtype=object)
+            yield pd.Series(in_windows(provider, texts.tolist(), batch, concurrency), dtype=object)
 
     return rows.withColumn(out, run(text_col))
 
@@ -116,7 +129,7 @@ def cache_key(tenant, space: EmbeddingSpace, text):
     return F.concat_ws(":", F.sha2(tenant, 256), F.lit(space.fingerprint), F.sha2(text, 256))
 
 
-def embedded_once(rows: DataFrame, provider, cache: DataFrame | None = None, *, text_col: str = "content", batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
+def embedded_once(rows: DataFrame, provider, cache: DataFrame | None = None, *, text_col: str = "content", out: str = "embedding", batch: int = BATCH, concurrency: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows with embedding, new cache rows): equal texts of a tenant are embedded once, cached ones not at all.
 
     cache: cache_key, embedding. The new rows are to be appended to it."""
@@ -124,9 +137,11 @@ def embedded_once(rows: DataFrame, provider, cache: DataFrame | None = None, *,
     wanted = keyed.groupBy("cache_key").agg(F.first(text_col).alias(text_col))
     if cache is not None:
         wanted = wanted.join(cache, "cache_key", "left_anti")
-    new = embedded(wanted, provider, text_col=text_col, batch=batch).select("cache_key", "embedding")
+    new = embedded(wanted, provider, text_col=text_col, batch=batch, concurrency=concurrency).select("cache_key", "embedding")
+    if not hasattr(provider, "column"):
+        new = written(new, "embedded")  # a provider is asked once, whoever reads the result
     known = new if cache is None else new.unionByName(cache.select("cache_key", "embedding"))
-    return keyed.join(known, "cache_key").drop("cache_key"), new
+    return keyed.join(known.withColumnRenamed("embedding", out), "cache_key").drop("cache_key"), new
 
 
 def assert_space(rows: DataFrame, space: EmbeddingSpace) -> None:

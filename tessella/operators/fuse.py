@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.errors import ProviderError, RerankerError
 from tessella.functions.text import comparable, let, rerank_terms
+from tessella.operators.embed import check_url, post_json
 
 LEXICAL = "__lexical__"
 CONSTANT = 60
@@ -103,27 +106,76 @@ def rerank(rows: DataFrame, score: Column | None = None, *, candidate_limit: int
 
 
 def rerank_with(rows: DataFrame, model: Callable[[str, list[str]], list[float]], *, candidate_limit: int | None = None) -> DataFrame:
-    """Rerank by a model that scores one question's contents, all at once; scores outside [0, 1] or a raised error keep the order."""
+    """Rerank by a model that scores one question's contents, all at once; scores outside [0, 1] or a raised error keep the
+    order, and rerank_error and rerank_timed_out tell why."""
     if candidate_limit is not None:
         rows = rows.where(F.col("rank") <= candidate_limit)
 
-    @F.pandas_udf("array<double>")
-    def run(questions: pd.Series, contents: pd.Series) -> pd.Series:
+    @F.pandas_udf("scores array<double>, error string, timed_out boolean")
+    def run(questions: pd.Series, contents: pd.Series) -> pd.DataFrame:
         out = []
         for q, texts in zip(questions, contents):
             try:
-                got = list(model(q, list(texts)))
-                ok = len(got) == len(texts) and all(0 <= s <= 1 for s in got)
-            except Exception:  # whatever a foreign model raises must not lose the question
-                got, ok = [], False
-            out.append(got if ok else [None] * len(texts))
-        return pd.Series(out)
+                out.append((checked_scores(list(model(q, list(texts))), len(texts)), None, False))
+            except Exception as e:  # whatever a foreign model raises must not lose the question
+                out.append(([None] * len(texts), f"{type(e).__name__}: {e}", timed_out(e)))
+        return pd.DataFrame(out, columns=["scores", "error", "timed_out"])
 
+    # at most candidate_limit rows a question
     lists = rows.groupBy("question_id").agg(F.first("question").alias("question"), F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "content"))).alias("c"))
-    scores = lists.select("question_id", F.explode(F.arrays_zip(F.col("c.chunk_id").alias("chunk_id"), run("question", F.col("c.content")).alias("score"))).alias("s")).select("question_id", "s.chunk_id", F.col("s.score").alias("__score"))
+    told = lists.select("question_id", "c.chunk_id", run("question", F.col("c.content")).alias("r"))
+    scores = told.select("question_id", F.explode(F.arrays_zip(F.col("chunk_id"), F.col("r.scores").alias("score"))).alias("s"), F.col("r.error").alias("rerank_error"), F.col("r.timed_out").alias("rerank_timed_out"))
+    scores = scores.select("question_id", "s.chunk_id", F.col("s.score").alias("__score"), "rerank_error", "rerank_timed_out")
     return rerank(rows.join(scores, ["question_id", "chunk_id"]), F.col("__score")).drop("__score")
 
 
+def checked_scores(scores: list, n: int) -> list[float]:
+    if len(scores) != n:
+        raise RerankerError("the ranking is incomplete")
+    if not all(isinstance(s, (int, float)) and math.isfinite(s) and 0 <= s <= 1 for s in scores):
+        raise RerankerError("a score is not from 0 to 1")
+    return scores
+
+
+def timed_out(error: BaseException | None) -> bool:
+    """Whether a timeout is behind an error."""
+    while error is not None:
+        if isinstance(error, TimeoutError) or getattr(error, "timed_out", False):
+            return True
+        reason = getattr(error, "reason", None)
+        error = reason if isinstance(reason, BaseException) else error.__cause__
+    return False
+
+
+@dataclass
+class HttpReranker:
+    """An address /rerank that takes {model, query, documents, top_n} and gives every document's index and relevance_score."""
+
+    provider: str
+    model: str
+    base_url: str
+    key: str | None = None
+    timeout: float = 30
+    post: Callable = post_json
+
+    def __call__(self, question: str, contents: list[str]) -> list[float]:
+        headers = {"Authorization": f"Bearer {self.key}"} if self.key else {}
+        try:
+            reply = self.post(f"{check_url(self.base_url)}/rerank", {"model": self.model, "query": question, "documents": contents, "top_n": len(contents)}, headers, self.timeout)
+        except ProviderError as e:
+            raise RerankerError("the reranker's request failed", timed_out(e)) from e
+        rows = reply.get("results")
+        if not isinstance(rows, list) or len(rows) != len(contents):
+            raise RerankerError("the ranking is incomplete")
+        scores: dict[int, float] = {}
+        for row in rows:
+            index = row.get("index") if isinstance(row, dict) else None
+            if type(index) is not int or not 0 <= index < len(contents) or index in scores:
+                raise RerankerError("an index is missing, repeated or unknown")
+            scores[index] = row.get("relevance_score")
+        return checked_scores([scores[i] for i in range(len(contents))], len(contents))
+
+
 def is_permutation(before: DataFrame, after: DataFrame) -> bool:
     """Whether a reranking lost or made up no row."""
     keys = ["question_id", "chunk_id"]

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tessella.errors import IngestionError
 from tessella.functions.identity import version_id
 from tessella.operators.chunk import recursive_chunks, recursive_fingerprint
-from tessella.operators.embed import embedded
+from tessella.operators.embed import embedded, embedded_once
 from tessella.operators.versions import invalid_versions
 from tessella.plans.config import Config
+from tessella.sources.cache import CacheTable
 from tessella.sources.store import ChunkStore
 
 
@@ -28,7 +29,7 @@ def versioned(documents: DataFrame, provider, chunking: str) -> DataFrame:
     )
 
 
-def ingest(documents: DataFrame, store: ChunkStore, provider, config: Config = Config(), *, chunker=None, chunking: str | None = None) -> DataFrame:
+def ingest(documents: DataFrame, store: ChunkStore, provider, config: Config = Config(), *, chunker=None, chunking: str | None = None, cache: CacheTable | None = None) -> DataFrame:
     """Documents into the store; returns the report, a row a document: state, chunks, batches.
 
     A document without chunks, or with an invalid version, fails alone; with fail_fast it fails the run before anything is activated."""
@@ -39,7 +40,12 @@ def ingest(documents: DataFrame, store: ChunkStore, provider, config: Config = C
     versions = documents.select(*key, F.lit(space.fingerprint).alias("embedding_space_fingerprint")).distinct()
     bad = invalid_versions(documents.withColumnRenamed("document_version", "version_id")).select("document_id", F.col("version_id").alias("document_version"), "problem")
     store.begin(versions)
-    chunks = embedded(chunker(documents.join(bad, ["document_id", "document_version"], "left_anti")), provider, batch=config.batch_size)
+    chunks = chunker(documents.join(bad, ["document_id", "document_version"], "left_anti"))
+    if cache is None:
+        chunks = embedded(chunks, provider, batch=config.batch_size, concurrency=config.concurrency)
+    else:
+        chunks, new = embedded_once(chunks, provider, cache.rows(), batch=config.batch_size, concurrency=config.concurrency)
+        cache.add(new)
     rows = chunks.withColumns(
         {
             "embedding_provider": F.lit(space.provider), "embedding_model": F.lit(space.model), "embedding_dimensions": F.lit(space.dimensions), "embedding_revision": F.lit(space.revision),

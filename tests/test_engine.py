@@ -210,3 +210,111 @@ def test_streaming_ingest(spark, tmp_path, engine):
         ingest_files(spark, str(source), engine.store, engine.provider, str(tmp_path / "progress"), tenant="t", config=engine.config).awaitTermination()
         assert engine.store.active().count() == n
         (source / "b.txt").write_text("second text")
+
+
+def test_a_reranking_service_is_checked(spark):
+    from tessella.errors import ProviderError, RerankerError
+    from tessella.operators.fuse import HttpReranker, rerank_with, timed_out
+
+    def service(results):
+        return HttpReranker("service", "m", "http://x.example", "k", post=lambda url, payload, headers, timeout: {"results": results})
+
+    good = service([{"index": 1, "relevance_score": 0.9}, {"index": 0, "relevance_score": 0.1}])
+    assert good("q", ["a", "b"]) == [0.1, 0.9]
+    for bad in (None, [], [{"index": 0, "relevance_score": 1}] * 2, [{"index": 0, "relevance_score": 1}, {"index": 2, "relevance_score": 1}], [{"index": 0, "relevance_score": 2.0}, {"index": 1, "relevance_score": 0}], [{"index": True, "relevance_score": 0}, {"index": 0, "relevance_score": 0}]):
+        with pytest.raises(RerankerError):
+            service(bad)("q", ["a", "b"])
+
+    def late(url, payload, headers, timeout):
+        raise ProviderError("late") from TimeoutError("30 s")
+
+    with pytest.raises(RerankerError) as e:
+        HttpReranker("service", "m", "http://x.example", post=late)("q", ["a"])
+    assert e.value.timed_out and timed_out(e.value) and not timed_out(ValueError("x"))
+    rows = spark.createDataFrame([("q", "text", "a", 1, "one"), ("q", "text", "b", 2, "two")], "question_id string, question string, chunk_id string, rank int, content string")
+    got = rerank_with(rows, lambda q, c: [0.1, 7.0]).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == ["a", "b"] and got[0]["rerank_failed"] and "RerankerError" in got[0]["rerank_error"] and not got[0]["rerank_timed_out"]
+
+
+def test_windows_of_batches_run_together_and_fail_as_one():
+    import threading
+
+    from tessella.errors import BatchWindowError
+    from tessella.functions.identity import EmbeddingSpace
+    from tessella.operators.embed import in_windows
+
+    class Slow:
+        space = EmbeddingSpace("p", "m", 1)
+
+        def __init__(self):
+            self.meet = threading.Barrier(3, timeout=20)
+
+        def embed(self, texts):
+            self.meet.wait()  # three requests must be under way at once
+            if "bad" in texts:
+                raise ValueError("no")
+            return [[float(len(t))] for t in texts]
+
+    assert in_windows(Slow(), ["a", "bb", "ccc", "d", "ee", "f"], 2, 3) == [[1.0], [2.0], [3.0], [1.0], [2.0], [1.0]]
+    with pytest.raises(BatchWindowError) as e:
+        in_windows(Slow(), ["a", "b", "c", "d", "bad", "e"], 1, 3)
+    assert (e.value.failed, e.value.started, e.value.completed, e.value.discarded) == (4, [3, 4, 5], [0, 1, 2], [3, 5])
+
+
+def test_services_are_asked_once(spark, tmp_path):
+    from tessella.functions.identity import EmbeddingSpace
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Service:
+        space = EmbeddingSpace("p", "m", 2)
+
+        def embed(self, texts):
+            for t in texts:
+                (calls / f"{abs(hash(t))}-{len(list(calls.iterdir()))}").write_text(t)
+            return [[1.0, float(len(t) % 3)] for t in texts]
+
+    class Told:
+        fingerprint = "told"
+
+        def complete(self, messages):
+            (calls / f"chat-{len(list(calls.iterdir()))}").write_text("x")
+            return "an answer"
+
+    docs = spark.createDataFrame([("1", "t", "the red fox pays a refund", {"a": "b"}, "c", "active"), ("2", "t", "the red fox pays a refund", {"a": "b"}, "c", "active")], "document_id string, tenant_id string, content string, metadata map<string,string>, collection string, status string")
+    config = Config(tenant="t", collection="c", maximum_distance=None, abstain=False, concurrency=1, heuristic_rewriter=False)
+    engine = Engine(spark, str(tmp_path / "store"), config=config, provider=Service(), model=Told(), caches=True)
+    engine.ingest(docs)
+    assert len(list(calls.iterdir())) == 1
+    for _ in range(2):
+        told = engine.ask("Who pays a refund?").answers.collect()
+        assert told[0]["answer"] == "an answer"
+    assert len(list(calls.iterdir())) == 3  # the text, the question, the answer
+    seen = engine.search("Who pays a refund?").diagnostics.first().asDict()
+    assert seen["original_question"] == "Who pays a refund?"
+    assert seen["reranker_provider"] == "textual" and seen["selected_ids"] and set(seen["milliseconds"]) == {"embedding", "search", "fusion", "selection"}
+
+
+def test_settings_build_services():
+    from tessella.operators.embed import HashingProvider, IndexedHttpProvider
+    from tessella.plans.rag import contents_of
+
+    assert isinstance(Config().provider(), HashingProvider)
+    set_ = Config.from_environment({"TESSELLA_EMBEDDING_KIND": "indexed", "TESSELLA_EMBEDDING_URL": "http://e.example", "TESSELLA_EMBEDDING_MODEL": "m", "TESSELLA_MAXIMUM_DISTANCE": "0.3"}, maximum_distance=None)
+    assert isinstance(set_.provider(), IndexedHttpProvider) and set_.maximum_distance is None
+    for bad in ({"embedding_kind": "indexed"}, {"text_search": "klingon"}, {"fused_limit": 0}, {"neighbors_after": -1}):
+        with pytest.raises(ValueError):
+            Config(**bad)
+    asked = contents_of("m", [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}])
+    assert asked == {"systemInstruction": {"parts": [{"text": "s"}]}, "contents": [{"role": "user", "parts": [{"text": "u"}]}, {"role": "model", "parts": [{"text": "a"}]}]}
+
+
+def test_decomposed_letters_compare_equal(spark):
+    import unicodedata
+
+    from tessella.functions.text import comparable
+
+    texts = ["Coração é ÜBER ñandú", "ελληνικά", "plain", ""]
+    rows = spark.createDataFrame([(t, unicodedata.normalize("NFD", t)) for t in texts], "a string, b string")
+    assert all(r[0] == r[1] for r in rows.select(comparable(rows["a"]), comparable(rows["b"])).collect())
