@@ -38,6 +38,10 @@ class BatchWindowError(EngineError):
         return type(self), (self.failed, self.started, self.completed, self.discarded)
 
 
+class PdfExtractionError(EngineError):
+    pass
+
+
 class ProviderError(EngineError):
     pass
 

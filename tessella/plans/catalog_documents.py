@@ -286,3 +286,17 @@ def store_states(spark, sf_dir):
     store.clear_collection("src2", "en")
     held = store.rows()
     return held.groupBy("tenant_id", "ingestion_state").agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"), F.sum(F.length("content")).alias("characters"))
+
+
+# ---- approximate search --------------------------------------------------------------------------------------------
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """The five nearest vectors of every id divisible by 20, by inverted lists over all vectors; tests measure the recall."""
+    from tessella.operators import ann
+    from tessella.plans.catalog import vector_chunks, vector_questions
+
+    chunks = vector_chunks(spark, sf_dir)
+    found = ann.search(ann.build(chunks, lists=32), vector_questions(chunks), probes=24)
+    return found.withColumn("distance", F.round("distance", 6)).select("question_id", "chunk_id", "document_id", "distance", "rank")

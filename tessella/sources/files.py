@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import subprocess
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.errors import PdfExtractionError
 from tessella.functions.identity import file_document_id, page_window_id
 from tessella.functions.text import trimmed
 
@@ -73,21 +78,30 @@ def page_windows(pages: DataFrame, tenant: str, *, pages_a_window: int = 3, coll
     )
 
 
-def extract_pages(spark: SparkSession, path: str, *, max_bytes: int = 50_000_000, timeout: int = 60) -> DataFrame:
-    """(path, value) of PDF files, by the external program pdftotext on the executors; fails on files that are no PDF."""
-    import subprocess
-    from collections.abc import Iterator
+def page_text(name: str, raw: bytes, *, max_bytes: int, max_pages: int | None, timeout: int, program: str = "pdftotext") -> str:
+    """The text of a PDF file by an external program; a typed error tells what went wrong."""
+    if raw[:5] != b"%PDF-" or len(raw) > max_bytes:
+        raise PdfExtractionError(f"{name} is no PDF of at most {max_bytes} bytes")
+    last = ["-l", str(max_pages)] if max_pages is not None else []
+    try:
+        got = subprocess.run([program, "-layout", "-enc", "UTF-8", *last, "-", "-"], input=raw, capture_output=True, timeout=timeout, check=True)
+    except FileNotFoundError as e:
+        raise PdfExtractionError(f"{program} is not installed") from e
+    except subprocess.TimeoutExpired as e:
+        raise PdfExtractionError(f"{name} took longer than {timeout} seconds") from e
+    except subprocess.CalledProcessError as e:
+        raise PdfExtractionError(f"{name} can't be read: exit code {e.returncode}") from e
+    return got.stdout.decode("utf-8", "replace")
 
-    import pandas as pd
+
+def extract_pages(spark: SparkSession, path: str, *, max_bytes: int = 50_000_000, max_pages: int | None = None, timeout: int = 60, program: str = "pdftotext") -> DataFrame:
+    """(path, value) of PDF files, by the external program pdftotext on the executors; fails on files that are no PDF."""
+    if max_pages is not None and max_pages < 1 or timeout < 1 or max_bytes < 1:
+        raise ValueError("max_pages, timeout and max_bytes must be positive")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
-            for name, raw in zip(batch["path"], batch["content"]):
-                if not bytes(raw[:5]) == b"%PDF-" or len(raw) > max_bytes:
-                    raise ValueError(f"{name} is no PDF of at most {max_bytes} bytes")
-                got = subprocess.run(["pdftotext", "-layout", "-enc", "UTF-8", "-", "-"], input=bytes(raw), capture_output=True, timeout=timeout, check=True)
-                texts.append(got.stdout.decode("utf-8", "replace"))
+            texts = [page_text(name, bytes(raw), max_bytes=max_bytes, max_pages=max_pages, timeout=timeout, program=program) for name, raw in zip(batch["path"], batch["content"])]
             yield pd.DataFrame({"path": batch["path"], "value": texts})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(extract, "path string, value string")

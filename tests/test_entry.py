@@ -21,11 +21,11 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["vector_scoped", "noise_classify", "lexical_overlap_topk", "context_char_budget", "version_conflicts", "json_blocks"])
+@pytest.mark.parametrize("name", ["vector_scoped", "noise_classify", "lexical_overlap_topk", "context_char_budget", "version_conflicts", "json_blocks", "groundedness", "html_blocks", "markdown_blocks", "recursive_chunks", "structural_chunks", "heuristic_rewrite", "adaptive_select", "hashing_embed", "fulltext_matches", "claims_split"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "events", "orders"):
+    for t in ("documents", "embeddings", "benchmark", "events", "orders", "pages", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = entry.queries()[name](spark, SF)
     want = con.execute(entry.oracle_sql()[name])

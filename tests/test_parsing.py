@@ -104,3 +104,41 @@ def test_page_windows(spark):
     rows = files.page_windows(pages, "t", pages_a_window=3).orderBy("content").collect()
     assert [r["metadata"]["page_start"] + "-" + r["metadata"]["page_end"] for r in rows] == ["1-4", "5-5"]
     assert "[[SOURCE_PAGE:9]]" in rows[0]["content"] and rows[0]["content"].startswith("[[PAGE:1]]\none")
+
+
+def test_pdf_files_go_through_the_program(spark, tmp_path):
+    import os
+
+    from tessella.errors import PdfExtractionError
+    from tessella.sources.files import extract_pages, page_text, pages
+
+    program = tmp_path / "program"
+    program.write_text("#!/bin/sh\ncase \"$*\" in *'-l 2'*) printf 'one\\ftwo\\f';; *) cat >/dev/null; printf 'one\\ftwo\\fthree\\f';; esac\n")
+    os.chmod(program, 0o755)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF-1.7 x")
+    for most, want in ((None, ["one", "two", "three"]), (2, ["one", "two"])):
+        rows = pages(extract_pages(spark, str(tmp_path / "in"), max_pages=most, program=str(program))).orderBy("page").collect()
+        assert [r["text"] for r in rows] == want and [r["page"] for r in rows] == list(range(1, len(want) + 1))
+    how = {"max_bytes": 100, "max_pages": None, "timeout": 5}
+    for raw, call, match in ((b"text", str(program), "no PDF"), (b"%PDF-" + b"x" * 200, str(program), "no PDF"), (b"%PDF-1", "/no/such/program", "not installed"), (b"%PDF-1", "/bin/false", "exit code")):
+        with pytest.raises(PdfExtractionError, match=match):
+            page_text("a.pdf", raw, program=call, **how)
+    with pytest.raises(ValueError):
+        extract_pages(spark, str(tmp_path), max_pages=0)
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from tessella.streaming.ingest import windowed_counts
+
+    schema = "ts timestamp, event_type string, value double"
+    rows = [("2026-01-01 10:05:00", "a", 1.0), ("2026-01-01 10:55:00", "a", 2.0), ("2026-01-01 11:01:00", "b", 3.0), ("2026-01-01 14:00:00", "a", 5.0)]
+    late = [("2026-01-01 10:10:00", "a", 100.0), ("2026-01-01 15:30:00", "b", 1.0)]
+    for part in (rows, late):  # the second file comes when the first was counted
+        spark.createDataFrame(part, "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) as ts", "event_type", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = windowed_counts(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = {(r["starts"].hour, r["event_type"]): (r["n"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # the late row came after the watermark had passed its window; the last window is still open
+    assert got == {(10, "a"): (2, 3.0), (11, "b"): (1, 3.0), (14, "a"): (1, 5.0)}
