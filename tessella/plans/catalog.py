@@ -617,13 +617,6 @@ def pdf_windows(spark, sf_dir):
     return files.page_windows(pages, "t").select("document_id", F.col("metadata")["source"].alias("source"), "content")
 
 
-@query()
-def pdf_blocks(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("page"), "text")
-    rows = files.page_windows(pages, "t")
-    return _blocks(rows.select("document_id", parse.page_blocks(F.col("content")).alias("blocks")), "document_id")
-
-
 SQL_ESCAPE = "replace(replace(replace(replace(replace(replace({x}, '<CONTEXT', '&lt;CONTEXT'), '</CONTEXT>', '&lt;/CONTEXT&gt;'), '<SOURCE', '&lt;SOURCE'), '</SOURCE>', '&lt;/SOURCE&gt;'), '<QUESTION', '&lt;QUESTION'), '</QUESTION>', '&lt;/QUESTION&gt;')"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import chunk as chunking
 from tessella.operators import evaluate, parse, versions
-from tessella.plans.catalog import SQL_ADAPTIVE, SQL_COMPARABLE, SQL_LINES, SQL_PAIRS, SQL_SIGNIFICANT, SQL_TRIM, documents, line_chunks, order_versions, pairs, query, questions, sql_distinct, sql_terms, table
+from tessella.plans.catalog import SQL_ADAPTIVE, SQL_COMPARABLE, SQL_LINES, SQL_NOISE, SQL_PAIRS, SQL_SIGNIFICANT, SQL_TRIM, documents, line_chunks, order_versions, pairs, query, questions, sql_distinct, sql_terms, table
 from tessella.sources import files
 
 # ---- text functions ------------------------------------------------------------------------------------------------
@@ -173,6 +173,41 @@ def html_blocks(spark, sf_dir):
     return _blocks(parse.parsed(pages), "page_id")
 
 
+# ---- pages ---------------------------------------------------------------------------------------------------------
+
+SQL_HEADING = "(length({x}) <= 120 AND NOT regexp_matches({x}, '[.!?;:]$') AND len(regexp_split_to_array({x}, '\\s+')) <= 14 AND (regexp_matches({x}, '(?i)^(?:cap[ií]tulo\\s+\\d+|pref[aá]cio|introdu[cç][aã]o|conclus[aã]o|ap[eê]ndice)') OR regexp_matches({x}, '^[\\p{{Lu}}\\p{{Nd}}]')))"
+SQL_LEVEL = "CASE WHEN regexp_matches({x}, '(?i)^(?:cap[ií]tulo\\s+\\d+|pref[aá]cio|ap[eê]ndice)') THEN 1 ELSE 2 END"
+
+
+def sql_page_text(x: str) -> str:
+    """The block of a text that is neither code, list nor noise."""
+    heading = f"NOT contains({x}, chr(10)) AND {SQL_HEADING.format(x=x)}"
+    table = f"len(list_filter(string_split({x}, chr(10)), lambda l: regexp_matches(l, '\\S\\s{{2,}}\\S'))) >= 2"
+    return f"{{'type': CASE WHEN {table} THEN 'table' WHEN {heading} THEN 'heading' ELSE 'paragraph' END, 'content': {x}, 'level': CASE WHEN NOT ({table}) AND {heading} THEN {SQL_LEVEL.format(x=x)} END}}"
+
+
+@query(
+    f"""WITH chunks AS (SELECT doc_id || ':' || k AS chunk_id, * FROM (SELECT source, doc_id, unnest(range(len(ps))) AS k, unnest(ps) AS content FROM (SELECT source, doc_id, list_filter(list_transform(regexp_split_to_array(trim(text, {SQL_TRIM}), '\\n\\s*\\n'), lambda x: trim(x, {SQL_TRIM})), lambda x: x <> '') AS ps FROM documents))),
+{SQL_NOISE}, z AS (SELECT chunk_id, CASE WHEN length(x) < 3 THEN 'unknown' WHEN digits >= 3 AND letters = 0 AND regexp_full_match(x, '[\\p{{N}}\\s.,;:+\\-]+') THEN 'diagram_text'
+  WHEN len(ls) >= 3 AND len(list_filter(ls, lambda l: regexp_full_match(trim(l, {SQL_TRIM}), '[\\p{{L}}\\p{{N}}]'))) = len(ls) THEN 'figure_text' WHEN len(tokens) >= 3 AND iso / len(tokens) >= 0.6 AND nat = 0 THEN 'diagram_text'
+  WHEN gaps > 2 AND nat < 2 AND iso / greatest(1, len(tokens)) >= 0.4 THEN 'diagram_text' WHEN letters < 2 AND (digits > 0 OR letters / visible < 0.25) THEN 'unknown' WHEN letters / visible < 0.25 AND nat < 2 THEN 'unknown' END AS noise
+  FROM (SELECT *, list_filter(string_split(x, chr(10)), lambda l: l <> '') AS ls FROM f)),
+pn AS (SELECT source, page, row_number() OVER (PARTITION BY source ORDER BY page) AS nth FROM (SELECT DISTINCT source, doc_id AS page FROM chunks)),
+w AS (SELECT source, page, sha256('t' || chr(0) || source || chr(0) || min(page) OVER win || chr(0) || max(page) OVER win) AS document_id FROM pn WINDOW win AS (PARTITION BY source, (nth - 1) // 3)),
+l AS (SELECT c.*, noise, trim(split_part(content, chr(10), 1), {SQL_TRIM}) AS head, trim(substr(content, length(split_part(content, chr(10), 1)) + 2), {SQL_TRIM}) AS rest FROM chunks c JOIN z USING (chunk_id)),
+b AS (SELECT source, doc_id, k, CASE WHEN regexp_matches(content, '<\\?php|\\b(?:class|interface|trait|enum|function)\\s+\\w+|\\$\\w+\\s*=|->\\w+\\(') THEN [{{'type': 'code', 'content': content, 'level': NULL::INTEGER}}]
+  WHEN regexp_matches(content, '^(?:[•▪◦*-]|\\d+[.)])\\s+') THEN [{{'type': 'list', 'content': content, 'level': NULL::INTEGER}}] WHEN noise IS NOT NULL THEN [{{'type': noise, 'content': content, 'level': NULL::INTEGER}}]
+  WHEN contains(content, chr(10)) AND length(head) <= 64 AND len(regexp_split_to_array(head, '\\s+')) <= 10 AND {SQL_HEADING.format(x='head')} THEN list_concat([{{'type': 'heading', 'content': head, 'level': {SQL_LEVEL.format(x='head')}}}], CASE WHEN rest <> '' THEN [{sql_page_text('rest')}] ELSE [] END)
+  ELSE [{sql_page_text('content')}] END AS bs FROM l),
+u AS (SELECT source, doc_id, k, unnest(range(len(bs))) AS i, unnest(bs) AS b FROM b)
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY doc_id, k, i) - 1 AS INTEGER) AS block_index, b.type AS type, b.content AS content, b.level AS level FROM u JOIN w ON w.source = u.source AND w.page = u.doc_id"""
+)
+def pdf_blocks(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("page"), "text")
+    rows = files.page_windows(pages, "t")
+    return _blocks(rows.select("document_id", parse.page_blocks(F.col("content")).alias("blocks")), "document_id")
+
+
 # ---- splitters -----------------------------------------------------------------------------------------------------
 
 SQL_NORMALIZED = f"trim(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\t ]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {SQL_TRIM})"
