@@ -1,13 +1,19 @@
 """Token counts of whole texts, with overlap resynchronisation for huge documents.
 
-A huge document is encoded in overlapping chunks with offsets. Two neighbouring chunks are spliced at a position of
-their overlap that is proven stable: the character before it is a space that no token, normal form or special token
-can reach across (SAFE_SPACE), a token starts there in both encodings, and both encodings agree on the ids of the
-word before it. If an overlap has no such position it is doubled, into the left chunk and beyond it where needed, up
-to encoding the rest as one chunk; no token is ever guessed. Ordinary documents are cut at safe spaces into words,
-and equal words are encoded once, which is the same argument with overlaps of length zero.
-
-Defined cases: null text is empty: 0 bytes, 0 tokens; repeated rows are counted one by one.
+A huge document (over `chunk` characters) is encoded in overlapping chunks with offsets. Two neighbouring chunks are
+spliced at a position of their overlap that is proven stable: the character before it is a space that no token, normal
+form or special token can reach across (SAFE_SPACE), a token starts there in both encodings, and both encodings agree on
+the ids of the word before it. If an overlap has no such position it is doubled, into the left chunk and beyond it where
+needed, up to encoding the rest as one chunk; no token is ever guessed.
+
+All other documents are one chunk. A chunk that need not be spliced is cut at the same proven positions into words, and
+equal words are encoded once. Proof that this gives the whole text's ids: the pre-tokenizer ends a word at every white
+space and drops it, the normalizer neither joins nor moves characters across a space between two characters of the
+pattern, and merges happen within a word; so the encoding of a text is that of its words one after the other.
+
+Defined cases: null text is empty: 0 bytes, 0 tokens; a text of any length is counted whole, one without a safe space as
+one chunk; repeated rows are counted one by one, so there are no ties; an empty table gives no rows; columns other than
+the two named ones, whatever their names, are not read.
 """
 
 from __future__ import annotations
