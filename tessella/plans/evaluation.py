@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ class Evaluation(NamedTuple):
     scores: DataFrame  # case_id, metric, value, passed
     statuses: DataFrame  # case_id, status
     report: DataFrame  # metric, cases, average, passed
+    milliseconds: dict[str, float]  # how long searching and answering all cases took, and that for a case
 
 
 def _questions(engine: Engine, cases: DataFrame) -> DataFrame:
@@ -65,12 +67,17 @@ def evaluate_engine(engine: Engine, cases: DataFrame, *, answers: bool = True, l
     """Search, and ask, all cases; a case whose model fails has status error and no answer scores."""
     asked = _questions(engine, cases)
     # every metric reads the results: they are computed once
+    began = time.monotonic()
     results = written(engine.search(asked).results, "evaluation-results")
+    took = {"search": (time.monotonic() - began) * 1000}
     scores, errors = retrieval_scores(cases, results), None
     if answers:
+        began = time.monotonic()
         told = written(answer(asked, results, engine.model).answers, "evaluation-answers")
+        took["answer"] = (time.monotonic() - began) * 1000
         scores = scores.union(answer_scores(cases, told.where("error is null"), results, language=language, policy=policy))
         errors = told.where("error is not null").select(F.col("question_id").alias("case_id"))
     scores = written(scores, "evaluation-scores")
     statuses = evaluate.case_status(cases.select(F.col("id").alias("case_id")), scores, errors, policy)
-    return Evaluation(scores, statuses, evaluate.report(scores))
+    took["a_case"] = sum(took.values()) / max(1, cases.count())
+    return Evaluation(scores, statuses, evaluate.report(scores), {k: round(v, 3) for k, v in took.items()})

@@ -77,7 +77,9 @@ def _kept(report: DataFrame, store: ChunkStore) -> DataFrame:
 
 
 def totals(report: DataFrame) -> DataFrame:
+    """Counts over a report: documents and how they ended, chunks, batches, those completed and those a failure affected."""
     return report.agg(
         F.count("*").alias("documents"), F.sum((F.col("state") == "active").cast("long")).alias("activated"), F.sum((F.col("state") == "failed").cast("long")).alias("failed"),
         F.sum("chunks").alias("chunks"), F.sum("batches").alias("batches"),
+        F.sum(F.when(F.col("state") == "active", F.col("batches")).otherwise(0)).alias("completed_batches"), F.sum(F.when(F.col("state") == "failed", F.greatest("batches", F.lit(1))).otherwise(0)).alias("affected_batches"),
     )

@@ -128,6 +128,12 @@ def diagnostics(questions: DataFrame, stages: dict[str, DataFrame], config: Conf
     add(stages["expanded"].groupBy("question_id").agg(ids().alias("expanded_ids"), F.sort_array(F.collect_list(F.when(neighbor, F.col("chunk_id")))).alias("neighbor_ids")))
     discarded = F.map_from_entries(F.filter(F.collect_list(F.struct("chunk_id", "budget_reason")), lambda r: r["budget_reason"].isNotNull()))
     add(stages["budget"].groupBy("question_id").agg(discarded.alias("discarded"), F.sum(F.when(F.col("budget_reason").isNull(), F.length("content")).otherwise(0)).alias("characters"), F.transform(F.filter(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "budget_reason"))), lambda r: r["budget_reason"].isNull()), lambda r: r["chunk_id"]).alias("selected_ids")))
+    if "adaptive" in stages:
+        # a chunk that was selected and then went for want of room has the later reason
+        known, later = (F.coalesce(F.col(c), F.create_map().cast("map<string,string>")) for c in ("adaptive_reasons", "discarded"))
+        out = out.withColumn("decisions", F.map_concat(F.map_filter(known, lambda k, _: ~F.map_contains_key(later, k)), later))
+    else:
+        out = out.withColumn("decisions", F.col("discarded"))
     if took:
         out = out.withColumn("milliseconds", F.create_map(*[x for k, v in took.items() for x in (F.lit(k), F.lit(v))]))
     return out
