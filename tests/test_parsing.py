@@ -142,3 +142,10 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     got = {(r["starts"].hour, r["event_type"]): (r["n"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     # the late row came after the watermark had passed its window; the last window is still open
     assert got == {(10, "a"): (2, 3.0), (11, "b"): (1, 3.0), (14, "a"): (1, 5.0)}
+
+
+def test_declarations_in_heredocs_are_text():
+    from tessella.operators.parse import parse_php
+
+    source = "<?php\n$a = <<<TXT\nclass Inside {}\n  TXT;\n$b = <<<'RAW'\nfunction no() {}\nRAW;\nclass A {}\n"
+    assert [b["content"] for b in parse_php(source)] == [source[: source.index("class A")].strip(), "class A {}"]
