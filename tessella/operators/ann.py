@@ -17,8 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.sizes import small
-from tessella.functions.vectors import distance
+from tessella.operators.nearest import nearest
 from tessella.operators.search import check_policy, ranked
 
 SAMPLE = 20_000
@@ -93,9 +92,8 @@ def search(index: Index, queries: DataFrame, *, limit: int = 5, probes: int = 16
     names = [c for c in ("chunk_id", "document_id") if c in index.rows.columns]
     if not len(index.centroids):
         index = index._replace(centroids=np.zeros((1, len(queries.first()["query_embedding"])) if not queries.isEmpty() else (1, 1)))
-    wanted = queries.select(*keys, "query_embedding", F.explode(_nearest_lists(F.col("query_embedding"), index.centroids, index.metric, probes)).alias("list_no"))
-    met = index.rows.select(*names, "embedding", "list_no").join(small(wanted), "list_no")
-    found = met.select(*keys, *names, distance(F.col("embedding"), F.col("query_embedding"), index.metric).alias("distance"))
-    if maximum_distance is not None:
-        found = found.where(F.col("distance") <= maximum_distance)
-    return ranked(found, keys, limit, F.col("distance"), F.col("chunk_id"))
+    asked = queries.withColumn("lists", _nearest_lists(F.col("query_embedding"), index.centroids, index.metric, probes))
+    wanted = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]  # at most a row a list
+    read = index.rows.where(F.col("list_no").isin(wanted))
+    found = nearest(read, asked, keys=keys, names=names, scope=[], metric=index.metric, limit=limit, maximum_distance=maximum_distance, lists=True)
+    return ranked(found, keys, limit, F.asc_nulls_last("distance"), F.col("chunk_id"))
