@@ -1,7 +1,6 @@
 """Exact vector search and lexical search for a DataFrame of questions.
 
-Questions are the small side: they are broadcast if counted as few, so that chunks are scanned where they lie and
-only each partition's best k a question are shuffled; many questions are joined on the scope instead.
+Vectors are compared block by block (see operators.nearest); only a block's best k a question are shuffled.
 """
 
 from __future__ import annotations
@@ -9,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.sizes import small
 from tessella.functions.text import lexical_tokens
-from tessella.functions.vectors import distance
+from tessella.operators.nearest import nearest
 
 SCOPE = ("tenant_id", "collection", "status", "embedding_space_fingerprint")
 LIMIT, MAX_DISTANCE = 5, 0.45
@@ -34,12 +32,6 @@ def in_state(chunks: DataFrame, *, valid_at=None, include_superseded: bool = Fal
     return chunks
 
 
-def _scoped(chunks: DataFrame, queries: DataFrame, keys: list[str], *names: str) -> DataFrame:
-    scope = [c for c in SCOPE if c in queries.columns and c in chunks.columns]
-    q = small(queries.select(*dict.fromkeys([*keys, *scope, *names])))
-    return chunks.join(q, scope) if scope else chunks.crossJoin(q)
-
-
 def ranked(rows: DataFrame, keys: list[str], limit: int, *order: Column) -> DataFrame:
     """The first `limit` rows of each key with their rank."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -55,13 +47,8 @@ def vector_search(chunks: DataFrame, queries: DataFrame, *, limit: int = LIMIT,
     keys = keys or ["question_id", "query"]
     names = [c for c in ["chunk_id", "document_id", *(carry or [])] if c in chunks.columns]
     scope = [c for c in SCOPE if c in queries.columns and c in chunks.columns]
-    lean = chunks.select(*dict.fromkeys([*names, *scope, "embedding"]))
-    pairs = _scoped(lean, queries, keys, "query_embedding")
-    d = distance(F.col("embedding"), F.col("query_embedding"), metric)
-    found = pairs.select(*dict.fromkeys([*keys, *names]), d.alias("distance"))
-    if maximum_distance is not None:
-        found = found.where(F.col("distance") <= maximum_distance)
-    return ranked(found, keys, limit, F.col("distance"), F.col("chunk_id"))
+    found = nearest(chunks, queries, keys=keys, names=names, scope=scope, metric=metric, limit=limit, maximum_distance=maximum_distance)
+    return ranked(found, keys, limit, F.asc_nulls_last("distance"), F.col("chunk_id"))
 
 
 _TOKEN = r"[\p{L}\p{N}_-]+"

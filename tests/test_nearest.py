@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import ann, nearest
+from tessella.functions.vectors import METRICS, distance
+from tessella.operators import ann, nearest, search
 
 ROWS = "chunk_id long, document_id long, tenant_id string, tags map<string,string>, embedding array<double>"
 
@@ -23,12 +24,36 @@ def vectors(spark, n=300, dim=8, seed=3):
     return spark.createDataFrame([(i, i % 7, "abc"[i % 3] if i % 11 else None, {"i": str(i)}, one(i)) for i in range(n)], ROWS)
 
 
+def by_pairs(chunks, asked, metric, limit, most, scope):
+    """The first by the expression over all pairs."""
+    lean = chunks.select("chunk_id", "document_id", "tags", *scope, "embedding")
+    pairs = lean.join(asked, scope) if scope else lean.crossJoin(asked)
+    found = pairs.select("question_id", "chunk_id", "document_id", "tags", distance(F.col("embedding"), F.col("query_embedding"), metric).alias("distance"))
+    found = found if most is None else found.where(F.col("distance") <= most)
+    held: dict = {}
+    for r in found.collect():
+        held.setdefault(r["question_id"], []).append(r)
+    order = lambda r: (r["distance"] is None, r["distance"] != r["distance"], r["distance"] if r["distance"] == r["distance"] else 0, r["chunk_id"])
+    return {(q, n, r["chunk_id"], r["document_id"], r["tags"]["i"], repr(r["distance"])) for q, rows in held.items() for n, r in enumerate(sorted(rows, key=order)[:limit], 1)}
+
+
+@pytest.mark.parametrize("metric", METRICS)
+@pytest.mark.parametrize("limit,most,scoped", [(5, None, False), (20, 0.7, True)])
+def test_the_same_as_all_pairs_to_the_last_bit(spark, small_blocks, metric, limit, most, scoped):
+    chunks = vectors(spark)
+    scope = ["tenant_id"] if scoped else []
+    asked = chunks.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("question_id"), *scope, F.col("embedding").alias("query_embedding"))
+    got = search.vector_search(chunks if scoped else chunks.drop("tenant_id"), asked, metric=metric, limit=limit, maximum_distance=most, keys=["question_id"], carry=["tags"])
+    assert got.columns == ["question_id", "chunk_id", "document_id", "tags", "distance", "rank"]
+    assert {(r["question_id"], r["rank"], r["chunk_id"], r["document_id"], r["tags"]["i"], repr(r["distance"])) for r in got.collect()} == by_pairs(chunks, asked, metric, limit, most, scope)
+
+
 @pytest.mark.parametrize("how", ["ann"])
 def test_vectors_meet_in_blocks(spark, small_blocks, how):
     """No expression over pairs of rows, for which the plans were too slow."""
     chunks = vectors(spark).where("embedding is not null and size(embedding) = 8 and chunk_id % 5 > 0").drop("tenant_id", "tags")
     asked = chunks.where("chunk_id % 2 = 0").select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("query_embedding"))
-    found = ann.search(ann.build(chunks, lists=4), asked, probes=2)
+    found = ann.search(ann.build(chunks, lists=4), asked, probes=2) if how == "ann" else search.vector_search(chunks, asked, keys=["question_id"])
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 5 * asked.count()
 
@@ -41,3 +66,9 @@ def test_lists_that_no_question_reads_are_left_out(spark, small_blocks):
     of = {r["chunk_id"]: r["list_no"] for r in lists}
     for r in ann.search(index, asked, limit=3, probes=1).collect():
         assert of[r["chunk_id"]] == of[r["question_id"]]
+
+
+def test_unknown_metric(spark):
+    rows = vectors(spark, 5)
+    with pytest.raises(ValueError):
+        search.vector_search(rows, rows.selectExpr("chunk_id question_id", "embedding query_embedding"), keys=["question_id"], metric="other")
