@@ -48,7 +48,7 @@ def test_the_same_as_all_pairs_to_the_last_bit(spark, small_blocks, metric, limi
     assert {(r["question_id"], r["rank"], r["chunk_id"], r["document_id"], r["tags"]["i"], repr(r["distance"])) for r in got.collect()} == by_pairs(chunks, asked, metric, limit, most, scope)
 
 
-@pytest.mark.parametrize("how", ["ann"])
+@pytest.mark.parametrize("how", ["ann", "search"])
 def test_vectors_meet_in_blocks(spark, small_blocks, how):
     """No expression over pairs of rows, for which the plans were too slow."""
     chunks = vectors(spark).where("embedding is not null and size(embedding) = 8 and chunk_id % 5 > 0").drop("tenant_id", "tags")
