@@ -29,7 +29,24 @@ def rank_metrics(retrieved: DataFrame, expected: DataFrame, *, item: str = "chun
     seen = first_seen(retrieved, item)
     n_seen = seen.groupBy("case_id").agg(F.count("*").alias("n_seen"))
     hit = want.join(seen, ["case_id", item], "left").groupBy("case_id").agg(F.count("*").alias("n_want"), F.count("rank").alias("n_hit"), F.min("rank").alias("first"))
-    rows = hit.join(n_seen, "case_id", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
+    return _rank_values(hit.join(n_seen, "case_id", "left"), prefix)
+
+
+def rank_metrics_of_groups(retrieved: DataFrame, cases: DataFrame, members: DataFrame, *, item: str = "chunk_id", prefix: str = "chunk") -> DataFrame:
+    """rank_metrics() of cases that expect all items of one group each, without a row for every case and item of its group.
+
+    retrieved: case_id, item, rank. cases: case_id, group. members: group, item."""
+    asked, own = cases.select("case_id", "group").distinct(), members.select("group", item).distinct()
+    n_want = own.where(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("n_want"))
+    met = first_seen(retrieved, item).join(asked, "case_id").join(own.withColumn("wanted", F.lit(True)), ["group", item], "left")
+    per = met.groupBy("case_id").agg(F.count("*").alias("n_seen"), F.count("wanted").alias("n_hit"), F.min(F.when(F.col("wanted"), F.col("rank"))).alias("first"))
+    hit = asked.join(n_want, "group").join(per, "case_id", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
+    return _rank_values(hit, prefix)
+
+
+def _rank_values(hit: DataFrame, prefix: str) -> DataFrame:
+    """hit: case_id, n_want, n_hit, first, n_seen (null: none)."""
+    rows = hit.withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
     some = F.col("n_hit") > 0
     values = {
         "recall": (F.col("n_hit") / F.col("n_want"), F.col("n_hit") == F.col("n_want")),

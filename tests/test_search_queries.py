@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import search
+from tessella.operators import evaluate, search
 from tessella.plans import catalog
 
 
@@ -15,6 +16,25 @@ def tables(spark, path, n=120):
     return str(path)
 
 
+def test_metrics_of_groups_are_those_of_their_items(spark):
+    rng = random.Random(2)
+    got = spark.createDataFrame([(c, i, n) for c in range(12) for n, i in enumerate(rng.sample(range(30), c % 5), 1)], "case_id long, chunk_id long, rank int")
+    members = spark.createDataFrame([(i % 4 if i % 7 else None, i) for i in range(30)] + [(1, 1)], "group int, chunk_id long")
+    cases = spark.createDataFrame([(c, c % 5 if c != 11 else None) for c in range(12)], "case_id long, group int")
+    want = evaluate.rank_metrics(got, cases.join(members, "group"))
+    found = evaluate.rank_metrics_of_groups(got, cases, members)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 0
+
+
+@pytest.mark.parametrize("name", ["rank_metrics_document"])
+def test_metrics_make_no_row_for_every_expected_item(spark, tmp_path, monkeypatch, name):
+    held = []
+    real = evaluate.rank_metrics_of_groups
+    monkeypatch.setattr(evaluate, "rank_metrics_of_groups", lambda got, cases, members, **how: held.append((cases.count(), members.count())) or real(got, cases, members, **how))
+    assert catalog.QUERIES[name](spark, tables(spark, tmp_path)).count() > 0
+    assert held == [(6, 120)]  # not 6 x 40 pairs
+
+
 def test_neighbours_search_once(spark, tmp_path, monkeypatch):
     searched = []
     monkeypatch.setattr(search, "vector_search", lambda *a, real=search.vector_search, **how: searched.append(real(*a, **how)) or searched[-1])
