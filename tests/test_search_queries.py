@@ -42,3 +42,8 @@ def test_neighbours_search_once(spark, tmp_path, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(searched) == 1 and "MapInArrow" not in plan and "hits-" in found._jdf.queryExecution().executedPlan().toString()
     assert found.where(~F.col("neighbor")).count() == 6 * 3
+
+
+def test_fused_rankings_compare_blocks(spark, tmp_path):
+    plan = catalog.QUERIES["rrf_weighted"](spark, tables(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") >= 4 and "lambda" not in plan  # two searches, two sides
