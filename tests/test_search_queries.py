@@ -47,3 +47,12 @@ def test_neighbours_search_once(spark, tmp_path, monkeypatch):
 def test_fused_rankings_compare_blocks(spark, tmp_path):
     plan = catalog.QUERIES["rrf_weighted"](spark, tables(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") >= 4 and "lambda" not in plan  # two searches, two sides
+
+
+def test_the_threshold_keeps_far_pairs_in_the_workers(spark, tmp_path):
+    where = tables(spark, tmp_path)
+    assert "MapInArrow" in catalog.QUERIES["vector_threshold"](spark, where)._jdf.queryExecution().optimizedPlan().toString()
+    chunks = catalog.vector_chunks(spark, where)
+    near = search.vector_search(chunks, catalog.vector_questions(chunks), limit=100, maximum_distance=0.7, keys=["question_id"]).collect()
+    every = search.vector_search(chunks, catalog.vector_questions(chunks), limit=100, keys=["question_id"]).collect()
+    assert sorted(map(tuple, near)) == sorted(tuple(r) for r in every if r["distance"] <= 0.7)
