@@ -26,7 +26,7 @@ def test_metrics_of_groups_are_those_of_their_items(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 0
 
 
-@pytest.mark.parametrize("name", ["rank_metrics_document", "eval_report_avg"])
+@pytest.mark.parametrize("name", ["rank_metrics_chunk", "rank_metrics_document", "eval_report_avg"])
 def test_metrics_make_no_row_for_every_expected_item(spark, tmp_path, monkeypatch, name):
     held = []
     real = evaluate.rank_metrics_of_groups
