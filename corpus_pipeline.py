@@ -27,7 +27,9 @@ ORACLE_SQL = None
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told, with that language as their lang; learn from two thirds of the labelled ones."""
     seen = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).where(id_remainder(F.col("doc_id"), 3) != 1)
-    told = docs.select(whole_row(docs), langid.predictor(langid.train(seen))(F.col("text")).alias("told"))
+    # nondeterministic only so that Spark does not run it a second time, in other workers, for the filter
+    predict = langid.predictor(langid.train(seen)).asNondeterministic()
+    told = docs.select(whole_row(docs), predict(F.col("text")).alias("told"))
     kept = told.where((F.col("told.lang_pred") != "und") & (F.col("told.score") >= MIN_SCORE))
     return unpacked(kept, docs.columns, lang=F.col("told.lang_pred"))
 
