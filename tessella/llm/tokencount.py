@@ -11,6 +11,9 @@ equal words are encoded once. Proof that this gives the whole text's ids: the pr
 space and drops it, the normalizer neither joins nor moves characters across a space between two characters of the
 pattern, and merges happen within a word; so the encoding of a text is that of its words one after the other.
 
+Chunks and words of Latin letters without special tokens are encoded by the file's ranks (bpe.WordEnds), with the same ids
+and places as the library's, which encodes all others.
+
 Defined cases: null text is empty: 0 bytes, 0 tokens; a text of any length is counted whole, one without a safe space as
 one chunk; repeated rows are counted one by one, so there are no ties; an empty table gives no rows; columns other than
 the two named ones, whatever their names, are not read.
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import SAFE_SPACE, WordCache, tokenizer, vocabulary
+from tessella.llm.bpe import SAFE_SPACE, WordCache, tokenizer, vocabulary, word_ends
 
 VOCABULARY = "word_bpe_49k.json"
 CHUNK = 16384
@@ -38,8 +41,12 @@ _CACHES: dict[str, WordCache] = {}
 
 def encode_chunk(text: str, start: int, end: int, path: str) -> tuple[list[int], list[int]]:
     """ids of text[start:end] and where in the text each begins."""
-    got = tokenizer(path).encode(text[start:end], add_special_tokens=False)
-    return got.ids, [start + a for a, _ in got.offsets]
+    part, ranks = text[start:end], word_ends(path)
+    got = ranks.encode(part) if ranks is not None and ranks.takes(part) else None
+    if got is None:
+        whole = tokenizer(path).encode(part, add_special_tokens=False)
+        got = whole.ids, [a for a, _ in whole.offsets]
+    return got[0], [start + a for a in got[1]]
 
 
 def stable_boundary(text: str, left: tuple[list[int], list[int]], right: tuple[list[int], list[int]], start: int, end: int) -> int | None:
@@ -88,6 +95,23 @@ def encode_spliced(text: str, path: str, chunk: int = CHUNK, overlap: int = OVER
 
 
 def _count_words(words: list[str], path: str) -> list[int]:
+    """Tokens of words: by ranks, those with other characters or special tokens by the library."""
+    ranks, out = word_ends(path), []
+    if ranks is None:
+        return _count_by_library(words, path)
+    for k in range(0, len(words), 4096):
+        some = words[k : k + 4096]
+        plain = [True] * len(some) if ranks.takes(" ".join(some)) else [ranks.takes(w) for w in some]
+        counts = ranks.counts([w for w, p in zip(some, plain) if p])
+        if counts is None:
+            out += _count_by_library(some, path)
+            continue
+        by_ranks, others = iter(counts), iter(_count_by_library([w for w, p in zip(some, plain) if not p], path))
+        out += [next(by_ranks if p else others) for p in plain]
+    return out
+
+
+def _count_by_library(words: list[str], path: str) -> list[int]:
     """Tokens of words, many encoded as one text with spaces between and told apart by the tokens' offsets."""
     out: list[int] = []
     for k in range(0, len(words), 4096):

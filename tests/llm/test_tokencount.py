@@ -1,6 +1,7 @@
+import json
 import random
 
-from tessella.llm import tokencount
+from tessella.llm import bpe, tokencount
 from tessella.llm.bpe import tokenizer, vocabulary
 
 PATH = vocabulary("word_bpe_49k.json")
@@ -43,3 +44,37 @@ def test_query_columns(spark, docs):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), plain(t), plain(t) > 2048)
     assert len(tokencount.token_counts(docs((1, "a"), (1, "a"), (None, "b"))).collect()) == 3
     assert tokencount.token_counts(docs().where("false")).collect() == []
+
+
+def test_ranks_give_the_librarys_ids_and_places():
+    """Latin text is encoded by ranks, without the library's normal forms and offsets, that took most of the time."""
+    ranks, library = bpe.word_ends(PATH), tokenizer(PATH)
+    rng = random.Random(4)
+    chars = [c for c in map(chr, range(0x250)) if ranks.takes(c)]
+    assert len(chars) > 300 and not any(ranks.takes(t) for t in ("İ", "a\x85", "a\xa0b", "日", "é", "<|endoftext|>", "\x00"))
+    texts = ["", " \n", *chars, *("".join(rng.choices(chars, k=200)) for _ in range(300)), "I'll DON'T 's'S x'RE ''ve", "aaaa aaaaaaa ÀÉÎÕÜ\nſŉ 12½ ---"]
+    for t in texts:
+        want = library.encode(t, add_special_tokens=False)
+        assert ranks.encode(t) == (want.ids, [a for a, _ in want.offsets])
+    assert ranks.counts(texts) == list(map(plain, texts))
+    assert ranks.encode("a" * 300) is None and ranks.counts(["b", "a" * 300]) is None
+
+
+def test_every_entry_by_itself_is_one_token():
+    """What bpe.WordEnds relies on."""
+    from tokenizers import Tokenizer
+
+    vocab = tokenizer(PATH).get_vocab(with_added_tokens=False)
+    spec = json.loads(tokenizer(PATH).to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+    ended = [t for t in vocab if t.endswith("</w>") and len(t) > 4]
+    got = Tokenizer.from_str(json.dumps(spec)).encode(" ".join(t[:-4] for t in ended)).ids
+    assert got == [vocab[t] for t in ended]
+    spec["model"]["end_of_word_suffix"] = None
+    inner = [t for t in vocab if t not in ended and not t.startswith("<|")]
+    assert Tokenizer.from_str(json.dumps(spec)).encode(" ".join(inner)).ids == [vocab[t] for t in inner]
+
+
+def test_words_do_not_meet_the_library(monkeypatch):
+    monkeypatch.setattr(tokencount, "_CACHES", {})
+    monkeypatch.setattr(tokencount, "tokenizer", lambda path: 1 / 0)
+    assert tokencount.count_tokens(["Two words, née", "x " * 9000], PATH) == [5, 9000]
