@@ -1,12 +1,14 @@
 """Exact nearest vectors, block by block.
 
 Vectors are packed into blocks; every block of questions meets every block of chunks of its scope. A product of float32
-matrices (for l1 a sum over the dimensions) tells which pairs can't be among the nearest, with a margin that covers its
-rounding. The rest get their distance in float64, summed in order, so that it is the same as functions.vectors.distance to
-the last bit. A pair of blocks returns at most `limit` rows a question. A task keeps for each question the least distance
-that `limit` chunks of one block have reached; farther chunks of later blocks are left out.
-
-Few questions are sent to the chunks where they lie; for more, chunks are dealt out first. Blocks of questions are broadcast
+matrices tells which pairs can't be among the nearest, with a margin that covers its rounding. For l1 it is a sum over the
+dimensions: of whole steps in bytes as soon as a question has a distance to beat, and in float32 of what they leave. The rest get their distance in float64, summed in order, so that it is the same as functions.vectors.distance to
+the last bit. A pair of blocks returns at most `limit` rows a question. A task keeps for each question the `limit`
+least distances that it has met (of the first KEPT values' questions; of others only what one block reached); farther chunks
+are left out.
+
+Few questions are sent to the chunks where they lie; for more, chunks are dealt out first, to as many tasks as they and the
+cores need: every task returns its own first rows of a question, so more tasks are more rows to rank. Blocks of questions are broadcast
 after a check of their bytes, otherwise joined by shuffle.
 
 Vectors that are null, hold null, NaN or infinity, are very large or small or of another length than their block's are
@@ -34,7 +36,10 @@ FEW = 64  # so many questions are not worth a shuffle of the chunks
 PARTS = 4  # of a list
 TILE = {"l1": 1 << 17}
 TILE_OTHERWISE = 1 << 20
+STEPS, TILE_OF_STEPS = 127, 1 << 18  # two differences of steps fit into a byte
+TASK_CHUNKS, TASKS_PER_CORE = 32 * CHUNKS, 3
 VALUES_AT_ONCE = 1 << 22
+KEPT = 1 << 23  # distances that a task keeps
 
 
 def packed(rows: DataFrame, vector: str, names: list[str], by: list[str], most: int) -> DataFrame:
@@ -149,35 +154,111 @@ def _rough(q: _Side, c: _Side, across: np.ndarray, metric: str) -> np.ndarray:
             np.abs(step, out=step)
             out += step
         return out
-    out = q.near @ across
+    out = q.near @ across  # one of them with the other sign
     if metric == "l2":
-        out *= -2
+        out *= 2
         out += (q.reach * q.reach).astype(np.float32)[:, None]
         out += (c.reach * c.reach).astype(np.float32)[None, :]
-        return out
-    return np.negative(out, out=out)
+    return out
+
 
+def _across(c: _Side, metric: str) -> np.ndarray:
+    return np.ascontiguousarray(c.near.T if metric == "l1" else -c.near.T)
 
-def _may_be_near(rough: np.ndarray, q: _Side, c: _Side, bound: np.ndarray, limit: int, metric: str) -> np.ndarray:
-    """Which pairs may be among the first `limit` of this block and at most at `bound`."""
+
+def _limits(q: _Side, c: _Side, bound: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Up to where pairs at most at `bound` lie by _rough(), and the margin for rounding in it."""
     most = c.reach.max(initial=0.0)
     dim = c.m.shape[1]
     scale = {"cosine": 1.0, "inner_product": most * q.reach, "l2": (most + q.reach) ** 2, "l1": most + q.reach}[metric]
     margin = (dim + 8) * 2.0**-22 * scale + (2.0**-50 if metric in ("cosine", "inner_product") else 0.0) + 1e-36 * (dim + 1)
-    floor = -1.0 if metric in ("cosine", "inner_product") else 0.0  # all below have the distance 0
     limits = {"cosine": bound - 1, "inner_product": bound - 1, "l2": bound * bound * (1 + 1e-12), "l1": bound}[metric] + margin
-    rough[:, c.odd] = np.inf
+    return limits, np.broadcast_to(margin, len(bound))
+
+
+def _may_be_near(rough: np.ndarray, q: _Side, c: _Side, bound: np.ndarray, limit: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(question, chunk) of the pairs that may be among the first `limit` of this block and at most at `bound`."""
+    limits, margin = _limits(q, c, bound, metric)
+    floor = -1.0 if metric in ("cosine", "inner_product") else 0.0  # all below have the distance 0
+    odd, width = np.flatnonzero(c.odd), rough.shape[1]
+    if len(odd):
+        rough[:, odd] = np.inf
     with np.errstate(over="ignore"):
         mask = rough <= np.nextafter(limits.astype(np.float32), np.float32(np.inf))[:, None]
-        many = np.flatnonzero(np.count_nonzero(mask, axis=1) > 4 * limit) if rough.shape[1] > limit else ()
-        if len(many):
-            part = rough[many]
-            kth = np.partition(part, limit - 1, axis=1)[:, limit - 1].astype(np.float64)
-            nearer = np.minimum(limits[many], np.maximum(kth, floor) + 2 * np.broadcast_to(margin, len(bound))[many])
-            mask[many] = part <= np.nextafter(nearer.astype(np.float32), np.float32(np.inf))[:, None]
-    mask[:, c.odd] = True
-    mask[q.odd] = True
-    return mask
+        if width > limit:
+            # places in the flat mask: NumPy finds those much faster than pairs of places
+            if np.count_nonzero(mask) > mask.size // 16:
+                per = np.count_nonzero(mask, axis=1)
+            else:
+                per = np.diff(np.searchsorted(np.flatnonzero(mask), np.arange(len(mask) + 1) * width))
+            many = np.flatnonzero(per > 4 * limit)
+            if len(many):
+                part = rough[many]
+                kth = np.partition(part, limit - 1, axis=1)[:, limit - 1].astype(np.float64)
+                nearer = np.minimum(limits[many], np.maximum(kth, floor) + 2 * margin[many])
+                mask[many] = part <= np.nextafter(nearer.astype(np.float32), np.float32(np.inf))[:, None]
+    if len(odd):
+        mask[:, odd] = True
+    if q.odd.any():
+        mask[q.odd] = True
+    return np.divmod(np.flatnonzero(mask), width)
+
+
+class _Steps(NamedTuple):
+    """A block of chunks in whole steps, for l1: the distance of two vectors is at least that of their steps less what
+    either is off by."""
+
+    low: float
+    step: float
+    across: np.ndarray  # uint8, transposed
+    off: float  # the most of the block
+
+    @staticmethod
+    def of(c: _Side) -> _Steps | None:
+        usual = c.m[~c.odd]
+        low, high = (float(usual.min()), float(usual.max())) if usual.size else (0.0, 0.0)
+        step = (high - low) / STEPS
+        if not 1e-30 < step < np.inf:
+            return None
+        made = _Steps(low, step, np.empty((0, 0), np.uint8), 0.0)
+        codes, off = made.codes(c)
+        return made._replace(across=np.ascontiguousarray(codes.T), off=float(off[~c.odd].max()))
+
+    def codes(self, side: _Side) -> tuple[np.ndarray, np.ndarray]:
+        m = np.where(side.odd[:, None], 0.0, side.m)
+        codes = np.clip(np.rint((m - self.low) / self.step), 0, STEPS)
+        return codes.astype(np.uint8), np.abs(m - (self.low + codes * self.step)).sum(1)
+
+    def near(self, q: _Side, codes: np.ndarray, off: np.ndarray, c: _Side, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(question, chunk) of the pairs that may be at most at `bound`, which is finite; None if they are many. codes, off: of q."""
+        dim, width = self.across.shape
+        total = np.zeros((len(codes), width), np.uint16 if dim * STEPS < 1 << 16 else np.uint32)
+        more, less, two = (np.empty(total.shape, np.uint8) for _ in range(3))
+        for j in range(dim):
+            x, y = self.across[j][None, :], codes[:, j : j + 1]
+            np.maximum(x, y, out=more)
+            np.minimum(x, y, out=less)
+            if j % 2 == 0:
+                np.subtract(more, less, out=two)
+            else:
+                more -= less
+                two += more
+            if j % 2 or j == dim - 1:
+                total += two
+        limits, _ = _limits(q, c, bound, "l1")
+        steps = np.floor((limits + off + self.off) / self.step * (1 + 1e-9)) + 1
+        mask = total <= np.minimum(steps, np.iinfo(total.dtype).max).astype(total.dtype)[:, None]
+        if c.odd.any():
+            mask[:, c.odd] = True
+        if np.count_nonzero(mask) > mask.size // 16:
+            return None
+        qi, ci = np.divmod(np.flatnonzero(mask), width)
+        rough = np.empty(len(qi), np.float32)
+        at_once = max(1, VALUES_AT_ONCE // max(1, dim))
+        for i in range(0, len(qi), at_once):
+            rough[i : i + at_once] = np.abs(c.near[ci[i : i + at_once]] - q.near[qi[i : i + at_once]]).sum(1)
+        kept = (rough <= np.nextafter(limits.astype(np.float32), np.float32(np.inf))[qi]) | c.odd[ci]
+        return qi[kept], ci[kept]
 
 
 def _distances(q: _Side, c: _Side, qi: np.ndarray, ci: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
@@ -205,10 +286,11 @@ def _distances(q: _Side, c: _Side, qi: np.ndarray, ci: np.ndarray, metric: str)
     return d, null
 
 
-def _nearest_of(q: _Side, c: _Side, across: np.ndarray, bound: np.ndarray, limit: int, metric: str, most: float | None):
-    """(question, chunk, distance, null) of each question's first `limit` chunks of a block; bound is brought down."""
-    rough = _rough(q, c, across, metric)
-    qi, ci = np.nonzero(_may_be_near(rough, q, c, bound, limit, metric))
+def _nearest_of(q: _Side, c: _Side, across: np.ndarray, bound: np.ndarray, limit: int, metric: str, most: float | None, best: np.ndarray | None, some: tuple[np.ndarray, np.ndarray] | None = None):
+    """(question, chunk, distance, null) of each question's first `limit` chunks of a block; bound is brought down.
+
+    best: the least distances so far, `limit` of each question, which are brought up to date. some: the pairs to look at, if it is known that others are farther than bound."""
+    qi, ci = _may_be_near(_rough(q, c, across, metric), q, c, bound, limit, metric) if some is None else some
     d, null = _distances(q, c, qi, ci, metric)
     if most is not None:
         kept = (d <= most) & ~null
@@ -216,12 +298,27 @@ def _nearest_of(q: _Side, c: _Side, across: np.ndarray, bound: np.ndarray, limit
     order = np.lexsort((ci, d, null, qi))
     qi, ci, d, null = qi[order], ci[order], d[order], null[order]
     start = np.searchsorted(qi, np.arange(len(bound) + 1))
-    first = np.arange(len(qi)) - start[qi] < limit
-    full = np.flatnonzero(start[1:] - start[:-1] >= limit)
-    last = start[full] + limit - 1
-    reached = np.where(null[last], np.inf, d[last])
-    bound[full] = np.fmin(bound[full], reached)
-    return qi[first], ci[first], d[first], null[first]
+    place = np.arange(len(qi)) - start[qi]
+    first = place < limit
+    qi, ci, d, null, place = qi[first], ci[first], d[first], null[first], place[first]
+    if not len(qi):
+        return qi, ci, d, null
+    met = np.flatnonzero(start[1:] > start[:-1])
+    new = np.full((len(met), place.max() + 1), np.inf)
+    new[np.searchsorted(met, qi), place] = np.where(null | np.isnan(d), np.inf, d)
+    if best is None:
+        reached = new[:, limit - 1] if new.shape[1] == limit else np.inf
+    else:
+        least = np.partition(np.concatenate([best[met], new], 1), limit - 1, axis=1)[:, :limit]
+        best[met], reached = least, least[:, -1]
+    bound[met] = np.fmin(bound[met], reached)
+    kept = ~np.isfinite(bound[qi]) | (d <= bound[qi]) & ~null
+    return qi[kept], ci[kept], d[kept], null[kept]
+
+
+def _tasks(chunks: DataFrame) -> int:
+    """How many tasks chunks are dealt to: by their number and the cores, whatever the number of shuffle partitions."""
+    return max(TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() // TASK_CHUNKS))
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, *, keys: list[str], names: list[str], scope: list[str], metric: str, limit: int, maximum_distance: float | None = None, lists: bool = False) -> DataFrame:
@@ -241,8 +338,10 @@ def nearest(chunks: DataFrame, queries: DataFrame, *, keys: list[str], names: li
     n_asked, n_blocks, n_bytes = asking.agg(total("n"), F.count("*"), total(F.octet_length("vectors") + F.octet_length("rows"))).first()
     by = [*scope, *(["list_no"] if lists else [])]
     lean = chunks.select(*dict.fromkeys([*names, *by]), double("embedding")).dropna(subset=by) if by else chunks.select(*names, double("embedding"))
-    if n_asked > FEW:
-        lean = lean.repartition(parts, "list_no", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS))) if lists else lean.repartition(parts, "chunk_id")
+    if n_asked > FEW and lists:
+        lean = lean.repartition(parts, "list_no", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)))
+    elif n_asked > FEW:
+        lean = lean.repartition(_tasks(lean), "chunk_id")
     blocks = packed(lean.sortWithinPartitions(*by, "chunk_id"), "embedding", names, by, CHUNKS)
     asking = asking.select(*scope, *[F.col(c).alias(f"q_{c}") for c in ("no", "n", "dim", "sizes", "vectors", "rows")])
     if n_blocks <= MAX_ROWS and n_bytes <= MAX_BYTES:
@@ -251,8 +350,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, *, keys: list[str], names: li
     most = None if maximum_distance is None else float(maximum_distance)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds: dict[int, np.ndarray] = {}
-        held = None, None, None, 0
+        bounds: dict[int, tuple[np.ndarray, np.ndarray | None]] = {}
+        kept = 0
+        held = None, None, None, 0, None
 
         def values(batch: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.ndarray]:
             sizes = np.frombuffer(batch.column(f"{prefix}sizes")[i].as_buffer(), np.int32)
@@ -265,23 +365,37 @@ def nearest(chunks: DataFrame, queries: DataFrame, *, keys: list[str], names: li
                     sizes, m = values(batch, i, "")
                     usual = int(np.bincount(np.maximum(sizes, 0)).argmax())
                     side = _side(sizes, m, dim, usual, metric)
-                    held = (batch.column("no")[i].as_py(), dim), side, np.ascontiguousarray(side.near.T), usual
-                _, c, across, usual = held
+                    held = (batch.column("no")[i].as_py(), dim), side, _across(side, metric), usual, _Steps.of(side) if metric == "l1" else None
+                _, c, across, usual, steps = held
                 asks = pa.ipc.open_stream(batch.column("q_rows")[i].as_buffer()).read_all()
                 q = _side(*values(batch, i, "q_"), dim, usual, metric)
-                bound = bounds.setdefault(batch.column("q_no")[i].as_py(), np.full(len(q.sizes), np.inf if most is None else most))
+                asker = batch.column("q_no")[i].as_py()
+                if asker not in bounds:
+                    kept += len(q.sizes) * limit
+                    bounds[asker] = np.full(len(q.sizes), np.inf if most is None else most), np.full((len(q.sizes), limit), np.inf) if kept <= KEPT else None
+                bound, best = bounds[asker]
                 rows = np.arange(len(q.sizes))
                 if lists:
                     own = asks["lists"].combine_chunks()
                     owner = np.repeat(rows, pc.list_value_length(own).fill_null(0).to_numpy(zero_copy_only=False))
                     rows = np.unique(owner[own.flatten().to_numpy(zero_copy_only=False) == batch.column("list_no")[i].as_py()])
                 found = []
-                step = max(1, TILE.get(metric, TILE_OTHERWISE) // len(c.sizes))
-                for at in range(0, len(rows), step):
-                    some = rows[at : at + step]
-                    reached = bound[some]
-                    qi, ci, d, null = _nearest_of(q.some(some), c, across, reached, limit, metric, most)
+                tile = max(1, TILE.get(metric, TILE_OTHERWISE) // len(c.sizes))
+                stepped = np.zeros(len(rows), bool) if steps is None else np.isfinite(bound[rows]) & ~q.odd[rows]
+                codes, off = steps.codes(q) if stepped.any() else (None, None)
+                tiles = [(own[at : at + n], by) for own, n, by in ((rows[stepped], max(1, TILE_OF_STEPS // len(c.sizes)), True), (rows[~stepped], tile, False)) for at in range(0, len(own), n)]
+                while tiles:
+                    some, by_steps = tiles.pop()
+                    theirs, reached = q.some(some), bound[some]
+                    near = steps.near(theirs, codes[some], off[some], c, reached) if by_steps else None
+                    if by_steps and near is None and len(some) > tile:
+                        tiles += [(some[at : at + tile], False) for at in range(0, len(some), tile)]
+                        continue
+                    least = None if best is None else best[some]
+                    qi, ci, d, null = _nearest_of(theirs, c, across, reached, limit, metric, most, least, near)
                     bound[some] = reached
+                    if best is not None:
+                        best[some] = least
                     found.append((some[qi], ci, d, null))
                 if not found:
                     continue

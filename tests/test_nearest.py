@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,23 @@ def test_unknown_metric(spark):
     rows = vectors(spark, 5)
     with pytest.raises(ValueError):
         search.vector_search(rows, rows.selectExpr("chunk_id question_id", "embedding query_embedding"), keys=["question_id"], metric="other")
+
+
+@pytest.mark.parametrize("limit,most", [(5, None)])
+def test_more_shuffle_partitions_are_not_more_rows_to_rank(spark, limit, most):
+    """Every task returns its own first rows of a question: at 200 partitions that was most of the searches' time."""
+    rng = random.Random(9)
+    rows = [(i, i % 3, [rng.gauss(0, 1) for _ in range(8)]) for i in range(1500)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, embedding array<double>").repartition(2)
+    asked = chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("query_embedding"))
+
+    def count(partitions):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            return nearest.nearest(chunks, asked, keys=["question_id"], names=["chunk_id"], scope=[], metric="cosine", limit=limit, maximum_distance=most).count()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    few, many = count("4"), count("64")
+    assert 75 * limit <= few <= 75 * limit * 12 and many == few
