@@ -75,6 +75,27 @@ def test_unknown_metric(spark):
         search.vector_search(rows, rows.selectExpr("chunk_id question_id", "embedding query_embedding"), keys=["question_id"], metric="other")
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_whole_steps_lose_no_pair(odd):
+    """rrf_weighted's l1: once a question has a distance to beat, bytes rule pairs out, before float32 did for every pair."""
+    rng = np.random.default_rng(1)
+    for scale, shift in ((1.0, 0.0), (1e-6, 3e-6), (1e6, -5e6)):
+        m, asks = rng.normal(size=(2000, 16)) * scale + shift, rng.normal(size=(30, 16)) * 1.2 * scale + shift
+        if odd:
+            m[7], m[9] = np.nan, 1e200
+        sizes = lambda x: np.full(len(x), 16, np.int32)
+        c, q = nearest._side(sizes(m), m, 16, 16, "l1"), nearest._side(sizes(asks), asks, 16, 16, "l1")
+        steps = nearest._Steps.of(c)
+        with np.errstate(all="ignore"):
+            d = np.abs(m[None] - asks[:, None]).sum(2)
+        bound = np.sort(np.where(c.odd, np.inf, d), 1)[:, 4]
+        codes, off = steps.codes(q)
+        qi, ci = steps.near(q, codes, off, c, bound)
+        got = set(zip(qi.tolist(), ci.tolist()))
+        assert {(i, j) for i in range(30) for j in range(2000) if c.odd[j] or d[i, j] <= bound[i]} <= got
+        assert len(got) < 30 * (8 + 2 * odd)
+
+
 @pytest.mark.parametrize("limit,most", [(5, None)])
 def test_more_shuffle_partitions_are_not_more_rows_to_rank(spark, limit, most):
     """Every task returns its own first rows of a question: at 200 partitions that was most of the searches' time."""
