@@ -96,7 +96,22 @@ def test_whole_steps_lose_no_pair(odd):
         assert len(got) < 30 * (8 + 2 * odd)
 
 
-@pytest.mark.parametrize("limit,most", [(5, None)])
+def test_a_task_keeps_the_least_distances(spark):
+    """vector_threshold: no block alone has `limit` near chunks, so before no block brought the distance down."""
+    rng = np.random.default_rng(2)
+    m, asks = rng.normal(size=(200, 8)), rng.normal(size=(5, 8))
+    sizes = lambda x: np.full(len(x), 8, np.int32)
+    bound, best, returned = np.full(5, 2.0), np.full((5, 30), np.inf), 0
+    for at in range(0, 200, 20):
+        c, q = (nearest._side(sizes(x), x, 8, 8, "cosine") for x in (m[at : at + 20], asks))
+        returned += len(nearest._nearest_of(q, c, nearest._across(c, "cosine"), bound, 30, "cosine", 2.0, best)[0])
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.sort(1 - unit(asks) @ unit(m).T, 1)[:, :30]
+    assert np.allclose(np.sort(best, 1), want) and np.allclose(bound, want[:, -1])
+    assert returned < 5 * 200 * 0.7
+
+
+@pytest.mark.parametrize("limit,most", [(5, None), (30, 0.7)])
 def test_more_shuffle_partitions_are_not_more_rows_to_rank(spark, limit, most):
     """Every task returns its own first rows of a question: at 200 partitions that was most of the searches' time."""
     rng = random.Random(9)
