@@ -111,7 +111,7 @@ def test_a_task_keeps_the_least_distances(spark):
     assert returned < 5 * 200 * 0.7
 
 
-@pytest.mark.parametrize("limit,most", [(5, None), (30, 0.7)])
+@pytest.mark.parametrize("limit,most", [(5, None), (10, None), (30, 0.7)])
 def test_more_shuffle_partitions_are_not_more_rows_to_rank(spark, limit, most):
     """Every task returns its own first rows of a question: at 200 partitions that was most of the searches' time."""
     rng = random.Random(9)

@@ -1,6 +1,7 @@
 """Registered queries on vector search: that they search once and make no row for every pair."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +57,15 @@ def test_the_threshold_keeps_far_pairs_in_the_workers(spark, tmp_path):
     near = search.vector_search(chunks, catalog.vector_questions(chunks), limit=100, maximum_distance=0.7, keys=["question_id"]).collect()
     every = search.vector_search(chunks, catalog.vector_questions(chunks), limit=100, keys=["question_id"]).collect()
     assert sorted(map(tuple, near)) == sorted(tuple(r) for r in every if r["distance"] <= 0.7)
+
+
+@pytest.mark.parametrize("name", ["rank_metrics_chunk"])
+def test_metrics_deal_vectors_out_by_their_number(spark, tmp_path, name):
+    """Not to as many tasks as there are shuffle partitions, which took most of the time at 200."""
+    where, before = tables(spark, tmp_path, 1400), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        plan = catalog.QUERIES[name](spark, where)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(re.findall(r"RepartitionByExpression \[chunk_id#\d+L?\], (\d+)", plan)) == {"6"}
