@@ -59,7 +59,7 @@ def test_the_threshold_keeps_far_pairs_in_the_workers(spark, tmp_path):
     assert sorted(map(tuple, near)) == sorted(tuple(r) for r in every if r["distance"] <= 0.7)
 
 
-@pytest.mark.parametrize("name", ["rank_metrics_chunk"])
+@pytest.mark.parametrize("name", ["rank_metrics_chunk", "eval_report_avg"])
 def test_metrics_deal_vectors_out_by_their_number(spark, tmp_path, name):
     """Not to as many tasks as there are shuffle partitions, which took most of the time at 200."""
     where, before = tables(spark, tmp_path, 1400), spark.conf.get("spark.sql.shuffle.partitions")
