@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import claims, comparable, is_negated, let, protected_terms, sentences, significant_terms, trimmed
+from tessella.operators.nearest import tasks_for
 
 COVERAGE, EXCERPT = 0.6, 240
 
@@ -32,18 +33,39 @@ def rank_metrics(retrieved: DataFrame, expected: DataFrame, *, item: str = "chun
     return _rank_values(hit.join(n_seen, "case_id", "left"), prefix)
 
 
-def rank_metrics_of_groups(retrieved: DataFrame, cases: DataFrame, members: DataFrame, *, item: str = "chunk_id", prefix: str = "chunk") -> DataFrame:
+def rank_metrics_of_groups(retrieved: DataFrame, cases: DataFrame, members: DataFrame, *, item: str = "chunk_id", prefix: str = "chunk", own: str | None = None) -> DataFrame:
     """rank_metrics() of cases that expect all items of one group each, without a row for every case and item of its group.
 
-    retrieved: case_id, item, rank. cases: case_id, group. members: group, item."""
-    asked, own = cases.select("case_id", "group").distinct(), members.select("group", item).distinct()
-    n_want = own.where(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("n_want"))
-    met = first_seen(retrieved, item).join(asked, "case_id").join(own.withColumn("wanted", F.lit(True)), ["group", item], "left")
+    retrieved: case_id, item, rank. cases: case_id, group. members: group, item.
+    own: retrieved also has the case's group and, under this name, the item's, so that it meets neither cases nor members by
+    join. members must then hold every item once (see each_once) and every case must have retrieved something."""
+    if own is not None:
+        return _rank_values(_hits_by_own_group(retrieved, members, item, own), prefix)
+    asked, held = cases.select("case_id", "group").distinct(), members.select("group", item).distinct()
+    n_want = held.where(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("n_want"))
+    met = first_seen(retrieved, item).join(asked, "case_id").join(held.withColumn("wanted", F.lit(True)), ["group", item], "left")
     per = met.groupBy("case_id").agg(F.count("*").alias("n_seen"), F.count("wanted").alias("n_hit"), F.min(F.when(F.col("wanted"), F.col("rank"))).alias("first"))
     hit = asked.join(n_want, "group").join(per, "case_id", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
     return _rank_values(hit, prefix)
 
 
+def each_once(members: DataFrame, item: str) -> bool:
+    """Whether every item is there once and none is null."""
+    n, distinct = members.select(item).repartition(tasks_for(members), item).agg(F.count("*"), F.count_distinct(item)).first()
+    return n == distinct
+
+
+def _hits_by_own_group(retrieved: DataFrame, members: DataFrame, item: str, own: str) -> DataFrame:
+    """All by the key that retrieved was ranked by, so nothing is shuffled again."""
+    case = ["case_id", "group"]
+    known = retrieved.where(F.col("group").isNotNull()).withColumn("own", F.col(own))
+    once = known.groupBy(*case, item).agg(F.min("rank").alias("at"), F.min("own").alias("own"))
+    seen = once.withColumn("rank", F.row_number().over(Window.partitionBy(*case).orderBy("at")))
+    wanted = F.col("own") == F.col("group")
+    per = seen.groupBy(*case).agg(F.count("*").alias("n_seen"), F.count_if(wanted).alias("n_hit"), F.min(F.when(wanted, F.col("rank"))).alias("first"))
+    return per.join(members.groupBy("group").agg(F.count("*").alias("n_want")), "group")
+
+
 def _rank_values(hit: DataFrame, prefix: str) -> DataFrame:
     """hit: case_id, n_want, n_hit, first, n_seen (null: none)."""
     rows = hit.withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))

@@ -316,7 +316,7 @@ def _nearest_of(q: _Side, c: _Side, across: np.ndarray, bound: np.ndarray, limit
     return qi[kept], ci[kept], d[kept], null[kept]
 
 
-def _tasks(chunks: DataFrame) -> int:
+def tasks_for(chunks: DataFrame) -> int:
     """How many tasks chunks are dealt to: by their number and the cores, whatever the number of shuffle partitions."""
     return max(TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() // TASK_CHUNKS))
 
@@ -341,7 +341,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, *, keys: list[str], names: li
     if n_asked > FEW and lists:
         lean = lean.repartition(parts, "list_no", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)))
     elif n_asked > FEW:
-        lean = lean.repartition(_tasks(lean), "chunk_id")
+        lean = lean.repartition(tasks_for(lean), "chunk_id")
     blocks = packed(lean.sortWithinPartitions(*by, "chunk_id"), "embedding", names, by, CHUNKS)
     asking = asking.select(*scope, *[F.col(c).alias(f"q_{c}") for c in ("no", "n", "dim", "sizes", "vectors", "rows")])
     if n_blocks <= MAX_ROWS and n_bytes <= MAX_BYTES:

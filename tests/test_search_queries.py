@@ -69,3 +69,43 @@ def test_metrics_deal_vectors_out_by_their_number(spark, tmp_path, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert set(re.findall(r"RepartitionByExpression \[chunk_id#\d+L?\], (\d+)", plan)) == {"6"}
+
+
+def test_metrics_by_own_group_are_those_of_items(spark):
+    rng = random.Random(4)
+    group = {i: i % 4 if i % 7 else None for i in range(40)}
+    members = spark.createDataFrame([(group[i], i) for i in group], "group int, chunk_id long")
+    cases = spark.createDataFrame([(c, group[c]) for c in range(0, 40, 3)], "case_id long, group int")
+    rows = [(c, group[c], i, group[i], n) for c in range(0, 40, 3) for n, i in enumerate(rng.sample(range(40), 1 + c % 5), 1)]
+    got = spark.createDataFrame(rows, "case_id long, group int, chunk_id long, label int, rank int")
+    want = evaluate.rank_metrics(got, cases.join(members, "group"))
+    found = evaluate.rank_metrics_of_groups(got, cases, members, own="label")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 0
+
+
+def test_each_once(spark):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "chunk_id long")
+    assert evaluate.each_once(rows(1, 2, 3), "chunk_id") and evaluate.each_once(rows(), "chunk_id")
+    assert not evaluate.each_once(rows(1, 2, 1), "chunk_id") and not evaluate.each_once(rows(1, None), "chunk_id")
+
+
+@pytest.mark.parametrize("name", ["rank_metrics_chunk"])
+def test_metrics_join_no_vectors_behind_the_search(spark, tmp_path, name):
+    """Before, hits met the cases and all vectors by join: six reads of the table."""
+    plan = catalog.QUERIES[name](spark, tables(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 3 and plan.count("Join") <= 2 and plan.count("Window [row_number()") == 2
+
+
+@pytest.mark.parametrize("again", [[(7, 7 % 3)], [(7, 2), (9, 1)]])
+def test_metrics_of_vectors_that_are_there_twice(spark, tmp_path, again):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)], i % 3) for i in range(60)]
+    rows += [(i, rows[20 * (n + 1)][1], label) for n, (i, label) in enumerate(again)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    chunks = catalog.vector_chunks(spark, str(tmp_path))
+    asked = catalog.vector_questions(chunks).withColumnRenamed("question_id", "case_id")
+    got = search.vector_search(chunks, asked, limit=10, keys=["case_id"])
+    assert {7} <= {r["chunk_id"] for r in got.collect()}
+    labels = chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("case_id"), "document_id")
+    want = evaluate.rank_metrics(got, labels.join(chunks.select("chunk_id", "document_id"), "document_id")).withColumn("value", F.round("value", 6))
+    assert sorted(map(tuple, catalog.QUERIES["rank_metrics_chunk"](spark, str(tmp_path)).collect())) == sorted(map(tuple, want.collect()))
