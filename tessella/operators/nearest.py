@@ -4,12 +4,13 @@ Vectors are packed into blocks; every block of questions meets every block of ch
 matrices tells which pairs can't be among the nearest, with a margin that covers its rounding. For l1 it is a sum over the
 dimensions: of whole steps in bytes as soon as a question has a distance to beat, and in float32 of what they leave. The rest get their distance in float64, summed in order, so that it is the same as functions.vectors.distance to
 the last bit. A pair of blocks returns at most `limit` rows a question. A task keeps for each question the `limit`
-least distances that it has met (of the first KEPT values' questions; of others only what one block reached); farther chunks
-are left out.
+least distances that it has met (of the first KEPT values' questions; of others only what one block reached). What it finds
+waits in the task, up to WAITING_BYTES, so that what turns out to be farther is left out.
 
 Few questions are sent to the chunks where they lie; for more, chunks are dealt out first, to as many tasks as they and the
 cores need: every task returns its own first rows of a question, so more tasks are more rows to rank. Blocks of questions are broadcast
-after a check of their bytes, otherwise joined by shuffle.
+after a check of their bytes, otherwise joined by shuffle. Without a scope they are sent to the Python workers, so that neither
+they nor the chunks go through the JVM once for every pair of blocks.
 
 Vectors that are null, hold null, NaN or infinity, are very large or small or of another length than their block's are
 compared pair by pair. Distances are then what the expressions give, but for null distances, which come last as in SQL.
@@ -40,6 +41,7 @@ STEPS, TILE_OF_STEPS = 127, 1 << 18  # two differences of steps fit into a byte
 TASK_CHUNKS, TASKS_PER_CORE = 32 * CHUNKS, 3
 VALUES_AT_ONCE = 1 << 22
 KEPT = 1 << 23  # distances that a task keeps
+WAITING_BYTES = 32 << 20
 
 
 def packed(rows: DataFrame, vector: str, names: list[str], by: list[str], most: int) -> DataFrame:
@@ -316,6 +318,46 @@ def _nearest_of(q: _Side, c: _Side, across: np.ndarray, bound: np.ndarray, limit
     return qi[kept], ci[kept], d[kept], null[kept]
 
 
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+class _Waiting:
+    """Rows that a task has found and that may turn out to be farther than a question's first ones."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]] = []
+        self.size = 0
+
+    def add(self, bound: np.ndarray, qi: np.ndarray, d: np.ndarray, null: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """bound: of all the block's questions; it is brought down later. Yields all rows once they are too many."""
+        self.held.append((bound, qi, d, null, table))
+        self.size += table.nbytes + 24 * len(qi)
+        if self.size > WAITING_BYTES:
+            self._leave_out()
+            if self.size > WAITING_BYTES // 2:
+                yield from self.all()
+
+    def _leave_out(self) -> None:
+        held, self.held, self.size = self.held, [], 0
+        for bound, qi, d, null, table in held:
+            near = ~np.isfinite(bound[qi]) | (d <= bound[qi]) & ~null
+            if not near.all():
+                qi, d, null, table = qi[near], d[near], null[near], table.filter(pa.array(near))
+            if len(qi):
+                self.held.append((bound, qi, d, null, table))
+                self.size += table.nbytes + 24 * len(qi)
+
+    def all(self) -> Iterator[pa.RecordBatch]:
+        self._leave_out()
+        tables, self.held, self.size = [x[-1] for x in self.held], [], 0
+        if tables:
+            yield from pa.concat_tables(tables).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+
 def tasks_for(chunks: DataFrame) -> int:
     """How many tasks chunks are dealt to: by their number and the cores, whatever the number of shuffle partitions."""
     return max(TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() // TASK_CHUNKS))
@@ -344,66 +386,71 @@ def nearest(chunks: DataFrame, queries: DataFrame, *, keys: list[str], names: li
         lean = lean.repartition(tasks_for(lean), "chunk_id")
     blocks = packed(lean.sortWithinPartitions(*by, "chunk_id"), "embedding", names, by, CHUNKS)
     asking = asking.select(*scope, *[F.col(c).alias(f"q_{c}") for c in ("no", "n", "dim", "sizes", "vectors", "rows")])
-    if n_blocks <= MAX_ROWS and n_bytes <= MAX_BYTES:
-        asking = F.broadcast(asking)
-    pairs = blocks.join(asking, scope) if scope else blocks.crossJoin(asking)
+    few_bytes, sent = n_blocks <= MAX_ROWS and n_bytes <= MAX_BYTES, None
+    if few_bytes and not scope:
+        pairs, sent = blocks, chunks.sparkSession.sparkContext.broadcast(_stream(asking.toArrow()))
+    else:
+        asking = F.broadcast(asking) if few_bytes else asking
+        pairs = blocks.join(asking, scope) if scope else blocks.crossJoin(asking)
     most = None if maximum_distance is None else float(maximum_distance)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds: dict[int, tuple[np.ndarray, np.ndarray | None]] = {}
         kept = 0
         held = None, None, None, 0, None
+        asked = None if sent is None else [(b, j) for b in pa.ipc.open_stream(sent.value).read_all().to_batches() for j in range(b.num_rows)]
+        waiting = _Waiting()
 
         def values(batch: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.ndarray]:
             sizes = np.frombuffer(batch.column(f"{prefix}sizes")[i].as_buffer(), np.int32)
             return sizes, np.frombuffer(batch.column(f"{prefix}vectors")[i].as_buffer(), np.float64).reshape(len(sizes), batch.column(f"{prefix}dim")[i].as_py())
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim = max(batch.column("dim")[i].as_py(), batch.column("q_dim")[i].as_py())
-                if held[0] != (batch.column("no")[i].as_py(), dim):
-                    sizes, m = values(batch, i, "")
-                    usual = int(np.bincount(np.maximum(sizes, 0)).argmax())
-                    side = _side(sizes, m, dim, usual, metric)
-                    held = (batch.column("no")[i].as_py(), dim), side, _across(side, metric), usual, _Steps.of(side) if metric == "l1" else None
-                _, c, across, usual, steps = held
-                asks = pa.ipc.open_stream(batch.column("q_rows")[i].as_buffer()).read_all()
-                q = _side(*values(batch, i, "q_"), dim, usual, metric)
-                asker = batch.column("q_no")[i].as_py()
-                if asker not in bounds:
-                    kept += len(q.sizes) * limit
-                    bounds[asker] = np.full(len(q.sizes), np.inf if most is None else most), np.full((len(q.sizes), limit), np.inf) if kept <= KEPT else None
-                bound, best = bounds[asker]
-                rows = np.arange(len(q.sizes))
-                if lists:
-                    own = asks["lists"].combine_chunks()
-                    owner = np.repeat(rows, pc.list_value_length(own).fill_null(0).to_numpy(zero_copy_only=False))
-                    rows = np.unique(owner[own.flatten().to_numpy(zero_copy_only=False) == batch.column("list_no")[i].as_py()])
-                found = []
-                tile = max(1, TILE.get(metric, TILE_OTHERWISE) // len(c.sizes))
-                stepped = np.zeros(len(rows), bool) if steps is None else np.isfinite(bound[rows]) & ~q.odd[rows]
-                codes, off = steps.codes(q) if stepped.any() else (None, None)
-                tiles = [(own[at : at + n], by) for own, n, by in ((rows[stepped], max(1, TILE_OF_STEPS // len(c.sizes)), True), (rows[~stepped], tile, False)) for at in range(0, len(own), n)]
-                while tiles:
-                    some, by_steps = tiles.pop()
-                    theirs, reached = q.some(some), bound[some]
-                    near = steps.near(theirs, codes[some], off[some], c, reached) if by_steps else None
-                    if by_steps and near is None and len(some) > tile:
-                        tiles += [(some[at : at + tile], False) for at in range(0, len(some), tile)]
-                        continue
-                    least = None if best is None else best[some]
-                    qi, ci, d, null = _nearest_of(theirs, c, across, reached, limit, metric, most, least, near)
-                    bound[some] = reached
-                    if best is not None:
-                        best[some] = least
-                    found.append((some[qi], ci, d, null))
-                if not found:
+        for batch, i, ask, j in ((b, i, *a) for b in batches for i in range(b.num_rows) for a in ([(b, i)] if asked is None else asked)):
+            dim = max(batch.column("dim")[i].as_py(), ask.column("q_dim")[j].as_py())
+            if held[0] != (batch.column("no")[i].as_py(), dim):
+                sizes, m = values(batch, i, "")
+                usual = int(np.bincount(np.maximum(sizes, 0)).argmax())
+                side = _side(sizes, m, dim, usual, metric)
+                held = (batch.column("no")[i].as_py(), dim), side, _across(side, metric), usual, _Steps.of(side) if metric == "l1" else None
+            _, c, across, usual, steps = held
+            asks = pa.ipc.open_stream(ask.column("q_rows")[j].as_buffer()).read_all()
+            q = _side(*values(ask, j, "q_"), dim, usual, metric)
+            asker = ask.column("q_no")[j].as_py()
+            if asker not in bounds:
+                kept += len(q.sizes) * limit
+                bounds[asker] = np.full(len(q.sizes), np.inf if most is None else most), np.full((len(q.sizes), limit), np.inf) if kept <= KEPT else None
+            bound, best = bounds[asker]
+            rows = np.arange(len(q.sizes))
+            if lists:
+                own = asks["lists"].combine_chunks()
+                owner = np.repeat(rows, pc.list_value_length(own).fill_null(0).to_numpy(zero_copy_only=False))
+                rows = np.unique(owner[own.flatten().to_numpy(zero_copy_only=False) == batch.column("list_no")[i].as_py()])
+            found = []
+            tile = max(1, TILE.get(metric, TILE_OTHERWISE) // len(c.sizes))
+            stepped = np.zeros(len(rows), bool) if steps is None else np.isfinite(bound[rows]) & ~q.odd[rows]
+            codes, off = steps.codes(q) if stepped.any() else (None, None)
+            tiles = [(own[at : at + n], by) for own, n, by in ((rows[stepped], max(1, TILE_OF_STEPS // len(c.sizes)), True), (rows[~stepped], tile, False)) for at in range(0, len(own), n)]
+            while tiles:
+                some, by_steps = tiles.pop()
+                theirs, reached = q.some(some), bound[some]
+                near = steps.near(theirs, codes[some], off[some], c, reached) if by_steps else None
+                if by_steps and near is None and len(some) > tile:
+                    tiles += [(some[at : at + tile], False) for at in range(0, len(some), tile)]
                     continue
-                qi, ci, d, null = (np.concatenate(x) for x in zip(*found))
-                theirs = pa.ipc.open_stream(batch.column("rows")[i].as_buffer()).read_all()
-                asks, theirs = asks.take(pa.array(qi)), theirs.take(pa.array(ci))
-                table = pa.table({n: asks[n] if n in keys else theirs[n] for n in out} | {"distance": pa.array(d, mask=null)})
-                yield from table.combine_chunks().to_batches()
+                least = None if best is None else best[some]
+                qi, ci, d, null = _nearest_of(theirs, c, across, reached, limit, metric, most, least, near)
+                bound[some] = reached
+                if best is not None:
+                    best[some] = least
+                found.append((some[qi], ci, d, null))
+            if not found:
+                continue
+            qi, ci, d, null = (np.concatenate(x) for x in zip(*found))
+            theirs = pa.ipc.open_stream(batch.column("rows")[i].as_buffer()).read_all()
+            asks, theirs = asks.take(pa.array(qi)), theirs.take(pa.array(ci))
+            table = pa.table({n: asks[n] if n in keys else theirs[n] for n in out} | {"distance": pa.array(d, mask=null)})
+            yield from waiting.add(bound, qi, d, null, table)
+        yield from waiting.all()
 
     out = list(dict.fromkeys([*keys, *names]))
     schema = T.StructType([T.StructField(n, (queries if n in keys else chunks).schema[n].dataType) for n in out] + [T.StructField("distance", T.DoubleType())])

@@ -129,3 +129,28 @@ def test_more_shuffle_partitions_are_not_more_rows_to_rank(spark, limit, most):
 
     few, many = count("4"), count("64")
     assert 75 * limit <= few <= 75 * limit * 12 and many == few
+
+
+@pytest.mark.parametrize("limit", [5, 10])
+def test_tasks_return_no_more_than_their_first_rows(spark, small_blocks, limit):
+    """Before, a task returned what was near in one block and farther than what later blocks had."""
+    rng = random.Random(11)
+    rows = [(i, i % 3, [rng.gauss(0, 1) for _ in range(8)]) for i in range(1500)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, embedding array<double>")
+    asked = chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("query_embedding"))
+    found = nearest.nearest(chunks, asked, keys=["question_id"], names=["chunk_id"], scope=[], metric="cosine", limit=limit)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 75 * limit * 6
+
+
+def test_rows_wait_within_bounds(monkeypatch):
+    monkeypatch.setattr(nearest, "WAITING_BYTES", 4000)
+    rng = np.random.default_rng(3)
+    d, waiting, bound, got = rng.random((40, 50)), nearest._Waiting(), np.full(1, np.inf), []
+    for block in d:
+        table = nearest.pa.table({"d": block})
+        got += waiting.add(bound, np.zeros(50, int), block, np.zeros(50, bool), table)
+        assert waiting.size <= 4000
+        bound[0] = min(bound[0], np.sort(d[d <= block.max()])[9])
+    got = np.concatenate([b.column("d").to_numpy() for b in [*got, *waiting.all()]])
+    assert set(d[d <= bound[0]]) <= set(got) <= set(d.ravel()) and len(got) == len(set(got)) and not waiting.held
